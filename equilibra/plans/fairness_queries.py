@@ -14,18 +14,18 @@ KEYS = ["embedding", "fold"]
 
 # ------------------------------------------------------------------ SQL parts
 
-SQL_CONFUSION = """
-, o AS (SELECT * FROM predictions WHERE variant = 'orig')
-, per AS (SELECT embedding, fold, gender,
+SQL_CONFUSION_T = """
+, o AS (SELECT * FROM {src} WHERE variant = 'orig')
+, per AS (SELECT {k}, gender,
     CAST(sum(CASE WHEN label = 0 AND preds = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
     CAST(sum(CASE WHEN label = 0 AND preds = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
     CAST(sum(CASE WHEN label = 1 AND preds = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
     CAST(sum(CASE WHEN label = 1 AND preds = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
-  FROM o GROUP BY embedding, fold, gender)
-, conf AS (SELECT embedding, fold, gender, tn, fp, fn, tp FROM per
+  FROM o GROUP BY {k}, gender)
+, conf AS (SELECT {k}, gender, tn, fp, fn, tp FROM per
   UNION ALL
-  SELECT embedding, fold, 'ALL' AS gender, CAST(sum(tn) AS BIGINT), CAST(sum(fp) AS BIGINT),
-    CAST(sum(fn) AS BIGINT), CAST(sum(tp) AS BIGINT) FROM per GROUP BY embedding, fold)
+  SELECT {k}, 'ALL' AS gender, CAST(sum(tn) AS BIGINT), CAST(sum(fp) AS BIGINT),
+    CAST(sum(fn) AS BIGINT), CAST(sum(tp) AS BIGINT) FROM per GROUP BY {k})
 , gm AS (SELECT *, tp + fn AS pos, tn + fp AS neg,
     CASE WHEN fn + tp <> 0 THEN CAST(fn AS DOUBLE) / (fn + tp) END AS fnr,
     CASE WHEN fp + tn <> 0 THEN CAST(fp AS DOUBLE) / (fp + tn) END AS fpr,
@@ -40,65 +40,80 @@ SQL_CONFUSION = """
     THEN (f1_pos * has_pos + f1_neg * has_neg) / (has_pos + has_neg) END AS f1 FROM gm)
 """
 
-SQL_AUC = """
-, o2 AS (SELECT * FROM predictions WHERE variant = 'orig')
-, sl AS (SELECT embedding, fold, gender AS slice, label, probability FROM o2
-  UNION ALL SELECT embedding, fold, 'ALL', label, probability FROM o2
-  UNION ALL SELECT embedding, fold,
+SQL_AUC_T = """
+, o2 AS (SELECT * FROM {src} WHERE variant = 'orig')
+, sl AS (SELECT {k}, gender AS slice, label, probability FROM o2
+  UNION ALL SELECT {k}, 'ALL', label, probability FROM o2
+  UNION ALL SELECT {k},
     CASE WHEN (gender = 'F') = (label = 1) THEN 'fm' ELSE 'mf' END, label, probability FROM o2)
-, rk AS (SELECT *, rank() OVER (PARTITION BY embedding, fold, slice ORDER BY probability)
-    + (count(*) OVER (PARTITION BY embedding, fold, slice, probability) - 1) / 2.0 AS mr FROM sl)
-, au AS (SELECT embedding, fold, slice,
+, rk AS (SELECT *, rank() OVER (PARTITION BY {k}, slice ORDER BY probability)
+    + (count(*) OVER (PARTITION BY {k}, slice, probability) - 1) / 2.0 AS mr FROM sl)
+, au AS (SELECT {k}, slice,
     CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
       (sum(CASE WHEN label = 1 THEN mr ELSE 0 END)
        - CAST(sum(label) AS DOUBLE) * (CAST(sum(label) AS DOUBLE) + 1) / 2.0)
       / (CAST(sum(label) AS DOUBLE) * CAST(sum(1 - label) AS DOUBLE)) END AS auc
-  FROM rk GROUP BY embedding, fold, slice)
-, aw AS (SELECT embedding, fold,
+  FROM rk GROUP BY {k}, slice)
+, aw AS (SELECT {k},
     max(CASE WHEN slice = 'F' THEN auc END) AS auc_f, max(CASE WHEN slice = 'M' THEN auc END) AS auc_m,
     max(CASE WHEN slice = 'ALL' THEN auc END) AS auc, max(CASE WHEN slice = 'fm' THEN auc END) AS auc_fm,
-    max(CASE WHEN slice = 'mf' THEN auc END) AS auc_mf FROM au GROUP BY embedding, fold)
+    max(CASE WHEN slice = 'mf' THEN auc END) AS auc_mf FROM au GROUP BY {k})
 , awm AS (SELECT *, CASE WHEN auc_f IS NOT NULL AND auc_m IS NOT NULL AND auc_fm IS NOT NULL
     AND auc_mf IS NOT NULL AND greatest(auc_f, auc_m, auc_fm, auc_mf) <> 0
     THEN least(auc_f, auc_m, auc_fm, auc_mf) / greatest(auc_f, auc_m, auc_fm, auc_mf) END AS auc_minmax
   FROM aw)
 """
 
-SQL_MISMATCH = """
-, pr AS (SELECT embedding, fold, row_id,
+SQL_MISMATCH_T = """
+, pr AS (SELECT {k}, row_id,
     max(CASE WHEN variant = 'orig' THEN preds END) AS p0, max(CASE WHEN variant = 'swapped' THEN preds END) AS p1,
     max(CASE WHEN variant = 'orig' THEN gender END) AS g0, max(CASE WHEN variant = 'swapped' THEN gender END) AS g1
-  FROM predictions WHERE variant IN ('orig', 'swapped') GROUP BY embedding, fold, row_id)
+  FROM {src} WHERE variant IN ('orig', 'swapped') GROUP BY {k}, row_id)
 , pd AS (SELECT *, (p0 IS NOT NULL AND p1 IS NOT NULL AND p0 <> p1) AS diff FROM pr)
-, ma AS (SELECT embedding, fold, CAST(count(p0) AS BIGINT) AS total_num,
+, ma AS (SELECT {k}, CAST(count(p0) AS BIGINT) AS total_num,
     CAST(sum(CASE WHEN diff THEN 1 ELSE 0 END) AS BIGINT) AS mismatch,
     CAST(sum(CASE WHEN diff THEN (CASE WHEN g0 = 'F' THEN p0 ELSE 0 END) + (CASE WHEN g1 = 'F' THEN p1 ELSE 0 END)
              ELSE 0 END) AS BIGINT) AS mismatch_f,
     CAST(sum(CASE WHEN diff THEN (CASE WHEN g0 <> 'F' THEN p0 ELSE 0 END) + (CASE WHEN g1 <> 'F' THEN p1 ELSE 0 END)
              ELSE 0 END) AS BIGINT) AS mismatch_m
-  FROM pd GROUP BY embedding, fold)
-, mm AS (SELECT embedding, fold, total_num, mismatch,
+  FROM pd GROUP BY {k})
+, mm AS (SELECT {k}, total_num, mismatch,
     CASE WHEN mismatch_m > mismatch_f THEN 'M' ELSE 'F' END AS mismatch_direction, mismatch_f, mismatch_m,
     CASE WHEN total_num <> 0 THEN CAST(mismatch AS DOUBLE) / total_num END AS mismatch_ratio FROM ma)
 """
 
 
-def _wide_sql() -> str:
+def sql_parts(keys: list[str], src: str) -> tuple[str, str, str]:
+    """Confusion / AUC / mismatch CTE chains over ``src`` grouped by ``keys``."""
+    k = ", ".join(keys)
+    return tuple(t.replace("{k}", k).replace("{src}", src)
+                 for t in (SQL_CONFUSION_T, SQL_AUC_T, SQL_MISMATCH_T))
+
+
+def sql_evaluate(keys: list[str], src: str) -> str:
+    """CTE chain ending in ``ev``: one score row per key."""
+    conf, auc, mism = sql_parts(keys, src)
+    sel = ", ".join(f"mm.{c}" for c in keys)
+    return (conf + auc + mism + _wide_sql(keys)
+            + f", ev AS (SELECT {sel}, " + ", ".join(metrics.SCORE_COLUMNS)
+            + f" FROM mm LEFT JOIN wd USING ({', '.join(keys)}) LEFT JOIN awm USING ({', '.join(keys)}))\n")
+
+
+SQL_CONFUSION, SQL_AUC, SQL_MISMATCH = sql_parts(KEYS, "predictions")
+
+
+def _wide_sql(keys: list[str] = KEYS) -> str:
     cols = []
     for g in ("F", "M"):
         for m in metrics.GROUP_MEASURES:
             cols.append(f"max(CASE WHEN gender = '{g}' THEN {m} END) AS {m}_{g.lower()}")
     for m in ("tpr", "precision", "f1"):
         cols.append(f"max(CASE WHEN gender = 'ALL' THEN {m} END) AS {m}")
-    return (", wd AS (SELECT embedding, fold, " + ", ".join(cols)
-            + " FROM gmf GROUP BY embedding, fold)\n")
+    k = ", ".join(keys)
+    return (f", wd AS (SELECT {k}, " + ", ".join(cols) + f" FROM gmf GROUP BY {k})\n")
 
 
-SQL_EVALUATE = with_views(
-    SQL_CONFUSION + SQL_AUC + SQL_MISMATCH + _wide_sql()
-    + "SELECT mm.embedding, mm.fold, " + ", ".join(metrics.SCORE_COLUMNS)
-    + " FROM mm LEFT JOIN wd USING (embedding, fold) LEFT JOIN awm USING (embedding, fold)",
-    "predictions")
+SQL_EVALUATE = with_views(sql_evaluate(KEYS, "predictions") + "SELECT * FROM ev", "predictions")
 
 
 def _orig(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,4 +38,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ("fairness_queries",)
+MODULES = ("fairness_queries", "summary_queries")
