@@ -38,4 +38,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ("fairness_queries", "summary_queries", "text_queries")
+MODULES = ("fairness_queries", "summary_queries", "text_queries", "fold_queries")
