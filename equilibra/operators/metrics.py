@@ -73,7 +73,7 @@ def group_metrics(df: DataFrame, keys: Sequence[str], group: str = "gender") ->
 # ---------------------------------------------------------------- A4, A5, A11
 
 def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "probability",
-        ranges: int | None = None) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """ROC AUC per key (Mann-Whitney, ties count one half); null with one class only.
 
     Rows are first collapsed to (keys, score) -> (n_pos, n_neg); a distributed
@@ -84,7 +84,7 @@ def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "
             .groupBy(*keys, score)
             .agg(F.sum(_ind(y == 1)).cast("bigint").alias("_pos"),
                  F.sum(_ind(y != 1)).cast("bigint").alias("_neg")))
-    ranked = prefix_before(hist, keys, [score], ["_neg"], ranges)
+    ranked = prefix_before(hist, keys, [score], ["_neg"], buckets=buckets)
     u = F.col("_pos").cast("double") * (F.col("_neg_before") + F.col("_neg") * 0.5)
     agg = ranked.groupBy(*keys).agg(F.sum(u).alias("_u"), F.sum("_pos").alias("_p"),
                                     F.sum("_neg").alias("_n"))
