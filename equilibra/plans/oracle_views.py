@@ -62,6 +62,8 @@ def with_views(body: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in ordered)
     body = body.strip()
+    if not ctes:
+        return "WITH " + body[1:].lstrip() if body.startswith(",") else body
     if body.startswith(","):
         return f"WITH {ctes}{body}"
     return f"WITH {ctes}\n{body}"
