@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 # Characters that `clean` turns into a space (newline and 17 symbols).
 CLEAN_CHARS = "\n*[]()-:%.,;#/@?{}"
-# Unicode decimal digits plus the superscript / subscript digits that Python's
-# str.isdigit also accepts.
-DIGIT_CLASS = "[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"
+
+
+def _digit_chars() -> str:
+    # every code point that str.isdigit accepts (decimal digits plus superscript,
+    # subscript and other digit forms): built from the rule, not listed
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isdigit())
+
+
+DIGITS = _digit_chars()
 
 # Rewrite rules, applied in this order, whole words, any case.
 SWAP_FEMALE_RULES: tuple[tuple[str, str], ...] = (
@@ -56,8 +62,8 @@ def _c(col: Column | str) -> Column:
 
 def clean(text: Column | str) -> Column:
     """Symbols -> space, digits dropped, one pass of '  ' -> ' ', lower case."""
-    t = F.translate(_c(text), CLEAN_CHARS, " " * len(CLEAN_CHARS))
-    t = F.regexp_replace(t, DIGIT_CLASS, "")
+    # one translate: symbols -> space, digits deleted (no counterpart in the target)
+    t = F.translate(_c(text), CLEAN_CHARS + DIGITS, " " * len(CLEAN_CHARS))
     t = F.replace(t, F.lit("  "), F.lit(" "))
     return F.lower(t)
 

@@ -79,14 +79,15 @@ def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", tex
     """Mean of the in-vocabulary token vectors of each text; null when none is known.
 
     Tokens are counted per (text, word) before the lexicon join (each occurrence
-    counts through the weight), the lexicon is pruned to words that occur, and
-    the pooled vectors are joined back to every text (left join).
+    counts through the weight, map-side combined), joined once to the lexicon
+    (a word held by most texts is a skewed join key: AQE splits that partition
+    and replicates the single lexicon row), and the pooled vectors are joined
+    back to every text (left join).
     """
     src = T.clean(text) if clean_first else F.col(text)
     toks = docs.select(key, F.explode(T.tokens(src)).alias("word")).select(key, F.lower("word").alias("word"))
     counts = toks.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    vocab = word_vectors.select("word", "vector").join(counts.select("word").distinct(), "word", "left_semi")
-    hits = counts.join(vocab, "word")
+    hits = counts.join(word_vectors.select("word", "vector"), "word")
     pooled = weighted_mean_vectors(hits, [key], "vector", "_n")
     return docs.select(key).join(pooled, key, "left")
 

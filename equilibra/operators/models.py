@@ -110,13 +110,15 @@ def cross_validated(train: DataFrame, grid: Sequence[float] = C_GRID_STUDY1, fol
                     label: str = "label", key: str = "row_id", features: str = "features") -> LinearModel:
     """F8 / M4: k-fold (hash-assigned) model selection on the training rows, refit on all of them."""
     t = train.withColumn("_cvf", F.abs(F.xxhash64(F.col(key).cast("string"), F.lit("cv"))) % folds)
-    scores = {}
-    for c in grid:
-        f1s = []
-        for k in range(folds):
-            m = fit_linear(t.filter(F.col("_cvf") != k), c, label, features=features)
-            f1s.append(macro_f1(m.transform(t.filter(F.col("_cvf") == k)), label))
-        scores[c] = sum(f1s) / folds
+
+    def one(ck: tuple[float, int]) -> tuple[float, float]:
+        c, k = ck
+        m = fit_linear(t.filter(F.col("_cvf") != k), c, label, features=features)
+        return c, macro_f1(m.transform(t.filter(F.col("_cvf") == k)), label)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        res = list(pool.map(one, [(c, k) for c in grid for k in range(folds)]))
+    scores = {c: sum(f for cc, f in res if cc == c) / folds for c in grid}
     best_c = max(sorted(scores), key=lambda c: scores[c])
     return fit_linear(train, best_c, label, features=features)
 

@@ -98,13 +98,18 @@ def run_method(spark: SparkSession, sf: str, method: str) -> tuple[DataFrame, Da
 METHODS = ("orig", "neutr", "augmented", "gender_specific", "reweighing", "postprocessing")
 
 
+def halves(df: DataFrame) -> DataFrame:
+    """A paired slot holds one original half (orig / neutr) and one counterfactual half."""
+    return df.withColumn("variant", F.when(F.col("variant").isin("orig", "neutr"), "orig").otherwise("swapped"))
+
+
 @register("mitigation_run", "M20 M6 M9 M10 A7 S4")
 def mitigation_run(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for m in METHODS:
         test, val = run_method(spark, sf, m)
         for split, df in (("test", test), ("val", val)):
-            sc = metrics.evaluate(df.withColumn("embedding", F.lit("word_mean")), ["embedding", "fold"])
+            sc = metrics.evaluate(halves(df).withColumn("embedding", F.lit("word_mean")), ["embedding", "fold"])
             sc = sc.select(F.lit(m).alias("method"), F.lit(split).alias("split"), "*")
             out = sc if out is None else out.unionByName(sc)
     return out

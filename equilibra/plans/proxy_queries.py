@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import attribution as AT
 from ..operators import folds as FO
 from ..operators import metrics
+from ..session import cut_lineage
 from ..sources import views
 from .fairness_queries import sql_evaluate
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments
@@ -213,7 +214,9 @@ _STEPS_SQL = (_assign_sql(2, True) + _ROLES_SQL +
 
 
 def mute_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(mute_steps(spark, sf), ["split", "step"])
+    # the (row x step) table feeds three aggregations: materialise it once in the
+    # shared checkpoint folder instead of recomputing folds, scaling and windows
+    return metrics.evaluate(cut_lineage(mute_steps(spark, sf)), ["split", "step"])
 
 
 _SCORE_ROUND = [c for c in metrics.SCORE_COLUMNS]

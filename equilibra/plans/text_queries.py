@@ -37,9 +37,8 @@ def duck_swap(text: str, gender: str) -> str:
 
 
 def duck_clean(text: str) -> str:
-    chars = T.CLEAN_CHARS[1:].replace("'", "''")
+    chars = (T.CLEAN_CHARS[1:] + T.DIGITS).replace("'", "''")
     t = f"translate({text}, chr(10) || '{chars}', '{' ' * len(T.CLEAN_CHARS)}')"
-    t = f"regexp_replace({t}, '{T.DIGIT_CLASS}', '', 'g')"
     return f"lower(replace({t}, '  ', ' '))"
 
 
