@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .ordered import prefix_before
 
 ALL = "ALL"
+PROBABILITY = (0.0, 1.0)  # score domain of calibrated probabilities
 
 
 def _ind(cond: Column) -> Column:
@@ -73,7 +74,7 @@ def group_metrics(df: DataFrame, keys: Sequence[str], group: str = "gender") ->
 # ---------------------------------------------------------------- A4, A5, A11
 
 def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "probability",
-        buckets: int | None = None) -> DataFrame:
+        buckets: int | None = None, domain: tuple[float, float] | None = None) -> DataFrame:
     """ROC AUC per key (Mann-Whitney, ties count one half); null with one class only.
 
     Rows are first collapsed to (keys, score) -> (n_pos, n_neg); a distributed
@@ -84,7 +85,7 @@ def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "
             .groupBy(*keys, score)
             .agg(F.sum(_ind(y == 1)).cast("bigint").alias("_pos"),
                  F.sum(_ind(y != 1)).cast("bigint").alias("_neg")))
-    ranked = prefix_before(hist, keys, [score], ["_neg"], buckets=buckets)
+    ranked = prefix_before(hist, keys, [score], ["_neg"], buckets=buckets, domain=domain)
     u = F.col("_pos").cast("double") * (F.col("_neg_before") + F.col("_neg") * 0.5)
     agg = ranked.groupBy(*keys).agg(F.sum(u).alias("_u"), F.sum("_pos").alias("_p"),
                                     F.sum("_neg").alias("_n"))
@@ -99,18 +100,20 @@ def cross_tag(group: str = "gender", label: str = "label", first: str = "F") ->
 
 
 def auc_by_slice(df: DataFrame, keys: Sequence[str], group: str = "gender",
-                 label: str = "label", score: str = "probability", first: str = "F") -> DataFrame:
+                 label: str = "label", score: str = "probability", first: str = "F",
+                 domain: tuple[float, float] | None = None) -> DataFrame:
     """AUC per (keys, slice) for slice in {each group, ALL, fm, mf} in one job."""
     sliced = df.select(*keys, label, score,
                        F.explode(F.array(F.col(group).cast("string"), F.lit(ALL),
                                          cross_tag(group, label, first))).alias("slice"))
-    return auc(sliced, [*keys, "slice"], label, score)
+    return auc(sliced, [*keys, "slice"], label, score, domain=domain)
 
 
 def auc_wide(df: DataFrame, keys: Sequence[str], group: str = "gender", label: str = "label",
-             score: str = "probability", groups: tuple[str, str] = ("F", "M")) -> DataFrame:
+             score: str = "probability", groups: tuple[str, str] = ("F", "M"),
+             domain: tuple[float, float] | None = None) -> DataFrame:
     """auc_f, auc_m, auc, auc_fm, auc_mf and the min/max ratio (A11) per key."""
-    s = auc_by_slice(df, keys, group, label, score, groups[0])
+    s = auc_by_slice(df, keys, group, label, score, groups[0], domain)
     pick = {f"auc_{groups[0].lower()}": groups[0], f"auc_{groups[1].lower()}": groups[1],
             "auc": ALL, "auc_fm": "fm", "auc_mf": "mf"}
     wide = s.groupBy(*keys).agg(*[F.max(F.when(F.col("slice") == v, F.col("auc"))).alias(k)
@@ -180,7 +183,7 @@ SCORE_COLUMNS = (
 
 def evaluate(df: DataFrame, keys: Sequence[str], variant: str = "variant",
              original: str = "orig", counterfactual: str = "swapped",
-             groups: tuple[str, str] = ("F", "M")) -> DataFrame:
+             groups: tuple[str, str] = ("F", "M"), score_domain: tuple[float, float] | None = None) -> DataFrame:
     """One score row per key: group metrics on the originals, mismatch on the pairs."""
     orig = df.filter(F.col(variant) == original)
     gm = group_metrics(orig, keys)
@@ -189,7 +192,7 @@ def evaluate(df: DataFrame, keys: Sequence[str], variant: str = "variant",
         *[F.max(F.when(F.col("gender") == g, F.col(m))).alias(f"{m}_{g.lower()}")
           for g in (g0, g1) for m in GROUP_MEASURES],
         *[F.max(F.when(F.col("gender") == ALL, F.col(m))).alias(m) for m in ("tpr", "precision", "f1")])
-    aucs = auc_wide(orig, keys, groups=groups)
+    aucs = auc_wide(orig, keys, groups=groups, domain=score_domain)
     mm = counterfactual_mismatch(df, keys, variant=variant, original=original,
                                  counterfactual=counterfactual, first=g0)
     out = mm.join(wide, list(keys), "left").join(aucs, list(keys), "left")

@@ -36,9 +36,20 @@ def string_prefix_number(col: Column) -> Column:
     return F.conv(padded, 16, 10).cast("bigint")
 
 
-def with_bucket(df: DataFrame, keys: Sequence[str], coarse: Column, buckets: int) -> DataFrame:
-    """Add ``_bucket`` in [0, buckets): equal-width slice of the key's coarse range."""
+def with_bucket(df: DataFrame, keys: Sequence[str], coarse: Column, buckets: int,
+                domain: tuple[float, float] | None = None) -> DataFrame:
+    """Add ``_bucket`` in [0, buckets): equal-width slice of the key's coarse range.
+
+    Any monotone bucket function keeps the prefix sums exact; the range only
+    balances the buckets.  With a known ``domain`` (e.g. probabilities in
+    [0, 1]) no bounds aggregation is needed; values outside clip to the ends.
+    """
     keys = list(keys)
+    if domain is not None:
+        lo, hi = float(domain[0]), float(domain[1])
+        raw = F.floor((coarse.cast("double") - F.lit(lo)) / F.lit(hi - lo) * buckets)
+        b = F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(buckets - 1)).cast("int")
+        return df.withColumn(_B, b)
     tmp = df.withColumn("_coarse", coarse.cast("double"))
     bounds = tmp.groupBy(*keys).agg(F.min("_coarse").alias("_lo"), F.max("_coarse").alias("_hi"))
     if not keys:
@@ -55,7 +66,8 @@ def with_bucket(df: DataFrame, keys: Sequence[str], coarse: Column, buckets: int
 
 def prefix_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   values: Sequence[str], coarse: Column | None = None,
-                  buckets: int | None = None, suffix: str = "_before") -> DataFrame:
+                  buckets: int | None = None, suffix: str = "_before",
+                  domain: tuple[float, float] | None = None) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows with the same keys and a smaller order.
 
     ``order`` must be unique within ``keys`` (aggregate ties away first) and
@@ -66,7 +78,7 @@ def prefix_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     coarse = order_cols[0] if coarse is None else coarse
     n = buckets or default_buckets(df)
-    bucketed = with_bucket(df, keys, coarse, n)
+    bucketed = with_bucket(df, keys, coarse, n, domain)
     w_local = (Window.partitionBy(*keys, _B).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = bucketed.select("*", *[F.coalesce(F.sum(v).over(w_local), F.lit(0)).alias(f"_loc_{v}")

@@ -147,21 +147,21 @@ def group_f1(spark: SparkSession, sf: str) -> DataFrame:
           with_views(SQL_AUC + "SELECT embedding, fold, slice AS gender, auc FROM au "
                      "WHERE slice IN ('F', 'M', 'ALL')", "predictions"))
 def group_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s = metrics.auc_by_slice(_orig(spark, sf), KEYS)
+    s = metrics.auc_by_slice(_orig(spark, sf), KEYS, domain=metrics.PROBABILITY)
     return s.filter(F.col("slice").isin("F", "M", "ALL")).select(*KEYS, F.col("slice").alias("gender"), "auc")
 
 
 @register("cross_group_auc", "A5",
           with_views(SQL_AUC + "SELECT embedding, fold, auc_fm, auc_mf FROM awm", "predictions"))
 def cross_group_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.auc_wide(_orig(spark, sf), KEYS).select(*KEYS, "auc_fm", "auc_mf")
+    return metrics.auc_wide(_orig(spark, sf), KEYS, domain=metrics.PROBABILITY).select(*KEYS, "auc_fm", "auc_mf")
 
 
 @register("auc_minmax", "A11",
           with_views(SQL_AUC + "SELECT embedding, fold, auc_f, auc_m, auc_fm, auc_mf, auc_minmax FROM awm",
                      "predictions"))
 def auc_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.auc_wide(_orig(spark, sf), KEYS).select(*KEYS, "auc_f", "auc_m", "auc_fm", "auc_mf",
+    return metrics.auc_wide(_orig(spark, sf), KEYS, domain=metrics.PROBABILITY).select(*KEYS, "auc_f", "auc_m", "auc_fm", "auc_mf",
                                                            "auc_minmax")
 
 
@@ -173,4 +173,4 @@ def counterfactual_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("evaluate", "A7", SQL_EVALUATE)
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(views.predictions(spark, sf), KEYS)
+    return metrics.evaluate(views.predictions(spark, sf), KEYS, score_domain=metrics.PROBABILITY)

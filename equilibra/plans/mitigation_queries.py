@@ -144,4 +144,4 @@ def participatory(spark: SparkSession, sf: str) -> DataFrame:
 def participatory_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the gathered predictions (rows-only: same algebra as `evaluate`)."""
     g = MI.gather_by_group(method_predictions(spark, sf), choice(spark, sf))
-    return metrics.evaluate(g, KEYS)
+    return metrics.evaluate(g, KEYS, score_domain=metrics.PROBABILITY)

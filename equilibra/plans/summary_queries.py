@@ -32,7 +32,7 @@ def method_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(method_predictions(spark, sf), MKEYS)
+    return metrics.evaluate(method_predictions(spark, sf), MKEYS, score_domain=metrics.PROBABILITY)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
