@@ -66,10 +66,17 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str | None = N
 def fit_linear(train: DataFrame, c: float, label: str = "label", weight: str | None = None,
                features: str = "features", max_iter: int = 100) -> LinearModel:
     x = train.withColumn("_fv", array_to_vector(F.col(features)))
+    base = F.col(weight).cast("double") if weight else F.lit(1.0)
+    # per-class count and sample-weight sum: one aggregate of (#labels) rows
+    cls = {r[0]: (r[1], r[2]) for r in x.groupBy(label).agg(F.count(F.lit(1)), F.sum(base)).collect()}
+    n = sum(k for k, _ in cls.values())
+    cw = {y: n / (2.0 * k) for y, (k, _) in cls.items()}  # class weight n / (2 n_c)
+    sum_w = sum(cw[y] * sw for y, (_, sw) in cls.items()) or 1.0
+    w = None
+    for y, v in cw.items():
+        w = F.when(F.col(label) == y, F.lit(v)) if w is None else w.when(F.col(label) == y, F.lit(v))
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_fv", outputCol="_zv").fit(x)
-    z = balanced_weights(scaler.transform(x), label, weight).withColumn("_y", F.col(label).cast("double"))
-    z = z.cache()
-    sum_w = z.agg(F.sum("_w")).first()[0] or 1.0
+    z = scaler.transform(x).withColumn("_w", w * base).withColumn("_y", F.col(label).cast("double")).cache()
     svm = LinearSVC(featuresCol="_zv", labelCol="_y", weightCol="_w", regParam=1.0 / (c * sum_w),
                     standardization=False, maxIter=max_iter, predictionCol="_svm_pred",
                     rawPredictionCol="rawPrediction").fit(z)
@@ -97,7 +104,7 @@ def grid_search(train: DataFrame, val: DataFrame, grid: Sequence[float] = C_GRID
         return c, m, macro_f1(m.transform(val), label)
 
     # independent fits run as concurrent Spark jobs (driver threads, bounded)
-    with ThreadPoolExecutor(max_workers=min(4, len(grid))) as pool:
+    with ThreadPoolExecutor(max_workers=min(8, len(grid))) as pool:
         fitted = sorted(pool.map(one, grid), key=lambda x: x[0])
     best = None
     for c, m, f1 in fitted:  # ascending C: ties keep the smallest
@@ -116,7 +123,7 @@ def cross_validated(train: DataFrame, grid: Sequence[float] = C_GRID_STUDY1, fol
         m = fit_linear(t.filter(F.col("_cvf") != k), c, label, features=features)
         return c, macro_f1(m.transform(t.filter(F.col("_cvf") == k)), label)
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    with ThreadPoolExecutor(max_workers=8) as pool:
         res = list(pool.map(one, [(c, k) for c in grid for k in range(folds)]))
     scores = {c: sum(f for cc, f in res if cc == c) / folds for c in grid}
     best_c = max(sorted(scores), key=lambda c: scores[c])
