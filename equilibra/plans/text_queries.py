@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import counterfactual as CF
+from ..operators import encoding as EN
 from ..sources import views
 from .oracle_views import with_views
 from .registry import register
@@ -150,3 +151,16 @@ SELECT row_id, CAST(para AS INTEGER) AS para, CAST(chunk AS INTEGER) AS chunk, C
 @register("chunk_notes", "T6 Q18", with_views(_CHUNK_SQL, "notes"))
 def chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
     return CF.chunk_notes(views.notes(spark, sf))
+
+
+@register("label_encode", "P8",
+          with_views(", gc AS (SELECT gender, CAST(dense_rank() OVER (ORDER BY gender) - 1 AS INTEGER) AS gender_code"
+                     " FROM (SELECT DISTINCT gender FROM notes WHERE gender IS NOT NULL))\n"
+                     ", lc AS (SELECT lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code"
+                     " FROM (SELECT DISTINCT lang FROM notes WHERE lang IS NOT NULL))\n"
+                     "SELECT n.row_id, n.gender, n.lang, gc.gender_code, lc.lang_code FROM notes n"
+                     " LEFT JOIN gc USING (gender) LEFT JOIN lc USING (lang)", "notes"))
+def label_encode(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.notes(spark, sf).select("row_id", "gender", "lang")
+    return EN.label_encode(EN.label_encode(n, "gender"), "lang").select("row_id", "gender", "lang",
+                                                                      "gender_code", "lang_code")
