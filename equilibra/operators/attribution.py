@@ -119,6 +119,32 @@ def linear_attribution(explain: DataFrame, background: DataFrame, beta: Sequence
     return rank_features(e.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score"))
 
 
+def sampled_shapley(df: DataFrame, beta: Sequence[float], intercept: float = 0.0, permutations: int = 10,
+                    key: str = "row_id", z: str = "z") -> DataFrame:
+    """M13 (b): sampled Shapley values of the hard prediction ``1[margin > 0]``.
+
+    Absent features take the background value (0 after standardisation).  For
+    each row and permutation p the features are ordered by
+    ``md5(row_id:p:j)``; walking that order, a feature's marginal is the change
+    of the indicator when its term joins the running margin.  A window per
+    (row, p) bounded by the dimension gives every marginal; the score of a
+    feature is the mean over rows of |mean over permutations|.
+    """
+    c = df.select(key, F.posexplode(F.zip_with(F.col(z), _lit_array(beta), lambda a, b: a * b))
+                  .alias("feature_idx", "_c"))
+    c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_p").cast("string"),
+                              F.col("feature_idx").cast("string")))
+    w = Window.partitionBy(key, "_p").orderBy(order, "feature_idx").rowsBetween(Window.unboundedPreceding,
+                                                                               Window.currentRow)
+    run = c.withColumn("_cum", F.sum("_c").over(w) + F.lit(float(intercept)))
+    marg = (F.when(F.col("_cum") > 0, 1).otherwise(0)
+            - F.when(F.col("_cum") - F.col("_c") > 0, 1).otherwise(0))
+    phi = run.groupBy(key, "feature_idx").agg(F.avg(marg).alias("_phi"))
+    score = phi.groupBy("feature_idx").agg(F.avg(F.abs("_phi")).alias("score"))
+    return rank_features(score.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score"))
+
+
 def permutation_importance(df: DataFrame, beta: Sequence[float], intercept: float = 0.0, repeats: int = 20,
                            key: str = "row_id", label: str = "label", z: str = "z") -> DataFrame:
     """Macro-F1 drop when one feature is permuted across rows, 20 repeats.

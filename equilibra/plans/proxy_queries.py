@@ -278,3 +278,24 @@ def token_attribution(spark: SparkSession, sf: str) -> DataFrame:
     n = views.notes(spark, sf).select("row_id", "text")
     t = AT.token_attribution(n, views.word_vectors(spark, sf), BETA)
     return t.select("row_id", "word", F.round("contribution", 6).alias("contribution"), "rank")
+
+
+SHAPLEY_PERMUTATIONS = 10
+
+
+@register("sampled_shapley", "M13",
+          with_views(_ALL_Z_SQL +
+                     f", pp AS (SELECT z.row_id, CAST(z.i AS INTEGER) AS feature_idx, z.z * {_beta_sql('z.i')} AS c,"
+                     f" CAST(t.p AS INTEGER) AS p FROM za_zl z, range(0, {SHAPLEY_PERMUTATIONS}) t(p))\n"
+                     ", ru AS (SELECT *, sum(c) OVER (PARTITION BY row_id, p ORDER BY md5(CAST(row_id AS VARCHAR) || ':'"
+                     " || CAST(p AS VARCHAR) || ':' || CAST(feature_idx AS VARCHAR)), feature_idx"
+                     " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 0.0 AS cum FROM pp)\n"
+                     ", ph AS (SELECT row_id, feature_idx, avg((CASE WHEN cum > 0 THEN 1 ELSE 0 END)"
+                     " - (CASE WHEN cum - c > 0 THEN 1 ELSE 0 END)) AS phi FROM ru GROUP BY row_id, feature_idx)\n"
+                     ", sc AS (SELECT feature_idx, avg(abs(phi)) AS score FROM ph GROUP BY feature_idx)\n"
+                     "SELECT feature_idx, round(score, 6) AS score, round(abs(score), 6) AS abs_score,"
+                     " 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
+                     " CAST(row_number() OVER (ORDER BY abs(score) DESC, feature_idx) AS INTEGER) AS rank FROM sc",
+                     "features"))
+def sampled_shapley(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(AT.sampled_shapley(standardized_features(spark, sf), BETA, permutations=SHAPLEY_PERMUTATIONS))

@@ -91,3 +91,25 @@ def test_mute_step_zero_is_full_margin_and_last_keeps_one(spark):
             kept = sum(beta[j] * zv[j] for j in order[s:])
             assert abs(steps[(i, s)] - kept) < 1e-9
     assert max(s for _, s in steps) == 4
+
+
+def test_sampled_shapley_efficiency(spark):
+    """Per row, the sampled values sum to f(all features) - f(no feature)."""
+    rows = [(i, [float(((i + 1) * (j + 2)) % 7 - 3) for j in range(5)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, z array<double>")
+    beta = AT.fixed_weights(5)
+    c = df.select("row_id", F.posexplode(F.zip_with("z", F.array(*[F.lit(b) for b in beta]), lambda a, b: a * b))
+                  .alias("feature_idx", "_c"))
+    c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_p"))
+    order = F.md5(F.concat_ws(":", F.col("row_id").cast("string"), F.col("_p").cast("string"),
+                              F.col("feature_idx").cast("string")))
+    w = Window.partitionBy("row_id", "_p").orderBy(order, "feature_idx").rowsBetween(Window.unboundedPreceding, 0)
+    run = c.withColumn("_cum", F.sum("_c").over(w))
+    marg = F.when(F.col("_cum") > 0, 1).otherwise(0) - F.when(F.col("_cum") - F.col("_c") > 0, 1).otherwise(0)
+    phi = run.groupBy("row_id", "feature_idx").agg(F.avg(marg).alias("phi")).groupBy("row_id").agg(F.sum("phi").alias("s"))
+    got = {r.row_id: r.s for r in phi.collect()}
+    for i, z in rows:
+        full = 1 if sum(b * x for b, x in zip(beta, z)) > 0 else 0
+        assert abs(got[i] - full) < 1e-12
+    ranked = AT.sampled_shapley(df, beta, permutations=4).collect()
+    assert sorted(r.rank for r in ranked) == [1, 2, 3, 4, 5]
