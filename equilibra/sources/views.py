@@ -1,7 +1,7 @@
 """Portable input views derived from the driver tables (see FIXTURES.md §2).
 
 Each function returns a lazy DataFrame; nothing is collected.  The same views
-are written as SQL in :mod:`equilibra.plans.oracle` so a second engine can
+are written as SQL in :mod:`equilibra.plans.oracle_views` so a second engine can
 check the results.
 """
 
@@ -85,12 +85,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`word_vectors`: word, vector; every third word (by sorted position) is left out.
 
-    The vocabulary is numbered with a distributed row number (range partitions
-    plus offsets), so no single task sees the whole vocabulary.
+    The vocabulary is numbered with a distributed row number (buckets of the
+    leading UTF-8 bytes plus offsets), so no single task sees the whole vocabulary.
     """
     vocab = (tokens(spark, sf_dir).select(F.lower("word").alias("word")).distinct()
              .filter(F.length("word") > 0))
-    numbered = row_number_within(vocab, [], ["word"], coarse=string_prefix_number(F.col("word")), out="k").withColumn("k", F.col("k") - 1)
+    numbered = (row_number_within(vocab, [], ["word"], coarse=string_prefix_number(F.col("word")), out="k")
+                .withColumn("k", F.col("k") - 1))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return (numbered.filter(F.col("k") % 3 != 0)
             .join(e, (F.col("k") % WORD_VECTOR_IDS) == e.vec_id)
