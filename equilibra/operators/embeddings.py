@@ -75,20 +75,49 @@ def weighted_mean_vectors(df: DataFrame, keys: Sequence[str], vector: str = "vec
     return agg.select(*keys, vector_to_array("_m").alias("vector"), F.col("n").cast("bigint").alias("n"))
 
 
+def hot_words(docs: DataFrame, key: str = "row_id", text: str = "text", clean_first: bool = True,
+              limit: int = 10000, sample_mod: int = 100) -> DataFrame:
+    """The most frequent words of a hash-selected 1/sample_mod of the texts (at most
+    ``limit`` rows, deterministic).  Only used to route join keys; no row is dropped."""
+    src = T.clean(text) if clean_first else F.col(text)
+    part = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(sample_mod)) == 0)
+    w = part.select(key, F.explode(T.tokens(src)).alias("word")).select(key, F.lower("word").alias("word"))
+    freq = w.groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
+    return freq.orderBy(F.col("_f").desc(), F.col("word")).limit(limit).select("word")
+
+
+def skew_safe_lexicon_join(counts: DataFrame, lexicon: DataFrame, hot: DataFrame, key: str = "row_id",
+                           salts: int = 32) -> DataFrame:
+    """counts(key, word, ...) joined to lexicon(word, vector) with hot words salted.
+
+    A hot word's rows are spread over ``salts`` tasks by ``hash(key)``; only the
+    hot lexicon rows (<= |hot| x salts) are replicated.  ``hot`` is bounded
+    (a capped word list) and broadcast.
+    """
+    h = F.broadcast(hot.select("word", F.lit(True).alias("_hot")))
+    c = counts.join(h, "word", "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts))).otherwise(F.lit(0)))
+    lx = lexicon.join(h, "word", "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                           .otherwise(F.array(F.lit(0)))))
+    return c.drop("_hot").join(lx.drop("_hot"), ["word", "_salt"]).drop("_salt")
+
+
 def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", text: str = "text",
-              clean_first: bool = True) -> DataFrame:
+              clean_first: bool = True, hot_limit: int = 10000, salts: int = 32) -> DataFrame:
     """Mean of the in-vocabulary token vectors of each text; null when none is known.
 
     Tokens are counted per (text, word) before the lexicon join (each occurrence
-    counts through the weight, map-side combined), joined once to the lexicon
-    (a word held by most texts is a skewed join key: AQE splits that partition
-    and replicates the single lexicon row), and the pooled vectors are joined
-    back to every text (left join).
+    counts through the weight, map-side combined); words that occur in most
+    texts are salted in the join (:func:`skew_safe_lexicon_join`), so no word
+    puts a third of all rows into one task; pooled vectors are joined back to
+    every text (left join).
     """
     src = T.clean(text) if clean_first else F.col(text)
     toks = docs.select(key, F.explode(T.tokens(src)).alias("word")).select(key, F.lower("word").alias("word"))
     counts = toks.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    hits = counts.join(word_vectors.select("word", "vector"), "word")
+    hot = hot_words(docs, key, text, clean_first, hot_limit)
+    hits = skew_safe_lexicon_join(counts, word_vectors.select("word", "vector"), hot, key, salts)
     pooled = weighted_mean_vectors(hits, [key], "vector", "_n")
     return docs.select(key).join(pooled, key, "left")
 

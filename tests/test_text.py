@@ -87,3 +87,15 @@ def test_variants_generator(spark):
     assert rows["neutr"].gender == "F" and rows["neutr"].text == "patient is here"
     flip = {r.variant: r for r in CF.counterfactual_variants(df, flip_neutral=True).collect()}
     assert flip["neutr"].gender == "M"
+
+
+def test_salted_lexicon_join_equals_plain_join(spark):
+    from equilibra.operators import embeddings as E
+    rows = [(i, "the" if i % 3 else f"w{i % 7}", 1 + i % 2) for i in range(200)]
+    counts = spark.createDataFrame(rows, "row_id long, word string, _n long")
+    lex = spark.createDataFrame([("the", [1.0]), ("w1", [2.0]), ("w2", [3.0])], "word string, vector array<double>")
+    hot = spark.createDataFrame([("the",), ("nope",)], "word string")
+    salted = E.skew_safe_lexicon_join(counts, lex, hot, salts=5)
+    plain = counts.join(lex, "word")
+    key = lambda r: (r.row_id, r.word, r._n, tuple(r.vector))
+    assert sorted(map(key, salted.collect())) == sorted(map(key, plain.collect()))
