@@ -276,7 +276,8 @@ def token_attribution(docs: DataFrame, word_vectors: DataFrame, beta: Sequence[f
     counts = toks.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
     wv = word_vectors.select("word", F.aggregate(F.zip_with("vector", _lit_array(beta), lambda a, b: a * b),
                                                  F.lit(0.0), lambda acc, x: acc + x).alias("_bv"))
-    hits = counts.join(wv, "word")
+    from .embeddings import hot_words, skew_safe_lexicon_join
+    hits = skew_safe_lexicon_join(counts, wv, hot_words(docs, key, text), key)
     tot = Window.partitionBy(key)
     c = hits.select(key, "word", (F.col("_n") * F.col("_bv") / F.sum("_n").over(tot)).alias("contribution"))
     w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("word"))

@@ -145,7 +145,8 @@ def chunk_token_vectors(chunks: DataFrame, word_vectors: DataFrame, opening: Col
     words = chunks.select(key, "para", "chunk", F.posexplode(F.split("chunk_text", " ")).alias("p", "word"))
     words = words.filter(F.length("word") > 0).select(key, "para", "chunk", (F.col("p") + 1).alias("pos"),
                                                       F.lower("word").alias("word"))
-    known = words.join(word_vectors.select("word", "vector"), "word").drop("word")
+    hot = hot_words(chunks, key, "chunk_text", clean_first=False)
+    known = skew_safe_lexicon_join(words, word_vectors.select("word", "vector"), hot, key).drop("word")
     ends = chunks.select(key, "para", "chunk", F.explode(F.array(
         F.struct(F.lit(0).alias("pos"), opening.alias("vector")),
         F.struct((F.col("n_words") + 1).alias("pos"), closing.alias("vector")))).alias("e"))
