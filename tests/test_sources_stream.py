@@ -74,3 +74,35 @@ def test_counterfactual_stream_available_now(spark):
     assert res.count() == 6
     sw = {r.row_id: r.text for r in res.filter(F.col("variant") == "swapped").collect()}
     assert sw == {1: "he is here", 2: "she saw her"}
+
+
+def test_notes_csv_multiline(spark):
+    d = _tmp()
+    p = os.path.join(d, "notes.csv")
+    with open(p, "w") as f:
+        f.write('TEXT,GENDER,DEPRESSION_majority,None-mental\n"Line one\nline ""two""",F,1,0\n"x",M,0,1\n')
+    rows = io.read_notes_csv(spark, p).orderBy("gender").collect()
+    assert rows[0].text == 'Line one\nline "two"' and rows[0].label == 1 and rows[1].none_mental == 1
+    assert len({r.row_id for r in rows}) == 2
+
+
+def test_partitioned_predictions_and_split_read(spark):
+    d = os.path.join(_tmp(), "preds")
+    df = spark.createDataFrame([("orig", "e", 0, "test", 1, "orig", "x", 0.3),
+                                ("orig", "e", 1, "test", 2, "orig", "x", 0.6)],
+                               "method string, embedding string, fold int, split string, row_id long,"
+                               " variant string, phenotype string, probability double")
+    io.write_predictions(df, d, ("method", "embedding", "fold", "split"))
+    back = io.read_split(spark, d, "test", "orig", "x", 1)
+    assert [r.row_id for r in back.collect()] == [2]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+
+
+def test_ranking_csv(spark):
+    d = _tmp()
+    p = os.path.join(d, "shap.csv")
+    with open(p, "w") as f:
+        f.write(",Feature,score,Absolute_Score\n4,Feature_5,0.2,0.2\n1,Feature_2,0.5,0.5\n")
+    rows = io.read_ranking_csv(spark, p).orderBy("rank").collect()
+    assert [(r.feature_idx, r.rank) for r in rows] == [(1, 1), (4, 2)]
