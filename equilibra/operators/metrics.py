@@ -85,7 +85,13 @@ def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "
             .groupBy(*keys, score)
             .agg(F.sum(_ind(y == 1)).cast("bigint").alias("_pos"),
                  F.sum(_ind(y != 1)).cast("bigint").alias("_neg")))
-    ranked = prefix_before(hist, keys, [score], ["_neg"], buckets=buckets, domain=domain)
+    coarse = None
+    if domain == PROBABILITY:
+        # buckets equal-width in logit space: probabilities crowded near 0 or 1
+        # still spread over many buckets (any monotone map keeps the sums exact)
+        p = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-9)), F.lit(1 - 1e-9))
+        coarse, domain = F.log(p / (1 - p)), (-21.0, 21.0)
+    ranked = prefix_before(hist, keys, [score], ["_neg"], coarse=coarse, buckets=buckets, domain=domain)
     u = F.col("_pos").cast("double") * (F.col("_neg_before") + F.col("_neg") * 0.5)
     agg = ranked.groupBy(*keys).agg(F.sum(u).alias("_u"), F.sum("_pos").alias("_p"),
                                     F.sum("_neg").alias("_n"))

@@ -84,3 +84,12 @@ def test_median_by_matches_python(spark):
     got = {r.k: r.median for r in ordered.median_by(df, ["k"], "v", "id", buckets=6).collect()}
     for k in "abc":
         assert abs(got[k] - statistics.median([v for kk, _, v in rows if kk == k])) < 1e-12
+
+
+def test_auc_probability_domain_with_crowded_scores(spark):
+    rnd = random.Random(4)
+    scores = [0.0, 1.0, 1e-12, 1e-6, 0.5] + [rnd.random() ** 8 for _ in range(200)]
+    rows = [("k", rnd.randint(0, 1), s) for s in scores]
+    df = spark.createDataFrame(rows, "k string, label int, probability double")
+    got = metrics.auc(df, ["k"], buckets=16, domain=metrics.PROBABILITY).first().auc
+    assert abs(got - _auc_ref([y for _, y, _ in rows], [s for _, _, s in rows])) < 1e-12
