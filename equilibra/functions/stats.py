@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+# executors need not have this package installed: ship the UDF and its helpers by value
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle without by-value registration
+    pass
+
 _EPS = 3e-16
 _TINY = 1e-300
 
