@@ -16,7 +16,7 @@ from ..operators import metrics
 from ..operators import models as MO
 from ..operators import summary
 from ..sources import views
-from .embedding_queries import bias_scores, pair_diffs
+from .embedding_queries import pair_diffs
 from .model_queries import fold_sets, halves
 from .registry import register
 
