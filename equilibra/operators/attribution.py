@@ -63,8 +63,12 @@ def margin(z: Column | str, beta: Sequence[float], intercept: float = 0.0) -> Co
 # ---------------------------------------------------------------- rankings
 
 def rank_features(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Rank 1 = largest |score|, ties by feature index (d rows: one small window)."""
-    w = Window.orderBy(F.abs(F.col(score)).desc(), F.col("feature_idx"))
+    """Rank 1 = largest |score|, ties by feature index (d rows: one small window).
+
+    Scores are compared at 9 decimals: averages that are equal in exact
+    arithmetic may differ in the last bits with summation order, and must tie.
+    """
+    w = Window.orderBy(F.round(F.abs(F.col(score)), 9).desc(), F.col("feature_idx"))
     return scores.select("*", F.abs(F.col(score)).alias("abs_score"),
                          F.concat(F.lit("Feature_"), (F.col("feature_idx") + 1).cast("string")).alias("feature"),
                          F.row_number().over(w).alias("rank"))
@@ -280,5 +284,5 @@ def token_attribution(docs: DataFrame, word_vectors: DataFrame, beta: Sequence[f
     hits = skew_safe_lexicon_join(counts, wv, hot_words(docs, key, text), key)
     tot = Window.partitionBy(key)
     c = hits.select(key, "word", (F.col("_n") * F.col("_bv") / F.sum("_n").over(tot)).alias("contribution"))
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("word"))
+    w = Window.partitionBy(key).orderBy(F.round(F.abs("contribution"), 9).desc(), F.col("word"))
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -173,7 +173,8 @@ def participatory_choice(scores: DataFrame, methods: Sequence[str], measure: str
         F.struct(F.lit(g).alias("gender"), F.col(f"{measure}_{g.lower()}").cast("double").alias("v"))
         for g in groups])).alias("x")).select(method, embedding, fold, "x.*")
     means = long.groupBy(method, embedding, "gender").agg(F.avg("v").alias("mean"))
-    w = Window.partitionBy(embedding, "gender").orderBy(F.col("mean").desc_nulls_last(),
+    # means compared at 9 decimals so that equal means tie in any summation order
+    w = Window.partitionBy(embedding, "gender").orderBy(F.round("mean", 9).desc_nulls_last(),
                                                         F.element_at(order, F.col(method)))
     best = (means.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .select(embedding, "gender", F.col(method).alias("best_method")))

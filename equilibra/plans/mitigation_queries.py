@@ -106,7 +106,7 @@ _CHOICE_SQL = SQL_SCORES + (
     + ") t(method, ord))\n"
     ", mn AS (SELECT method, embedding, gender, avg(v) AS mean FROM lg GROUP BY ALL)\n"
     ", bt AS (SELECT embedding, gender, method AS best_method FROM (SELECT mn.*, row_number() OVER (PARTITION BY"
-    " embedding, gender ORDER BY mean DESC NULLS LAST, mo.ord) AS rn FROM mn JOIN mo USING (method)) WHERE rn = 1)\n"
+    " embedding, gender ORDER BY round(mean, 9) DESC NULLS LAST, mo.ord) AS rn FROM mn JOIN mo USING (method)) WHERE rn = 1)\n"
     ", bs AS (SELECT embedding, fold, gender, v AS b FROM lg WHERE method = 'orig')\n"
     ", cd AS (SELECT l.method AS best_method, l.gender, bs.b - l.v AS d FROM lg l JOIN bs USING (embedding, fold, gender))\n"
     ", st AS (SELECT best_method, gender, count(d) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM cd GROUP BY ALL)\n"

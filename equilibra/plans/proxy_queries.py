@@ -62,7 +62,7 @@ _ALL_Z_SQL = (", fa AS (SELECT * FROM features)\n" + _stats_sql("fa", "st")
                      " THEN (mxg - mx * mg) / sqrt((mxx - mx * mx) * (mgg - mg * mg)) END AS score FROM mo)\n"
                      "SELECT feature_idx, round(score, 6) AS score, round(abs(score), 6) AS abs_score,"
                      " 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
-                     " CAST(row_number() OVER (ORDER BY abs(score) DESC, feature_idx) AS INTEGER) AS rank FROM pr",
+                     " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM pr",
                      "features"))
 def pcc_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _round(AT.pcc_ranking(views.features(spark, sf)))
@@ -92,7 +92,7 @@ def standardized_features(spark: SparkSession, sf: str) -> DataFrame:
                      + _beta_sql("z.i") + ") AS score FROM za_zl z JOIN bg USING (i) GROUP BY z.i)\n"
                      "SELECT feature_idx, round(score, 6) AS score, round(abs(score), 6) AS abs_score,"
                      " 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
-                     " CAST(row_number() OVER (ORDER BY abs(score) DESC, feature_idx) AS INTEGER) AS rank FROM lat",
+                     " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM lat",
                      "features"))
 def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
     z = standardized_features(spark, sf)
@@ -136,7 +136,7 @@ def _f1_sql(t: str) -> str:
                      ", im AS (SELECT feature_idx, avg(d) AS score, stddev_pop(d) AS std FROM dr GROUP BY feature_idx)\n"
                      "SELECT feature_idx, round(score, 6) AS score, round(std, 6) AS std,"
                      " round(abs(score), 6) AS abs_score, 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
-                     " CAST(row_number() OVER (ORDER BY abs(score) DESC, feature_idx) AS INTEGER) AS rank FROM im",
+                     " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM im",
                      "features"))
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     return _round(AT.permutation_importance(standardized_features(spark, sf), BETA, repeats=REPEATS))
@@ -270,7 +270,7 @@ def select_step(spark: SparkSession, sf: str) -> DataFrame:
                      " AS DOUBLE) * " + _beta_sql("i") + ")) AS bv FROM word_vectors)\n"
                      ", hc AS (SELECT c.row_id, c.word, c.n * w.bv / sum(c.n) OVER (PARTITION BY c.row_id) AS contribution"
                      " FROM cn c JOIN wb w USING (word))\n"
-                     ", rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, word)"
+                     ", rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY round(abs(contribution), 9) DESC, word)"
                      " AS INTEGER) AS rank FROM hc)\n"
                      "SELECT row_id, word, round(contribution, 6) AS contribution, rank FROM rk WHERE rank <= 50",
                      "notes", "word_vectors"))
@@ -295,7 +295,7 @@ SHAPLEY_PERMUTATIONS = 10
                      ", sc AS (SELECT feature_idx, avg(abs(phi)) AS score FROM ph GROUP BY feature_idx)\n"
                      "SELECT feature_idx, round(score, 6) AS score, round(abs(score), 6) AS abs_score,"
                      " 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
-                     " CAST(row_number() OVER (ORDER BY abs(score) DESC, feature_idx) AS INTEGER) AS rank FROM sc",
+                     " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM sc",
                      "features"))
 def sampled_shapley(spark: SparkSession, sf: str) -> DataFrame:
     return _round(AT.sampled_shapley(standardized_features(spark, sf), BETA, permutations=SHAPLEY_PERMUTATIONS))
