@@ -14,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+SLICE = 256  # rows of a batch that are Python values at the same time
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's own reader (any store it can reach)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,8 +50,8 @@ def add_columns(df: DataFrame, source: str, added: str, fn: Callable[[list], Seq
     """Append columns computed per Arrow batch from one column; all other columns pass through.
 
     ``fn`` gets the values of ``source`` (None for null) and returns one
-    sequence per column of the DDL string ``added``.  A batch is the only unit
-    held in memory, and no row moves between tasks.
+    sequence per column of the DDL string ``added``.  ``SLICE`` rows at a time
+    become Python values, and no row moves between tasks.
     """
     extra = StructType.fromDDL(added)
     clash = {f.name.lower() for f in extra} & {c.lower() for c in df.columns}
@@ -59,10 +62,12 @@ def add_columns(df: DataFrame, source: str, added: str, fn: Callable[[list], Seq
     names = [*df.columns, *extra.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = fn(batch.column(at).to_pylist())
-            cols = [pa.array(v, type=t) for v, t in zip(made, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                made = fn(batch.column(at).to_pylist())
+                cols = [pa.array(v, type=t) for v, t in zip(made, types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))
 
