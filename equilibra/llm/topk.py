@@ -101,20 +101,23 @@ def search_chunk(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.nd
 
 def _pairs(queries: DataFrame, vectors: DataFrame, groups: int, chunks: int, k: int) -> DataFrame:
     """Every query group against every chunk: (query_id, vec_id, score), at most k rows per query and chunk."""
-    left = queries.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = vectors.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # both sides come from one table: new names keep their columns apart
+    left = queries.select(F.col("id").alias("q_id"), F.col("w").alias("q_w"), "floor", F.col("_g").alias("q_g"),
+                          F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("q_c"))
+    right = vectors.select(F.col("id").alias("v_id"), F.col("w").alias("v_w"), F.col("_c").alias("v_c"),
+                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("v_g"))
 
     def run(ql: pd.DataFrame, vl: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for n in sorted(set(ql["w"].map(len)) & set(vl["w"].map(len))) if len(ql) and len(vl) else []:
-            a, b = ql[ql["w"].map(len) == n], vl[vl["w"].map(len) == n]
-            qi, vi = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-            q, x = np.stack(a["w"].to_list()).astype(np.int64), np.stack(b["w"].to_list()).astype(np.int64)
+        for n in sorted(set(ql["q_w"].map(len)) & set(vl["v_w"].map(len))) if len(ql) and len(vl) else []:
+            a, b = ql[ql["q_w"].map(len) == n], vl[vl["v_w"].map(len) == n]
+            qi, vi = a["q_id"].to_numpy(np.int64), b["v_id"].to_numpy(np.int64)
+            q, x = np.stack(a["q_w"].to_list()).astype(np.int64), np.stack(b["v_w"].to_list()).astype(np.int64)
             for i, s, ids in search_chunk(qi, q, a["floor"].fillna(-np.inf).to_numpy(np.float64), vi, x, k):
                 out.append(pd.DataFrame({"query_id": qi[i], "vec_id": ids, "score": s.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
-    return left.groupBy("_g", "_c").cogroup(right.groupBy("_g", "_c")).applyInPandas(
+    return left.groupBy("q_g", "q_c").cogroup(right.groupBy("v_g", "v_c")).applyInPandas(
         run, "query_id bigint, vec_id bigint, score bigint")
 
 
