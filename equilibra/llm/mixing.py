@@ -9,7 +9,7 @@ boundary bucket are summed again by the next bits, until the bucket is a single
 hash value.  Thresholds are nested: a larger budget keeps all a smaller one
 took.  Documents are then filtered row by row against their source's threshold.
 
-Bounds: a level's histogram has at most 2^15 rows per source, in the task of
+Bounds: a level's histogram has at most 2^12 rows per source, in the task of
 that source; the weights need one row per source in one task (a catalogue of
 sources, not of documents).  Thresholds are broadcast up to
 ``BROADCAST_SOURCES`` sources and shuffled beyond.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from equilibra.llm.common import fresh
 from equilibra.session import cut_lineage
 
-BITS = 15
-LEVELS = 4
+BITS = 12
+LEVELS = 5
 CAP = 3.0
 BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
