@@ -311,9 +311,11 @@ def labelled(page: str, seed: int, per_page: int = PER_PAGE) -> list[list[Block]
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of pages (the driver holds ``sample`` pages)."""
-    some = hashed_sample(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).where(
-        F.col("html").isNotNull()), "page_id", sample, 1)
-    rows = sorted(some.collect(), key=lambda r: (r.page_id is None, r.page_id or 0, r.html))
+    known = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).where(
+        F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    ids = hashed_sample(known.select("page_id").distinct(), "page_id", sample, 1)  # ids first: no task sends pages
+    rows = (known.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+            .orderBy("page_id").collect())
     texts = [r.html for r in rows] or [""]
     return fit([p for i, h in enumerate(texts) for p in labelled(h, i)])
 
