@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from equilibra.llm.common import add_columns, once
 
-MEMO = 2_000_000    # remembered neighbour pairs
-PIECES = 250_000    # remembered pieces
+MEMO = 300_000     # remembered neighbour pairs
+PIECES = 150_000    # remembered pieces
 LONG = 64           # longer pieces are not remembered
 
 
@@ -156,7 +156,7 @@ class Decoder:
 
 
 def _codec(path: str, pattern: str) -> Codec:
-    return once(("byte_bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
+    return once("byte_bpe", (path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -165,7 +165,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
 
 
 def _decoder(path: str) -> Decoder:
-    return once(("byte_bpe_decoder", path), lambda: Decoder(load_ranks(path)))
+    return once("byte_bpe_decoder", path, lambda: Decoder(load_ranks(path)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -32,18 +32,21 @@ def crc_remainder(doc_id: object, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-def once(key: object, make: Callable[[], object]) -> object:
+def once(kind: str, version: object, make: Callable[[], object]) -> object:
     """Build a helper object once per Python worker; later tasks of the worker reuse it.
 
     Functions shipped by value get new globals in every task, so the store is a
-    module entry of the worker process.  It keeps the last few objects only.
+    module entry of the worker process.  It keeps the last two kinds, one
+    version of each, so a worker that outlives a stage does not hoard.
     """
     store = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__.setdefault("kept", {})
-    if key not in store:
-        while len(store) >= 8:
+    held = store.get(kind)
+    if held is None or held[0] != version:
+        store.pop(kind, None)
+        while len(store) >= 2:
             store.pop(next(iter(store)))
-        store[key] = make()
-    return store[key]
+        held = store[kind] = (version, make())
+    return held[1]
 
 
 def add_columns(df: DataFrame, source: str, added: str, fn: Callable[[list], Sequence[Sequence]]) -> DataFrame:

@@ -46,7 +46,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 
 def _letters() -> np.ndarray:
-    return once("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+    return once("letters", 0, lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
 
 
 def _codes(text: str) -> np.ndarray:

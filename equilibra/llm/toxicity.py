@@ -44,7 +44,7 @@ TOXIC_BYTES = 16384       # largest size of the toxic dictionary
 HEAD = bytes(random.Random(7).randrange(97, 123) for _ in range(96))
 TAIL = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15])
 BINS = 8                  # differences 0 or less, 1, ..., 7 or more
-CACHE = 400_000           # windows whose difference a task remembers
+CACHE = 200_000           # windows whose difference a task remembers
 
 _WORD = re.compile(r"\w+")
 
@@ -213,10 +213,10 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", out: str =
     if model is None:
         return df.withColumn(out, F.lit(0.0))
     sent = df.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.weights))  # under 1 MB
-    key = ("toxicity", hash(model))
+    version = hash(model)
 
     def run(texts: list) -> list[list[float]]:
-        scorer = once(key, lambda: Scorer(Model(*sent.value)))
+        scorer = once("toxicity", version, lambda: Scorer(Model(*sent.value)))
         return [[scorer(t) for t in texts]]
 
     return add_columns(df, text_col, f"`{out}` double", run)
