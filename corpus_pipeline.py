@@ -55,8 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document of the mix."""
     path, pattern = tokenizer()
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    out = byte_bpe.decode(ids, path)
+    out = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from equilibra.llm.common import add_columns, once
 
-MEMO = 300_000     # remembered neighbour pairs
-PIECES = 150_000    # remembered pieces
+MEMO = 200_000     # remembered neighbour pairs
+PIECES = 100_000    # remembered pieces
 LONG = 64           # longer pieces are not remembered
 
 
@@ -143,13 +143,6 @@ class Codec:
             out.append(got)
         return b"".join(out)
 
-
-class Decoder:
-    """The way back needs the token bytes only."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self._bytes = {r: b for b, r in ranks.items()}
-
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that packed ids stand for."""
         return b"".join(map(self._bytes.__getitem__, unpack(ids or b"")))
@@ -164,10 +157,18 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
     return add_columns(df, text_col, f"`{out}` binary", lambda texts: [[_codec(path, pattern).encode(t) for t in texts]])
 
 
-def _decoder(path: str) -> Decoder:
-    return once("byte_bpe_decoder", path, lambda: Decoder(load_ranks(path)))
+def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """Append the bytes that each row's packed ids decode to."""
+    return add_columns(df, ids_col, f"`{out}` binary", lambda rows: [[_codec(path, pattern).decode(b) for b in rows]])
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append the bytes that each row's packed ids decode to."""
-    return add_columns(df, ids_col, f"`{out}` binary", lambda rows: [[_decoder(path).decode(b) for b in rows]])
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_out: str = "ids",
+               decoded_out: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, in one Python worker instead of two."""
+
+    def run(texts: list) -> list[list[bytes]]:
+        codec = _codec(path, pattern)
+        ids = [codec.encode(t) for t in texts]
+        return [ids, [codec.decode(b) for b in ids]]
+
+    return add_columns(df, text_col, f"`{ids_out}` binary, `{decoded_out}` binary", run)

@@ -36,17 +36,15 @@ def once(kind: str, version: object, make: Callable[[], object]) -> object:
     """Build a helper object once per Python worker; later tasks of the worker reuse it.
 
     Functions shipped by value get new globals in every task, so the store is a
-    module entry of the worker process.  It keeps the last two kinds, one
-    version of each, so a worker that outlives a stage does not hoard.
+    module entry of the worker process.  It keeps one object at a time, so a
+    worker that outlives a stage does not hoard.
     """
-    store = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__.setdefault("kept", {})
-    held = store.get(kind)
-    if held is None or held[0] != version:
-        store.pop(kind, None)
-        while len(store) >= 2:
-            store.pop(next(iter(store)))
-        held = store[kind] = (version, make())
-    return held[1]
+    store = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__
+    held = store.get("kept")
+    if held is None or held[:2] != (kind, version):
+        store["kept"] = held = None
+        held = store["kept"] = (kind, version, make())
+    return held[2]
 
 
 def add_columns(df: DataFrame, source: str, added: str, fn: Callable[[list], Sequence[Sequence]]) -> DataFrame:

@@ -63,8 +63,7 @@ def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, path, pattern).select("doc_id", "ids")
-    out = byte_bpe.decode(ids, path)
+    out = byte_bpe.round_trip(docs, path, pattern)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -16,7 +16,6 @@ from equilibra.llm.common import crc_remainder, id_remainder
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = byte_bpe.load_ranks(PATH)
 CODEC = byte_bpe.Codec(RANKS, P.PATTERN)
-DECODER = byte_bpe.Decoder(RANKS)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
@@ -27,7 +26,7 @@ TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, sp
 def test_bpe_equals_tiktoken(text):
     ids = CODEC.encode(text)
     assert byte_bpe.unpack(ids) == TIKTOKEN.encode_ordinary(text)
-    assert DECODER.decode(ids) == text.encode()
+    assert CODEC.decode(ids) == text.encode()
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,10 +36,11 @@ def test_bpe_long_pieces(text):
 
 
 def test_bpe_round_trip_of_odd_rows(odd_docs, no_docs):
-    out = byte_bpe.decode(byte_bpe.encode(odd_docs, PATH, P.PATTERN), PATH).collect()
+    out = byte_bpe.decode(byte_bpe.encode(odd_docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert len(out) == 12
     for r in out:
         assert bytes(r.decoded) == (r.text or "").encode() and r.score == "kept"
+    assert sorted(map(str, out)) == sorted(map(str, byte_bpe.round_trip(odd_docs, PATH, P.PATTERN).collect()))
     assert byte_bpe.encode(no_docs, PATH, P.PATTERN).count() == 0
 
 
