@@ -156,4 +156,4 @@ def lexicon_pairs(direction: str) -> list[tuple[str, str]]:
 
 def context_sentence(term: Column | str, context: Column | str, head: str = "depression") -> Column:
     """T7: '[head] is a ...' template with the bracketed head replaced by the term."""
-    return F.concat(_c(term), F.substring(_c(context), len(head) + 3, 1 << 20))
+    return F.concat(_c(term), F.substring(_c(context), F.lit(len(head) + 3), F.greatest(F.length(_c(context)), F.lit(1))))

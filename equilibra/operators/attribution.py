@@ -103,7 +103,16 @@ def pcc_ranking(df: DataFrame, **kw) -> DataFrame:
 
 def random_ranking(spark: SparkSession, dim: int, seed: int = 0) -> DataFrame:
     """A reproducible random order of the features (md5 of name and seed)."""
-    r = spark.range(dim).select(F.col("id").cast("int").alias("feature_idx"))
+    return _random_order(spark.range(dim).select(F.col("id").cast("int").alias("feature_idx")), seed)
+
+
+def random_ranking_of(df: DataFrame, vector: str = "features", seed: int = 0) -> DataFrame:
+    """M16 over the features that the rows of ``df`` have (the longest vector's)."""
+    dim = df.agg(F.max(F.size(vector)).alias("d")).filter("d > 0")
+    return _random_order(dim.select(F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("feature_idx")), seed)
+
+
+def _random_order(r: DataFrame, seed: int) -> DataFrame:
     h = F.md5(F.concat(F.lit("Feature_"), (F.col("feature_idx") + 1).cast("string"), F.lit(":"), F.lit(str(seed))))
     w = Window.orderBy(h, F.col("feature_idx"))
     return r.select("feature_idx", F.concat(F.lit("Feature_"), (F.col("feature_idx") + 1).cast("string"))

@@ -1,7 +1,7 @@
 """Label encoding (P8): sorted distinct values -> 0..k-1.
 
 The code table has one row per class (a label column has few), so the window
-over it and its broadcast are bounded by the number of classes.
+over it is bounded by the number of classes.
 """
 
 from __future__ import annotations
@@ -19,4 +19,5 @@ def label_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Add the class code of ``col`` (null stays null)."""
-    return df.join(F.broadcast(label_codes(df, col, out)), col, "left")
+    # broadcast or not is left to the size that the optimizer sees
+    return df.join(label_codes(df, col, out), col, "left")

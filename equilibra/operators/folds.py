@@ -40,7 +40,8 @@ def stratified_folds(df: DataFrame, key: str = "row_id", strata: Sequence[str] =
     base = df.select(key, *strata)
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
     x = x.withColumn("_h", order_hash(key, "seed"))
-    r = row_number_within(x, ["seed", *strata], ["_h", key], coarse=hex_prefix_number(F.col("_h")), out="rn")
+    r = row_number_within(x, ["seed", *strata], ["_h", key], coarse=hex_prefix_number(F.col("_h")), out="rn",
+                          domain=(0, 16 ** 12))  # a hash fills its known domain evenly
     k = ((F.col("rn") - 1) % n_splits).cast("int")
     return r.select("seed", key, *strata, "rn", k.alias("k"),
                     (F.col("seed") * n_splits + k).cast("int").alias("fold"))

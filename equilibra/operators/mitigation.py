@@ -18,13 +18,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import t_two_sided_p
+from ..functions.stats import t_pvalue
 from .metrics import _div, _ind
 
 COUNTS = ("pp", "pn", "up", "un")  # privileged / unprivileged x positive / negative label
@@ -141,26 +140,9 @@ def reject_option_apply(df: DataFrame, chosen: DataFrame, keys: Sequence[str], g
 
 # ---------------------------------------------------------------- M11, H3, J6
 
-@lru_cache(maxsize=None)
-def t_critical(max_df: int = 200, alpha: float = 0.05) -> tuple[float, ...]:
-    """Two-sided critical values of Student t for df = 1..max_df (bisection on the p-value)."""
-    out = []
-    for df in range(1, max_df + 1):
-        lo, hi = 0.0, 1e4
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            if t_two_sided_p(mid, float(df)) > alpha:
-                lo = mid
-            else:
-                hi = mid
-        out.append(hi)
-    return tuple(out)
-
-
 def significant_t(t: Column, df: Column, alpha: float = 0.05) -> Column:
-    """|t| beyond the two-sided critical value (false when t or df is null)."""
-    crit = F.array(*[F.lit(c) for c in t_critical(200, alpha)])
-    return F.coalesce(F.abs(t) > F.element_at(crit, df.cast("int")), F.lit(False))
+    """Two-sided p-value under ``alpha``, for any df (false when t or df is null); for aggregate rows."""
+    return F.coalesce(t_pvalue(t, df) < alpha, F.lit(False))
 
 
 def participatory_choice(scores: DataFrame, methods: Sequence[str], measure: str = "tpr",

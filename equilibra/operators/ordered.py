@@ -98,13 +98,13 @@ def prefix_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                       coarse: Column | None = None, out: str = "rn",
-                      buckets: int | None = None) -> DataFrame:
+                      buckets: int | None = None, domain: tuple[float, float] | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by keys order by order)``, 1-based, scalable.
 
     ``order`` must be unique within ``keys``; ``coarse`` as in :func:`prefix_before`.
     """
     one = "_one_row"
-    numbered = prefix_before(df.withColumn(one, F.lit(1)), keys, order, [one], coarse, buckets)
+    numbered = prefix_before(df.withColumn(one, F.lit(1)), keys, order, [one], coarse, buckets, domain=domain)
     return numbered.select(*df.columns, (F.col(f"{one}_before") + 1).alias(out))
 
 

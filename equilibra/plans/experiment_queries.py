@@ -24,7 +24,7 @@ from .registry import register
 STUDY1_TREATMENTS = ("orig", "swapped", "neutr", "augmented")
 
 
-@register("study1_experiment", "M22 M4 A14 A15 U2")
+@register("study1_experiment", "M22 M4 A14 A15")
 def study1_experiment(spark: SparkSession, sf: str) -> DataFrame:
     """Per treatment: 3-fold model selection on the training rows, scored on the paired test
     set; rates, ratios, mismatch (A15) and mean probabilities (A14) over both halves."""
@@ -54,8 +54,8 @@ def embedding_bias_experiment(spark: SparkSession, sf: str) -> DataFrame:
     return E.direct_bias_summary(scored)
 
 
-@register("proxymute_run", "M24 M12 M13 M17 M19")
-def proxymute_run(spark: SparkSession, sf: str) -> DataFrame:
+@register("proxy_mute_pipeline", "M24 M12 M13 M17 M19")
+def proxy_mute_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Rank features by their attribution in a gender (proxy) classifier, mute them in the
     label classifier step by step on validation and test pairs, select a step (M19)."""
     s = fold_sets(spark, sf)
@@ -70,8 +70,9 @@ def proxymute_run(spark: SparkSession, sf: str) -> DataFrame:
         return model.scaler.transform(x).withColumn("z", vector_to_array("_zv")).drop("_fv", "_zv")
 
     beta_proxy = [float(b) for b in proxy.svm.coefficients.toArray()]
-    zp = z_of(proxy, s["val"])
-    ranking = AT.linear_attribution(zp, z_of(proxy, s["train"]), beta_proxy)
+    # explained rows and background are the training and validation rows together
+    zp = z_of(proxy, s["train"].unionByName(s["val"]))
+    ranking = AT.linear_attribution(zp, zp, beta_proxy)
     beta = [float(b) for b in label_model.svm.coefficients.toArray()]
     b0 = float(label_model.svm.intercept)
     parts = []

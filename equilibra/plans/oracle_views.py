@@ -21,7 +21,7 @@ SELECT d.doc_id AS row_id,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "features": """
 SELECT n.row_id, n.gender, n.label, n.none_mental, e.embedding AS features
-FROM notes n JOIN embeddings e ON e.vec_id = n.row_id % 500""",
+FROM notes n JOIN embeddings e ON e.vec_id = n.row_id % (SELECT count(*) FROM embeddings)""",
     "predictions": """
 SELECT row_id, fold, embedding, variant, gender, label, probability,
   CASE WHEN probability >= 0.35 THEN 1 ELSE 0 END AS preds
@@ -34,13 +34,13 @@ FROM (
   FROM events e CROSS JOIN (SELECT 'orig' AS variant, 0 AS flip
                             UNION ALL SELECT 'swapped' AS variant, 1 AS flip) v) t""",
     "tokens": """
-SELECT doc_id AS row_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang = 'en'""",
+SELECT doc_id AS row_id, unnest(string_split(text, ' ')) AS word FROM documents""",
     "word_vectors": """
 SELECT w.word AS word, e.embedding AS vector
 FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS k
       FROM (SELECT DISTINCT lower(word) AS word FROM tokens) b
       WHERE length(word) > 0) w
-JOIN embeddings e ON e.vec_id = w.k % 500
+JOIN embeddings e ON e.vec_id = w.k % (SELECT count(*) FROM embeddings)
 WHERE w.k % 3 <> 0""",
 }
 

@@ -68,16 +68,15 @@ def pcc_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _round(AT.pcc_ranking(views.features(spark, sf)))
 
 
-_RANDOM_SQL = (f", rr AS (SELECT CAST(t.i AS INTEGER) AS feature_idx FROM range(0, {DIM}) t(i))\n"
+_RANDOM_SQL = (f", rr AS (SELECT CAST(unnest(range(0, (SELECT max(len(features)) FROM features))) AS INTEGER) AS feature_idx)\n"
                ", rrk AS (SELECT feature_idx, 'Feature_' || CAST(feature_idx + 1 AS VARCHAR) AS feature,"
                " CAST(row_number() OVER (ORDER BY md5('Feature_' || CAST(feature_idx + 1 AS VARCHAR) || ':0'),"
                " feature_idx) AS INTEGER) AS rank FROM rr)\n")
 
 
-@register("random_rank", "M16 Q2", with_views(_RANDOM_SQL + "SELECT * FROM rrk"))
+@register("random_rank", "M16 Q2", with_views(_RANDOM_SQL + "SELECT * FROM rrk", "features"))
 def random_rank(spark: SparkSession, sf: str) -> DataFrame:
-    dim = len(views.features(spark, sf).select("features").first()[0])
-    return AT.random_ranking(spark, dim, seed=0)
+    return AT.random_ranking_of(views.features(spark, sf))
 
 
 def standardized_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,13 +65,13 @@ def _summary_sql() -> str:
     return me + "SELECT method, embedding, " + ", ".join(sel) + " FROM me"
 
 
-@register("scores", "A7 S5",
+@register("scores", "A7",
           with_views(SQL_SCORES + "SELECT * FROM ev", "predictions"))
 def scores_query(spark: SparkSession, sf: str) -> DataFrame:
     return scores(spark, sf)
 
 
-@register("fairness_summary", "A16 A10 A12 A13 W1",
+@register("fairness_summary", "A16 A10 A12 A13",
           with_views(SQL_SCORES + SQL_RATIOS + _summary_sql(), "predictions"))
 def fairness_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _round(summary.summarize(scores(spark, sf), BY))

@@ -76,7 +76,7 @@ def _duck_lexicon(text: str, pairs) -> str:
             f"lambda w: CASE lower(w) {cases} ELSE w END), ' ')")
 
 
-@register("lexicon_swap", "T4 S8",
+@register("lexicon_swap", "T4",
           with_views("SELECT row_id, "
                      f"{_duck_lexicon('text', T.lexicon_pairs('female_to_male'))} AS to_male, "
                      f"{_duck_lexicon('text', T.lexicon_pairs('male_to_female'))} AS to_female, "

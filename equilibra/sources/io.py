@@ -18,16 +18,26 @@ NOTE_SCHEMA = T.StructType([
     T.StructField("DEPRESSION_majority", T.IntegerType()), T.StructField("None-mental", T.IntegerType())])
 
 
+def _write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` holds rows of; all others stay."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+
+
 def read_notes_csv(spark: SparkSession, path: str, schema: T.StructType = NOTE_SCHEMA,
                    key: str = "row_id") -> DataFrame:
     """Quoted, multi-line CSV notes -> (row_id, gender, text, label, none_mental).
 
-    The row id is a stable per-file position (input file name + offset order)
-    made explicit, because later stages pair rows by key, not by position.
+    The row id hashes the record's content, the file's name and a count of equal
+    records, so it depends neither on file packing nor on partitions: later
+    stages pair rows by key, not by position.
     """
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').csv(path))
-    df = df.withColumn(key, F.monotonically_increasing_id())
+    from pyspark.sql import Window
+    record = F.xxhash64(F.element_at(F.split(F.input_file_name(), "/"), -1), *[F.col(f"`{c}`") for c in df.columns])
+    df = df.withColumn("_record", record)
+    nth = F.row_number().over(Window.partitionBy("_record").orderBy("_record"))  # equal records only
+    df = df.withColumn(key, F.xxhash64("_record", nth)).drop("_record")
     return df.select(key, F.col("GENDER").alias("gender"), F.col("TEXT").alias("text"),
                      F.col("DEPRESSION_majority").alias("label"), F.col("None-mental").alias("none_mental"))
 
@@ -45,7 +55,7 @@ def read_wide_features(spark: SparkSession, path: str, dim: int, keep: Sequence[
 
 def write_features(df: DataFrame, path: str, partition_by: Sequence[str] = ("embedding", "variant")) -> None:
     """S2 sink: parquet partitioned by embedding and variant."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _write_partitions(df, path, partition_by)
 
 
 def read_split(spark: SparkSession, path: str, split: str, variant: str, phenotype: str, fold: int) -> DataFrame:
@@ -58,12 +68,12 @@ def read_split(spark: SparkSession, path: str, split: str, variant: str, phenoty
 def write_predictions(df: DataFrame, path: str,
                       partition_by: Sequence[str] = ("method", "embedding", "fold", "split")) -> None:
     """S4 sink."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _write_partitions(df, path, partition_by)
 
 
 def write_scores(df: DataFrame, path: str, partition_by: Sequence[str] = ("split", "method")) -> None:
     """S5 / S12 sink."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _write_partitions(df, path, partition_by)
 
 
 def write_if_absent(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -133,5 +143,5 @@ def read_word_vectors(spark: SparkSession, path: str, fmt: str = "parquet") -> D
         return spark.read.parquet(path).select("word", F.col("vector").cast("array<float>"))
     parts = F.split(F.trim(F.col("value")), " ")
     return spark.read.text(path).select(F.element_at(parts, 1).alias("word"),
-                                        F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.cast("float"))
+                                        F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.cast("float"))
                                         .alias("vector"))

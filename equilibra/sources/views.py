@@ -20,13 +20,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FEMALE_PREFIX = "Sex:  F. She said her mood is low, the woman is 98 F. "
 MALE_PREFIX = "Sex:  M. He said his mood is low, the man is with him. "
 MENTION_SENTENCE = "History of Depression. "
-WORD_VECTOR_IDS = 500  # embeddings rows used as word / feature vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vector_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Number of embedding rows (their ids run from 0), as a scalar subquery: part of the plan, no job."""
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1))).scalar()
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`notes`: row_id, gender, text, lang, label, none_mental (labelled documents)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -48,7 +52,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`features`: row_id, gender, label, none_mental, features array<float>."""
     n = notes(spark, sf_dir).select("row_id", "gender", "label", "none_mental")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return (n.join(e, (n.row_id % WORD_VECTOR_IDS) == e.vec_id)
+    n = n.withColumn("_v", F.col("row_id") % vector_count(spark, sf_dir))
+    return (n.join(e, F.col("_v") == F.col("vec_id"))
             .select("row_id", "gender", "label", "none_mental", F.col("embedding").alias("features")))
 
 
@@ -77,8 +82,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`tokens`: row_id, word (English documents split on single spaces)."""
-    d = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    """`tokens`: row_id, word (all documents split on single spaces)."""
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("row_id"), F.explode(F.split("text", " ")).alias("word"))
 
 
@@ -93,6 +98,6 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = (row_number_within(vocab, [], ["word"], coarse=string_prefix_number(F.col("word")), out="k")
                 .withColumn("k", F.col("k") - 1))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return (numbered.filter(F.col("k") % 3 != 0)
-            .join(e, (F.col("k") % WORD_VECTOR_IDS) == e.vec_id)
+    numbered = numbered.filter(F.col("k") % 3 != 0).withColumn("_v", F.col("k") % vector_count(spark, sf_dir))
+    return (numbered.join(e, F.col("_v") == F.col("vec_id"))
             .select("word", "vector"))
