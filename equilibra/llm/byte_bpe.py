@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from equilibra.llm.common import add_columns, once
 
-MEMO = 200_000     # remembered neighbour pairs
-PIECES = 100_000    # remembered pieces
+MEMO = 250_000      # remembered neighbour pairs, per generation
+PIECES = 100_000    # remembered pieces, per generation
 LONG = 64           # longer pieces are not remembered
 
 
@@ -72,11 +72,30 @@ def unpack(data: bytes) -> list[int]:
     return a.tolist()
 
 
+class Memo:
+    """A bounded memory of two generations: what is asked for again survives, the rest goes when both are full."""
+
+    def __init__(self, most: int):
+        self._most, self.young, self._old = most, {}, {}
+
+    def recall(self, key):
+        """The value of a key that is not in ``young``, or None."""
+        got = self._old.get(key)
+        return None if got is None else self.keep(key, got)
+
+    def keep(self, key, value):
+        if len(self.young) >= self._most:
+            self._old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self._ranks = ranks
         self._split = regex.compile(pattern)
         self._bytes = {r: b for b, r in ranks.items()}
+        self._size = [len(self._bytes.get(r, b"")) for r in range(max(ranks.values()) + 1)]
         self._auto = ahocorasick.Automaton()
         reachable = set()
         for b, r in ranks.items():
@@ -88,58 +107,61 @@ class Codec:
         self._shorter = {}
         for b in reachable:
             self._shorter[ranks[b]] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in reachable), -1)
-        self._fits: dict[int, bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._fits = Memo(MEMO)
+        self._pieces = Memo(PIECES)
 
     def _compatible(self, left: int, right: int) -> bool:
         key = (left << 32) | right
-        known = self._fits.get(key)
+        known = self._fits.recall(key)
         if known is None:
-            if len(self._fits) >= MEMO:
-                self._fits.clear()
             a, b = self._bytes[left], self._bytes[right]
-            known = self._fits[key] = merge(a + b, self._ranks) == [a, b]
+            # a pair that is a token itself would be merged further
+            known = self._fits.keep(key, a + b not in self._ranks and merge(a + b, self._ranks) == [a, b])
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self._ranks.get(data)
         if whole is not None:
             return [whole]
-        n = len(data)
+        n, size, shorter, fits = len(data), self._size, self._shorter, self._fits
         longest = [-1] * (n + 1)
         for end, rank in self._auto.iter(data.decode("latin-1")):
-            longest[end + 1 - len(self._bytes[rank])] = rank  # later ends are longer
-        dead, out, pos = bytearray(n + 1), [], 0
+            longest[end + 1 - size[rank]] = rank  # later ends are longer
+        dead, out, pos, last = bytearray(n + 1), [], 0, -1
         token = longest[0]
         while pos < n:
             while token >= 0:
-                end = pos + len(self._bytes[token])
-                if not dead[end] and (not out or self._compatible(out[-1], token)):
-                    break
-                token = self._shorter[token]
+                end = pos + size[token]
+                if not dead[end]:
+                    if last < 0:
+                        break
+                    fit = fits.young.get(last << 32 | token)
+                    if self._compatible(last, token) if fit is None else fit:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                pos, token = end, longest[end]
+                last, pos, token = token, end, longest[end]
             elif not out:
                 raise ValueError("the vocabulary lacks a byte of the text")
             else:
                 dead[pos] = 1
-                last = out.pop()
-                pos -= len(self._bytes[last])
-                token = self._shorter[last]
+                token = out.pop()
+                pos -= size[token]
+                last, token = out[-1] if out else -1, shorter[token]
         return out
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text, each match of the split pattern on its own."""
         known, out = self._pieces, []
         for piece in self._split.findall(text or ""):
-            got = known.get(piece)
+            got = known.young.get(piece)
+            if got is None:
+                got = known.recall(piece)
             if got is None:
                 got = pack(self.encode_piece(piece.encode("utf-8")))
                 if len(piece) <= LONG:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = got
+                    known.keep(piece, got)
             out.append(got)
         return b"".join(out)
 
