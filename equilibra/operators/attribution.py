@@ -5,7 +5,7 @@ The model is ``margin = b + sum_j beta_j z_j`` on standardised features
 muted feature is set to its training mean, its standardised value is 0, so
 muting the top-i ranked features gives ``margin_i = b + sum_{rank > i} beta_j z_j``:
 every step of the iterative analysis is one cumulative sum over the ranked
-contributions of a row (a window bounded by the dimension), not a refit.
+contributions of a row (an array of the dimension's length), not a refit.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from . import metrics
 from .ordered import hex_prefix_number, row_number_within
 
@@ -139,22 +140,35 @@ def sampled_shapley(df: DataFrame, beta: Sequence[float], intercept: float = 0.0
     Absent features take the background value (0 after standardisation).  For
     each row and permutation p the features are ordered by
     ``md5(row_id:p:j)``; walking that order, a feature's marginal is the change
-    of the indicator when its term joins the running margin.  A window per
-    (row, p) bounded by the dimension gives every marginal; the score of a
-    feature is the mean over rows of |mean over permutations|.
+    of the indicator when its term joins the running margin.  The walks stay
+    inside the row (arrays of the dimension's length); the score of a feature
+    is the mean over rows of |mean over permutations|, so only sums of one
+    value per feature are shuffled.
     """
-    c = df.select(key, F.posexplode(F.zip_with(F.col(z), _lit_array(beta), lambda a, b: a * b))
-                  .alias("feature_idx", "_c"))
-    c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
-    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_p").cast("string"),
-                              F.col("feature_idx").cast("string")))
-    w = Window.partitionBy(key, "_p").orderBy(order, "feature_idx").rowsBetween(Window.unboundedPreceding,
-                                                                               Window.currentRow)
-    run = c.withColumn("_cum", F.sum("_c").over(w) + F.lit(float(intercept)))
-    marg = (F.when(F.col("_cum") > 0, 1).otherwise(0)
-            - F.when(F.col("_cum") - F.col("_c") > 0, 1).otherwise(0))
-    phi = run.groupBy(key, "feature_idx").agg(F.avg(marg).alias("_phi"))
-    score = phi.groupBy("feature_idx").agg(F.avg(F.abs("_phi")).alias("score"))
+    b = F.lit(float(intercept))
+    terms = F.zip_with(F.col(z), _lit_array(beta), lambda a, w: a * w)
+
+    def on(m: Column) -> Column:
+        return F.when(m > 0, 1.0).otherwise(0.0)
+
+    def walk(p: Column) -> Column:
+        ordered = F.array_sort(F.transform(terms, lambda x, j: F.struct(
+            F.md5(F.concat_ws(":", F.col(key).cast("string"), p.cast("string"), j.cast("string"))).alias("h"),
+            j.alias("j"), x.alias("x"))))
+        start = F.struct(F.expr("cast(array() as array<struct<j:int,m:double>>)").alias("seen"), F.lit(0.0).alias("sum"))
+
+        def add(acc: Column, e: Column) -> Column:
+            m = acc["sum"] + e["x"] + b
+            step = F.struct(e["j"].alias("j"), (on(m) - on(m - e["x"])).alias("m"))
+            return F.struct(F.concat(acc["seen"], F.array(step)).alias("seen"), (acc["sum"] + e["x"]).alias("sum"))
+        return F.aggregate(ordered, start, add,
+                           lambda acc: F.transform(F.array_sort(acc["seen"]), lambda e: e["m"]))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(permutations - 1)), _lit_array([0.0] * len(beta)),
+                        lambda acc, p: F.zip_with(acc, walk(p), lambda x, y: x + y))
+    phi = df.select(F.transform(total, lambda x: F.abs(x) / permutations).alias("_phi"))
+    mean = phi.agg(Summarizer.mean(array_to_vector("_phi")).alias("_m"))
+    score = mean.select(F.posexplode(vector_to_array("_m")).alias("feature_idx", "score"))
     return rank_features(score.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score"))
 
 
@@ -168,11 +182,12 @@ def permutation_importance(df: DataFrame, beta: Sequence[float], intercept: floa
     features of a repeat are scored from one joined row pair.
     """
     beta_arr = _lit_array(beta)
-    base = df.select(key, label, z, margin(z, beta, intercept).alias("_m"))
+    base = cut_lineage(df.select(key, label, z, margin(z, beta, intercept).alias("_m")))  # read by every repeat
     reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
     reps = reps.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(":"),
                                                 F.col("_r").cast("string"), F.lit(":perm"))))
-    ranked = row_number_within(reps, ["_r"], ["_h", key], coarse=hex_prefix_number(F.col("_h")), out="_rn")
+    ranked = row_number_within(reps, ["_r"], ["_h", key], coarse=hex_prefix_number(F.col("_h")), out="_rn",
+                               domain=(0, 16 ** 12))
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     ranked = _with_stats(ranked, n)
     a = ranked.alias("a")
@@ -223,28 +238,28 @@ def iterative_mute(df: DataFrame, ranking: DataFrame, beta: Sequence[float], int
                    key: str = "row_id", z: str = "z", keys: Sequence[str] = ()) -> DataFrame:
     """Per row and step i = 0..d-2 the margin with the top-i ranked features muted.
 
-    Output rows (keys..., row_id, step, margin, preds) for every input row; a
-    window per row (d ranked contributions) gives all steps at once.
+    Output rows (keys..., row_id, step, margin, preds) for every input row.  A
+    row's contributions are put in rank order and summed inside the row, then
+    exploded: nothing is shuffled.
     """
     keys = list(keys)
-    dim = len(beta)
-    contrib = df.select(*keys, key, *[c for c in df.columns if c not in (*keys, key, z)],
-                        F.posexplode(F.zip_with(F.col(z), _lit_array(beta), lambda a, b: a * b))
-                        .alias("feature_idx", "_c"))
-    rk = F.broadcast(ranking.select(F.col("feature_idx").cast("int").alias("feature_idx"), "rank"))  # d rows
-    j = contrib.join(rk, "feature_idx")
+    last = max(len(beta) - 2, 0)
+    ranks = ranking.agg(F.transform(F.array_sort(F.collect_list(F.struct(  # one row of d ranks
+        F.col("feature_idx").cast("int").alias("i"), "rank"))), lambda e: e["rank"]).alias("_ranks"))
+    terms = F.zip_with(F.col(z), _lit_array(beta), lambda a, b: a * b)
+    ordered = F.array_sort(F.zip_with(F.col("_ranks"), terms, lambda r, c: F.struct(r.alias("r"), c.alias("c"))))
+    start = F.struct(F.expr("cast(array() as array<double>)").alias("run"), F.lit(0.0).alias("sum"))
+
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct(F.concat(acc["run"], F.array(acc["sum"] + e["c"])).alias("run"),
+                        (acc["sum"] + e["c"]).alias("sum"))
+    # step 0 is the full model, step i the rest behind rank i
+    rest = F.aggregate(ordered, start, add, lambda acc: F.concat(
+        F.array(acc["sum"]), F.transform(F.slice(acc["run"], 1, last), lambda x: acc["sum"] - x)))
     row_keys = [*keys, key, *[c for c in df.columns if c not in (*keys, key, z)]]
-    w_run = Window.partitionBy(*keys, key).orderBy("rank").rowsBetween(Window.unboundedPreceding,
-                                                                       Window.currentRow)
-    w_all = Window.partitionBy(*keys, key)
-    c = j.select(*row_keys, "rank", (F.sum("_c").over(w_all) - F.sum("_c").over(w_run)).alias("_rest"),
-                 F.sum("_c").over(w_all).alias("_tot"))
-    # step i keeps ranks > i: step 0 = full model; step i>=1 = rest after rank i
-    steps = c.filter(F.col("rank") <= dim - 2).select(*row_keys, F.col("rank").alias("step"), "_rest")
-    step0 = c.filter(F.col("rank") == 1).select(*row_keys, F.lit(0).alias("step"), F.col("_tot").alias("_rest"))
-    allsteps = step0.unionByName(steps)
+    steps = _with_stats(df, ranks).select(*row_keys, F.posexplode(rest).alias("step", "_rest"))
     m = F.col("_rest") + F.lit(float(intercept))
-    return allsteps.select(*row_keys, "step", m.alias("margin"), F.when(m > 0, 1).otherwise(0).alias("preds"))
+    return steps.select(*row_keys, "step", m.alias("margin"), F.when(m > 0, 1).otherwise(0).alias("preds"))
 
 
 # ---------------------------------------------------------------- M19, W5, W6, J9

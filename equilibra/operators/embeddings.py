@@ -1,19 +1,23 @@
 """Embedding operators.
 
-Vectors are ``array<float>`` columns.  Pooling is a grouped aggregate with
-map-side combine (``Summarizer`` works on ML vectors with a weight column), so
-no (row x dimension) explosion is shuffled.  Vector arithmetic (dot, norm,
-cosine, projection) is higher-order-function SQL, kept in codegen.
+Vectors are ``array<float>`` columns.  Word vectors are pooled block by block
+(see :func:`mean_pool`); token-vector tables are pooled by a grouped aggregate
+(``Summarizer`` on ML vectors with a weight column).  Vector arithmetic (dot,
+norm, cosine, projection) is higher-order-function SQL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 from .ordered import median_by
@@ -104,22 +108,50 @@ def skew_safe_lexicon_join(counts: DataFrame, lexicon: DataFrame, hot: DataFrame
 
 
 def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", text: str = "text",
-              clean_first: bool = True, hot_limit: int = 10000, salts: int = 32) -> DataFrame:
+              clean_first: bool = True, blocks: int | None = None) -> DataFrame:
     """Mean of the in-vocabulary token vectors of each text; null when none is known.
 
-    Tokens are counted per (text, word) before the lexicon join (each occurrence
-    counts through the weight, map-side combined); words that occur in most
-    texts are salted in the join (:func:`skew_safe_lexicon_join`), so no word
-    puts a third of all rows into one task; pooled vectors are joined back to
-    every text (left join).
+    Texts are hashed into ``blocks`` (default: 8 per shuffle partition).  The
+    lexicon (one row per word) is joined once to the distinct words of each
+    block, and a block's texts are pooled against its own words, so a vector
+    crosses the network once per block that uses its word, never once per text.
+    A word found in every text has ``blocks`` rows in that join.  A task holds
+    the words and the vectors of one block as Arrow columns; ``blocks`` grows
+    with the shuffle partitions of the session.
     """
     src = T.clean(text) if clean_first else F.col(text)
-    toks = docs.select(key, F.explode(T.tokens(src)).alias("word")).select(key, F.lower("word").alias("word"))
-    counts = toks.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_words(docs, key, text, clean_first, hot_limit)
-    hits = skew_safe_lexicon_join(counts, word_vectors.select("word", "vector"), hot, key, salts)
-    pooled = weighted_mean_vectors(hits, [key], "vector", "_n")
-    return docs.select(key).join(pooled, key, "left")
+    n_blocks = blocks or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")
+    texts = docs.select(F.col(key).alias("_key"), block.alias("_block"),
+                        F.transform(T.tokens(src), F.lower).alias("_words")).filter(F.size("_words") > 0)
+    used = texts.select(F.col("_block").alias("_used"), F.explode("_words").alias("word")).distinct()
+    known = used.join(word_vectors.select("word", "vector"), "word")
+    id_type = texts.schema["_key"].dataType
+
+    def pool(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, lists = right.column("word").combine_chunks(), right.column("vector").combine_chunks()
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1) if len(words) else None
+        keys, means, sizes = [], [], []
+        for batch in left.to_batches() if len(words) else []:
+            tokens = batch.column("_words")
+            at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1).to_numpy()
+            ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+            for i, known_at in enumerate(np.split(at, ends[:-1])):
+                known_at = known_at[known_at >= 0]
+                if len(known_at):
+                    total = sum(vectors[known_at[j:j + piece]].sum(axis=0, dtype=np.float64)
+                                for j in range(0, len(known_at), piece))
+                    keys.append(batch.column("_key")[i])
+                    means.append(total / len(known_at))
+                    sizes.append(len(known_at))
+        return pa.table([pa.array(keys, left.schema.field("_key").type), pa.array(means, pa.list_(pa.float64())),
+                         pa.array(sizes, pa.int64())], names=["_key", "vector", "n"])
+
+    piece = 1 << 16  # tokens gathered at a time
+    out = StructType([StructField("_key", id_type), StructField("vector", ArrayType(DoubleType())),
+                      StructField("n", LongType())])
+    pooled = texts.groupBy("_block").cogroup(known.groupBy("_used")).applyInArrow(pool, out)
+    return docs.select(key).join(pooled.withColumnRenamed("_key", key), key, "left")
 
 
 def context_pool(token_vectors: DataFrame, key: str = "row_id", pos: str = "pos",

@@ -75,7 +75,7 @@ def balanced_train(roles: DataFrame, notes: DataFrame, key: str = "row_id", labe
     tr = (roles.filter(F.col("role") == "train").join(notes.select(key, label, gender), key)
           .withColumn("_h", order_hash(key, "fold", F.lit("balance"))))
     ranked = row_number_within(tr, ["seed", "fold", label, gender], ["_h", key],
-                               coarse=hex_prefix_number(F.col("_h")), out="_rb")
+                               coarse=hex_prefix_number(F.col("_h")), out="_rb", domain=(0, 16 ** 12))
     counts = tr.groupBy("seed", "fold", label).agg(
         F.least(*[F.sum(F.when(F.col(gender) == g, 1).otherwise(0)) for g in groups]).alias("_keep"))
     out = ranked.join(counts, ["seed", "fold", label]).filter(F.col("_rb") <= F.col("_keep"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import prefix_before
 
 ALL = "ALL"
@@ -85,13 +86,7 @@ def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "
             .groupBy(*keys, score)
             .agg(F.sum(_ind(y == 1)).cast("bigint").alias("_pos"),
                  F.sum(_ind(y != 1)).cast("bigint").alias("_neg")))
-    coarse = None
-    if domain == PROBABILITY:
-        # buckets equal-width in logit space: probabilities crowded near 0 or 1
-        # still spread over many buckets (any monotone map keeps the sums exact)
-        p = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-9)), F.lit(1 - 1e-9))
-        coarse, domain = F.log(p / (1 - p)), (-21.0, 21.0)
-    ranked = prefix_before(hist, keys, [score], ["_neg"], coarse=coarse, buckets=buckets, domain=domain)
+    ranked = _ranked(hist, keys, score, ["_neg"], buckets, domain)
     u = F.col("_pos").cast("double") * (F.col("_neg_before") + F.col("_neg") * 0.5)
     agg = ranked.groupBy(*keys).agg(F.sum(u).alias("_u"), F.sum("_pos").alias("_p"),
                                     F.sum("_neg").alias("_n"))
@@ -100,6 +95,17 @@ def auc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "
     return agg.select(*keys, value.alias("auc"))
 
 
+def _ranked(hist: DataFrame, keys: Sequence[str], score: str, values: Sequence[str], buckets: int | None,
+            domain: tuple[float, float] | None) -> DataFrame:
+    coarse = None
+    if domain == PROBABILITY:
+        # buckets equal-width in logit space: probabilities crowded near 0 or 1
+        # still spread over many buckets (any monotone map keeps the sums exact)
+        p = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-9)), F.lit(1 - 1e-9))
+        coarse, domain = F.log(p / (1 - p)), (-21.0, 21.0)
+    return prefix_before(hist, keys, [score], values, coarse=coarse, buckets=buckets, domain=domain)
+
+
 def cross_tag(group: str = "gender", label: str = "label", first: str = "F") -> Column:
     """'fm' = first-group positives with other-group negatives; 'mf' the rest."""
     return F.when((F.col(group) == first) == (F.col(label) == 1), F.lit("fm")).otherwise(F.lit("mf"))
@@ -119,11 +125,46 @@ def auc_wide(df: DataFrame, keys: Sequence[str], group: str = "gender", label: s
              score: str = "probability", groups: tuple[str, str] = ("F", "M"),
              domain: tuple[float, float] | None = None) -> DataFrame:
     """auc_f, auc_m, auc, auc_fm, auc_mf and the min/max ratio (A11) per key."""
-    s = auc_by_slice(df, keys, group, label, score, groups[0], domain)
-    pick = {f"auc_{groups[0].lower()}": groups[0], f"auc_{groups[1].lower()}": groups[1],
-            "auc": ALL, "auc_fm": "fm", "auc_mf": "mf"}
-    wide = s.groupBy(*keys).agg(*[F.max(F.when(F.col("slice") == v, F.col("auc"))).alias(k)
-                                  for k, v in pick.items()])
+    return _auc_of(score_histogram(df, keys, group, label, score, groups), keys, score, groups, domain)
+
+
+def score_histogram(df: DataFrame, keys: Sequence[str], group: str, label: str, score: str,
+                    groups: tuple[str, str], pred: str | None = None) -> DataFrame:
+    """Per (keys, score) the labels 1 and 0 (``pos``, ``neg``) of the first group (``_0``), the second
+    (``_1``) and any other (``_2``); with ``pred`` also those predicted 1 (``tp``, ``fp``).
+
+    Every AUC and confusion count follows from it, so it is written once.  A
+    score shared by many rows costs one row per map task.
+    """
+    first, second = (F.coalesce(F.col(group) == g, F.lit(False)) for g in groups)
+    y = F.col(label)
+    cells = {}
+    for i, of in enumerate((first, second, ~first & ~second)):
+        cells |= {f"pos_{i}": of & (y == 1), f"neg_{i}": of & (y == 0)}
+        if pred:
+            cells |= {f"tp_{i}": of & (y == 1) & (F.col(pred) == 1), f"fp_{i}": of & (y == 0) & (F.col(pred) == 1)}
+    return cut_lineage(df.groupBy(*keys, score).agg(*[F.sum(_ind(c)).cast("bigint").alias(n) for n, c in cells.items()]))
+
+
+def _auc_of(hist: DataFrame, keys: Sequence[str], score: str, groups: tuple[str, str],
+            domain: tuple[float, float] | None) -> DataFrame:
+    names = [f"{kind}_{i}" for kind in ("pos", "neg") for i in range(3)]
+    slim = hist.filter(F.col(score).isNotNull()).select(*keys, score, *names)
+    ranked = _ranked(slim, keys, score, [f"neg_{i}" for i in range(3)], None, domain)
+    slices = {f"auc_{groups[0].lower()}": ((0,), (0,)), f"auc_{groups[1].lower()}": ((1,), (1,)),
+              "auc": ((0, 1, 2), (0, 1, 2)), "auc_fm": ((0,), (1, 2)), "auc_mf": ((1, 2), (0,))}
+
+    def total(names: Sequence[str]) -> Column:
+        return sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    sums = []
+    for name, (pos, neg) in slices.items():
+        p = total([f"pos_{i}" for i in pos])
+        u = p.cast("double") * (total([f"neg_{i}_before" for i in neg]) + total([f"neg_{i}" for i in neg]) * 0.5)
+        sums += [F.sum(u).alias(f"_u_{name}"), F.sum(p).alias(f"_p_{name}"),
+                 F.sum(total([f"neg_{i}" for i in neg])).alias(f"_n_{name}")]
+    agg = ranked.groupBy(*keys).agg(*sums)
+    wide = agg.select(*keys, *[_div(F.col(f"_u_{n}"), F.col(f"_p_{n}").cast("double") * F.col(f"_n_{n}")).alias(n)
+                               for n in slices])
     four = [F.col(f"auc_{groups[0].lower()}"), F.col(f"auc_{groups[1].lower()}"),
             F.col("auc_fm"), F.col("auc_mf")]
     return wide.withColumn("auc_minmax", minmax_ratio(four))
@@ -149,13 +190,23 @@ def counterfactual_mismatch(df: DataFrame, keys: Sequence[str], pair: str = "row
     The pair is an explicit key: one shuffle on (keys, pair) pivots both halves
     into one row (two rows per group at most), no self-join.
     """
+    return mismatch_of_pairs(pair_rows(df, keys, pair, variant, original, counterfactual, group, pred), keys, first)
+
+
+def pair_rows(df: DataFrame, keys: Sequence[str], pair: str, variant: str, original: str, counterfactual: str,
+              group: str, pred: str) -> DataFrame:
+    """One row per pair with predictions p0, p1 and groups g0, g1 of original and counterfactual."""
     v = F.col(variant)
-    pairs = (df.filter(v.isin(original, counterfactual))
+    return (df.filter(v.isin(original, counterfactual))
              .groupBy(*keys, pair)
              .agg(F.max(F.when(v == original, F.col(pred))).alias("p0"),
                   F.max(F.when(v == counterfactual, F.col(pred))).alias("p1"),
                   F.max(F.when(v == original, F.col(group))).alias("g0"),
                   F.max(F.when(v == counterfactual, F.col(group))).alias("g1")))
+
+
+def mismatch_of_pairs(pairs: DataFrame, keys: Sequence[str], first: str = "F") -> DataFrame:
+    """Mismatch counts per key from pair rows (p0, p1, g0, g1): a partial aggregate only."""
     diff = F.col("p0").isNotNull() & F.col("p1").isNotNull() & (F.col("p0") != F.col("p1"))
 
     def preds_of(is_first: bool) -> Column:
@@ -189,17 +240,34 @@ SCORE_COLUMNS = (
 
 def evaluate(df: DataFrame, keys: Sequence[str], variant: str = "variant",
              original: str = "orig", counterfactual: str = "swapped",
-             groups: tuple[str, str] = ("F", "M"), score_domain: tuple[float, float] | None = None) -> DataFrame:
-    """One score row per key: group metrics on the originals, mismatch on the pairs."""
-    orig = df.filter(F.col(variant) == original)
-    gm = group_metrics(orig, keys)
+             groups: tuple[str, str] = ("F", "M"), score_domain: tuple[float, float] | None = None,
+             pairs: DataFrame | None = None) -> DataFrame:
+    """One score row per key: group metrics on the originals, mismatch on the pairs.
+
+    Two reads of ``df``: one for the score histogram, which gives confusion
+    counts and every AUC, one for the pairs (none where pair rows p0, p1, g0,
+    g1 are given).  Labels and predictions are 0 or 1.
+    """
+    keys = list(keys)
     g0, g1 = groups
+    hist = score_histogram(df.filter(F.col(variant) == original), keys, "gender", "label", "probability", groups, "preds")
+    cells = [f"{kind}_{i}" for kind in ("pos", "neg", "tp", "fp") for i in range(3)]
+    sums = hist.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cells])
+
+    def counts(of: Sequence[int], tag: str) -> Column:
+        pos, neg, tp, fp = (sum((F.col(f"{kind}_{i}") for i in of[1:]), F.col(f"{kind}_{of[0]}"))
+                            for kind in ("pos", "neg", "tp", "fp"))
+        return F.struct(F.lit(tag).alias("tag"), (neg - fp).alias("tn"), fp.alias("fp"), (pos - tp).alias("fn"),
+                        tp.alias("tp"), pos.alias("pos"), neg.alias("neg"))
+    long = sums.select(*keys, F.explode(F.array(counts([0], g0), counts([1], g1), counts([0, 1, 2], ALL))).alias("c"))
+    gm = long.select(*keys, "c.*").filter(F.col("pos") + F.col("neg") > 0).select(
+        "*", *rate_columns(), *f1_columns())
     wide = gm.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("gender") == g, F.col(m))).alias(f"{m}_{g.lower()}")
+        *[F.max(F.when(F.col("tag") == g, F.col(m))).alias(f"{m}_{g.lower()}")
           for g in (g0, g1) for m in GROUP_MEASURES],
-        *[F.max(F.when(F.col("gender") == ALL, F.col(m))).alias(m) for m in ("tpr", "precision", "f1")])
-    aucs = auc_wide(orig, keys, groups=groups, domain=score_domain)
-    mm = counterfactual_mismatch(df, keys, variant=variant, original=original,
-                                 counterfactual=counterfactual, first=g0)
-    out = mm.join(wide, list(keys), "left").join(aucs, list(keys), "left")
+        *[F.max(F.when(F.col("tag") == ALL, F.col(m))).alias(m) for m in ("tpr", "precision", "f1")])
+    aucs = _auc_of(hist, keys, "probability", groups, score_domain)
+    mm = (counterfactual_mismatch(df, keys, variant=variant, original=original, counterfactual=counterfactual, first=g0)
+          if pairs is None else mismatch_of_pairs(pairs, keys, g0))
+    out = mm.join(wide, keys, "left").join(aucs, keys, "left")
     return out.select(*keys, *SCORE_COLUMNS)

@@ -2,12 +2,15 @@
 
 A window ``partitionBy(keys).orderBy(order)`` sends every row of a key to one
 task.  Fairness tables have few keys (embedding x fold) holding all rows, so
-that plan does not scale.  Here each row gets a *bucket*: an equal-width slice
-of ``[min, max]`` of a numeric, order-preserving ``coarse`` value within its
-key.  Buckets are a pure function of the data (exact min / max), so every
-branch of the plan computes the same bucket.  Each bucket computes local
-prefix sums, the per-(key, bucket) totals (at most ``keys x buckets`` rows)
-become offsets, and a join adds the offsets back.
+that plan does not scale.  Here each row gets a *bucket* from a numeric,
+order-preserving ``coarse`` value within its key.  Rows are counted per slice
+of ``coarse`` (slices of equal width on a logarithmic scale, so one extreme
+value does not stretch them); a row's rank is estimated from the counts of the
+lower slices and its place between its slice's smallest and largest value, and
+equal shares of the ranks are the buckets.  Counts, minima and maxima are exact,
+so every branch of the plan computes the same bucket.  Each bucket computes
+local prefix sums, the per-(key, bucket) totals (at most ``keys x buckets``
+rows) become offsets, and a join adds the offsets back.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _B = "_bucket"
+SLICES = 128        # slices per factor e of the coarse value
+SMALLEST = 1e-6     # values below it are sliced on a linear scale
+DOMAIN_SPLIT = 8    # buckets of a known domain are this much finer, as their shares are not counted
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -30,38 +36,44 @@ def hex_prefix_number(hex_col: Column, digits: int = 12) -> Column:
 
 
 def string_prefix_number(col: Column) -> Column:
-    """Order-preserving number from the first three UTF-8 bytes of a string."""
-    b = F.hex(F.substring(F.encode(col, "UTF-8").cast("binary"), 1, 3))
-    padded = F.rpad(b, 6, "0")
+    """Order-preserving number from the first six UTF-8 bytes of a string."""
+    b = F.hex(F.substring(F.encode(col, "UTF-8").cast("binary"), 1, 6))
+    padded = F.rpad(b, 12, "0")
     return F.conv(padded, 16, 10).cast("bigint")
 
 
 def with_bucket(df: DataFrame, keys: Sequence[str], coarse: Column, buckets: int,
                 domain: tuple[float, float] | None = None) -> DataFrame:
-    """Add ``_bucket`` in [0, buckets): equal-width slice of the key's coarse range.
+    """Add ``_bucket``: a non-decreasing function of ``coarse`` within the keys.
 
-    Any monotone bucket function keeps the prefix sums exact; the range only
-    balances the buckets.  With a known ``domain`` (e.g. probabilities in
-    [0, 1]) no bounds aggregation is needed; values outside clip to the ends.
+    Any monotone bucket function keeps the prefix sums exact; the slice counts
+    only balance the buckets.  With a known ``domain`` of evenly spread values
+    (e.g. hash prefixes) buckets are equal-width and nothing is counted; values
+    outside clip to the ends.
     """
     keys = list(keys)
+    value = coarse.cast("double")
     if domain is not None:
-        lo, hi = float(domain[0]), float(domain[1])
-        raw = F.floor((coarse.cast("double") - F.lit(lo)) / F.lit(hi - lo) * buckets)
-        b = F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(buckets - 1)).cast("int")
-        return df.withColumn(_B, b)
-    tmp = df.withColumn("_coarse", coarse.cast("double"))
-    bounds = tmp.groupBy(*keys).agg(F.min("_coarse").alias("_lo"), F.max("_coarse").alias("_hi"))
-    if not keys:
-        # a single bounds row, joined on a constant key
-        tmp, bounds, keys = tmp.withColumn("_all", F.lit(0)), bounds.withColumn("_all", F.lit(0)), ["_all"]
-    lhs, rhs = tmp.alias("_d"), bounds.alias("_m")
+        lo, hi, n = float(domain[0]), float(domain[1]), buckets * DOMAIN_SPLIT
+        raw = F.floor((value - F.lit(lo)) / F.lit(hi - lo) * n)
+        return df.withColumn(_B, F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(n - 1)).cast("int"))
+    widest = F.lit(800.0)  # beyond every finite double on this scale
+    log = F.signum(value) * F.log1p(F.abs(value) / SMALLEST)
+    cut = F.floor(F.least(F.greatest(F.coalesce(log, -widest), -widest), widest) * SLICES)
+    tmp = df.withColumn("_coarse", value).withColumn("_slice", cut)
+    per = tmp.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"), F.min("_coarse").alias("_lo"),
+                                           F.max("_coarse").alias("_hi"))
+    below = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("*", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_under"),
+                     F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"))
     cond = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_m.{k}")) for k in keys]
-    joined = lhs.join(rhs, cond, "inner").select("_d.*", "_m._lo", "_m._hi").drop("_all")
-    width = F.col("_hi") - F.col("_lo")
-    raw = F.when(width > 0, F.floor((F.col("_coarse") - F.col("_lo")) / width * buckets)).otherwise(F.lit(0))
-    bucket = F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    return joined.withColumn(_B, bucket).drop("_coarse", "_lo", "_hi")
+    cond.append(F.col("_d._slice") == F.col("_m._slice"))
+    joined = tmp.alias("_d").join(per.alias("_m"), cond, "inner").select(
+        "_d.*", "_m._rows", "_m._lo", "_m._hi", "_m._under", "_m._total")
+    place = F.when(F.col("_hi") > F.col("_lo"), (F.col("_coarse") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    rank = F.col("_under") + F.nanvl(F.coalesce(place, F.lit(0.0)), F.lit(0.0)) * F.col("_rows")
+    bucket = F.least(F.floor(rank * buckets / F.col("_total")), F.lit(buckets - 1)).cast("int")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], bucket.alias(_B))
 
 
 def prefix_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

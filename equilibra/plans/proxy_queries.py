@@ -14,7 +14,6 @@ from ..functions import text as T
 from ..operators import attribution as AT
 from ..operators import folds as FO
 from ..operators import metrics
-from ..session import cut_lineage
 from ..sources import views
 from .fairness_queries import sql_evaluate
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments
@@ -176,7 +175,7 @@ def drop_features(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------- M17 / M19
 
 def mute_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """(split, step, row_id, variant, gender, label, probability=margin, preds) on fold 0 of seed 0."""
+    """(split, step, row_id, gender, label, probability = margin, preds) on fold 0 of seed 0."""
     roles = FO.fold_roles(assignments(spark, sf, mention=True)).filter((F.col("seed") == 0) & (F.col("fold") == 0))
     f = views.features(spark, sf).select("row_id", "gender", "label", "features")
     d = roles.join(f, "row_id")
@@ -184,13 +183,7 @@ def mute_steps(spark: SparkSession, sf: str) -> DataFrame:
     z = AT.standardize(d.filter(F.col("role").isin("val", "test")), stats) \
         .select(F.col("role").alias("split"), "row_id", "gender", "label", "z")
     ranking = AT.random_ranking(spark, DIM, seed=0)
-    steps = AT.iterative_mute(z, ranking, BETA, keys=["split"])
-    # blind pairs: each row and its gender-flipped copy (the group is not a feature)
-    pairs = steps.select("*", F.explode(F.array(
-        F.struct(F.lit("orig").alias("variant"), F.col("gender").alias("g")),
-        F.struct(F.lit("swapped").alias("variant"), T.flip_gender("gender").alias("g")))).alias("v"))
-    return pairs.select("split", "step", "row_id", "v.variant", F.col("v.g").alias("gender"), "label",
-                        F.col("margin").alias("probability"), "preds")
+    return AT.iterative_mute(z, ranking, BETA, keys=["split"]).withColumnRenamed("margin", "probability")
 
 
 _STEPS_SQL = (_assign_sql(2, True) + _ROLES_SQL +
@@ -213,9 +206,12 @@ _STEPS_SQL = (_assign_sql(2, True) + _ROLES_SQL +
 
 
 def mute_scores(spark: SparkSession, sf: str) -> DataFrame:
-    # the (row x step) table feeds three aggregations: materialise it once in the
-    # shared checkpoint folder instead of recomputing folds, scaling and windows
-    return metrics.evaluate(cut_lineage(mute_steps(spark, sf)), ["split", "step"])
+    # blind pairs: each row and its gender-flipped copy (the group is not a feature), so a
+    # row is its own pair and no shuffle by row is needed
+    steps = mute_steps(spark, sf)
+    pairs = steps.select("split", "step", F.col("preds").alias("p0"), F.col("preds").alias("p1"),
+                         F.col("gender").alias("g0"), T.flip_gender("gender").alias("g1"))
+    return metrics.evaluate(steps.withColumn("variant", F.lit("orig")), ["split", "step"], pairs=pairs)
 
 
 _SCORE_ROUND = [c for c in metrics.SCORE_COLUMNS]
