@@ -123,8 +123,9 @@ def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", tex
     n_blocks = blocks or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")
     texts = docs.select(F.col(key).alias("_key"), block.alias("_block"),
-                        F.transform(T.tokens(src), F.lower).alias("_words")).filter(F.size("_words") > 0)
-    used = texts.select(F.col("_block").alias("_used"), F.explode("_words").alias("word")).distinct()
+                        T.tokens(F.lower(src)).alias("_words"))
+    # outer: a plain explode would add a size filter, which rewrites every text once more
+    used = texts.select(F.col("_block").alias("_used"), F.explode_outer("_words").alias("word")).distinct()
     known = used.join(word_vectors.select("word", "vector"), "word")
     id_type = texts.schema["_key"].dataType
 
@@ -135,7 +136,7 @@ def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", tex
         for batch in left.to_batches() if len(words) else []:
             tokens = batch.column("_words")
             at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1).to_numpy()
-            ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
             for i, known_at in enumerate(np.split(at, ends[:-1])):
                 known_at = known_at[known_at >= 0]
                 if len(known_at):

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import attribution as AT
 from ..operators import folds as FO
 from ..operators import metrics
+from ..session import cut_lineage
 from ..sources import views
 from .fairness_queries import sql_evaluate
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments
@@ -180,8 +181,9 @@ def mute_steps(spark: SparkSession, sf: str) -> DataFrame:
     f = views.features(spark, sf).select("row_id", "gender", "label", "features")
     d = roles.join(f, "row_id")
     stats = AT.feature_stats(d.filter(F.col("role") == "train"))
-    z = AT.standardize(d.filter(F.col("role").isin("val", "test")), stats) \
-        .select(F.col("role").alias("split"), "row_id", "gender", "label", "z")
+    # one vector per row; read by the histogram and by the pairs
+    z = cut_lineage(AT.standardize(d.filter(F.col("role").isin("val", "test")), stats)
+                    .select(F.col("role").alias("split"), "row_id", "gender", "label", "z"))
     ranking = AT.random_ranking(spark, DIM, seed=0)
     return AT.iterative_mute(z, ranking, BETA, keys=["split"]).withColumnRenamed("margin", "probability")
 
