@@ -1,23 +1,26 @@
 """Composed experiments (M22, M23, M24; rows-only checks).
 
 Each composes operators that are oracle-checked elsewhere; what is new here is
-the wiring: trained models feed the fairness tables.
+the wiring: trained models feed the fairness tables, fold by fold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import attribution as AT
 from ..operators import embeddings as E
 from ..operators import metrics
 from ..operators import models as MO
 from ..operators import summary
+from ..session import cut_lineage
 from ..sources import views
 from .embedding_queries import pair_diffs
-from .model_queries import fold_sets, halves
+from .model_queries import (fold_bundle_features, fold_sets, halves, per_fold, ranked_features, roar_predictions,
+                            with_gender_code)
 from .registry import register
 
 # The four training treatments of the study-1 experiment.
@@ -25,21 +28,22 @@ STUDY1_TREATMENTS = ("orig", "swapped", "neutr", "augmented")
 
 
 @register("study1_experiment", "M22 M4 A14 A15")
-def study1_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Per treatment: 3-fold model selection on the training rows, scored on the paired test
-    set; rates, ratios, mismatch (A15) and mean probabilities (A14) over both halves."""
-    out = None
+def study1_experiment(spark: SparkSession, sf: str, folds: Sequence[int] = (0,)) -> DataFrame:
+    """Per treatment and fold: 3-fold model selection on the training rows, scored on the paired
+    test set; rates, ratios, mismatch (A15) and mean probabilities (A14) over both halves."""
+    pred = None
     for tr in STUDY1_TREATMENTS:
-        s = fold_sets(spark, sf, tr)
-        model = MO.cross_validated(s["train"], folds=3)
-        pred = halves(model.transform(s["test"])).withColumn("treatment", F.lit(tr))
-        ratio = summary.fold_ratio(pred, ["treatment", "fold"])
-        probs = summary.prob_by_group_label(pred, ["treatment", "fold"]).filter(F.col("label").isNull())
-        wide = probs.groupBy("treatment", "fold").agg(
-            *[F.max(F.when(F.col("gender") == g, F.col("mean_prob"))).alias(f"prob_{g.lower()}") for g in ("F", "M")])
-        row = ratio.join(wide, ["treatment", "fold"], "left")
-        out = row if out is None else out.unionByName(row)
-    return out
+        fold_bundle_features(spark, sf, tr)
+        found = per_fold(lambda k: MO.cross_validated(fold_sets(spark, sf, tr, k)["train"], folds=3), folds)  # noqa: B023
+        part = halves(MO.score({(k,): m for k, m in zip(folds, found)}, fold_sets(spark, sf, tr)["test"], ["fold"]))
+        part = part.withColumn("treatment", F.lit(tr))
+        pred = part if pred is None else pred.unionByName(part)
+    pred = cut_lineage(pred.drop("features"))
+    ratio = summary.fold_ratio(pred, ["treatment", "fold"])
+    probs = summary.prob_by_group_label(pred, ["treatment", "fold"]).filter(F.col("label").isNull())
+    wide = probs.groupBy("treatment", "fold").agg(
+        *[F.max(F.when(F.col("gender") == g, F.col("mean_prob"))).alias(f"prob_{g.lower()}") for g in ("F", "M")])
+    return ratio.join(wide, ["treatment", "fold"], "left")
 
 
 @register("embedding_bias_experiment", "M23 E6 E7 E8 E9")
@@ -54,33 +58,64 @@ def embedding_bias_experiment(spark: SparkSession, sf: str) -> DataFrame:
     return E.direct_bias_summary(scored)
 
 
+EXPLAINERS = ("linear", "permutation", "pearson", "random")
+
+
+def proxy_ranking(spark: SparkSession, sf: str, fold: int, explainer: str) -> DataFrame:
+    """The fold's features ranked by what they tell about gender.
+
+    ``linear`` explains the gender classifier on training and validation rows
+    together, ``permutation`` on the validation rows; ``pearson`` correlates the
+    training features with gender; ``random`` is a control.
+    """
+    s = with_gender_code(fold_sets(spark, sf, fold=fold))
+    if explainer == "random":
+        return AT.random_ranking_of(s["train"], seed=fold)
+    if explainer == "pearson":
+        return AT.pcc_ranking(s["train"])
+    proxy, _ = MO.grid_search(s["train"], s["val"], label="gcode")
+    if explainer == "permutation":
+        return AT.permutation_importance(proxy.standardise(s["val"]), proxy.coef, proxy.intercept, label="gcode")
+    if explainer != "linear":
+        raise ValueError(f"explainer must be one of {EXPLAINERS}")
+    z = proxy.standardise(s["train"].unionByName(s["val"]))
+    return AT.linear_attribution(z, z, proxy.coef)
+
+
+def proxy_pipeline(spark: SparkSession, sf: str, explainer: str = "linear", method: str = "mute") -> DataFrame:
+    """Per fold, rank features by a proxy explanation, take them out step by step (``mute``: their
+    training mean, same model; ``roar``: refitted without them) on validation and test pairs, and
+    select a step on validation (M19)."""
+    fold_bundle_features(spark, sf, "orig")
+    splits = {"val": "val_pairs", "test": "test"}
+    rankings = per_fold(lambda k: cut_lineage(proxy_ranking(spark, sf, k, explainer)))
+    if method == "roar":
+        steps = roar_predictions(spark, sf, {k: ranked_features(r) for k, r in enumerate(rankings)}, splits)
+    elif method == "mute":
+        def fit(k: int) -> MO.LinearModel:
+            s = fold_sets(spark, sf, fold=k)
+            return MO.grid_search(s["train"], s["val"])[0]
+        steps = None
+        for k, model in enumerate(per_fold(fit)):
+            s = fold_sets(spark, sf, fold=k)
+            pairs = halves(s["val_pairs"]).withColumn("split", F.lit("val")).unionByName(
+                halves(s["test"]).withColumn("split", F.lit("test")))
+            z = model.standardise(pairs).select("fold", "split", "row_id", "variant", "gender", "label", "z")
+            part = AT.iterative_mute(z, rankings[k], model.coef, model.intercept, key="row_id",
+                                     keys=["fold", "split", "variant"])
+            steps = part if steps is None else steps.unionByName(part)
+        steps = steps.withColumnRenamed("margin", "probability")  # AUC needs the order only
+    else:
+        raise ValueError("method must be mute or roar")
+    scores = metrics.evaluate(cut_lineage(steps), ["fold", "split", "step"])
+    return AT.select_step(scores, ["fold"])
+
+
 @register("proxy_mute_pipeline", "M24 M12 M13 M17 M19")
 def proxy_mute_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank features by their attribution in a gender (proxy) classifier, mute them in the
-    label classifier step by step on validation and test pairs, select a step (M19)."""
-    s = fold_sets(spark, sf)
-    tr = s["train"].withColumn("gcode", T.gender_code("gender"))
-    va = s["val"].withColumn("gcode", T.gender_code("gender"))
-    proxy, _ = MO.grid_search(tr, va, label="gcode")
-    label_model, _ = MO.grid_search(s["train"], s["val"])
-
-    def z_of(model: MO.LinearModel, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        x = df.withColumn("_fv", array_to_vector("features"))
-        return model.scaler.transform(x).withColumn("z", vector_to_array("_zv")).drop("_fv", "_zv")
-
-    beta_proxy = [float(b) for b in proxy.svm.coefficients.toArray()]
-    # explained rows and background are the training and validation rows together
-    zp = z_of(proxy, s["train"].unionByName(s["val"]))
-    ranking = AT.linear_attribution(zp, zp, beta_proxy)
-    beta = [float(b) for b in label_model.svm.coefficients.toArray()]
-    b0 = float(label_model.svm.intercept)
-    parts = []
-    for split, df in (("val", s["val_pairs"]), ("test", s["test"])):
-        z = z_of(label_model, halves(df)).withColumn("split", F.lit(split))
-        steps = AT.iterative_mute(z.select("split", "row_id", "variant", "gender", "label", "z"), ranking, beta, b0,
-                                  key="row_id", keys=["split", "variant"])
-        parts.append(steps)
-    allsteps = parts[0].unionByName(parts[1]).withColumnRenamed("margin", "probability")
-    scores = metrics.evaluate(allsteps, ["split", "step"])
-    return AT.select_step(scores)
+    return proxy_pipeline(spark, sf, "linear", "mute")
+
+
+@register("proxy_pearson_mute", "M24 M15 M17 M19")
+def proxy_pearson_mute(spark: SparkSession, sf: str) -> DataFrame:
+    return proxy_pipeline(spark, sf, "pearson", "mute")

@@ -2,27 +2,34 @@
 
 Features per note variant are produced the way the studies do it: rewrite the
 notes into counterfactual variants (U1), then mean-pool word vectors (E1).
-One fold (fold 0 of seed 0) is run, as ``fold < config`` with config = 1.
+Every fold has its own models, trained on that fold's rows only; the models of
+all folds then score their rows in one pass.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import attribution as AT
 from ..operators import counterfactual as CF
 from ..operators import embeddings as E
 from ..operators import folds as FO
 from ..operators import metrics
 from ..operators import mitigation as MI
 from ..operators import models as MO
-from ..session import cut_lineage
-from ..sources import views
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import io, views
 from .fold_queries import assignments, cohort_notes
 from .registry import register
 
-CONFIG = 1  # folds run
+FOLDS = 5  # Fixed value: the folds that the studies run
+FOLDS_AT_ONCE = 2  # driver threads over folds; each runs the fits of its grid concurrently
+EMBEDDING = "word_mean"
 
 
 def variant_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,54 +58,72 @@ def fold_bundle_features(spark: SparkSession, sf: str, treatment: str) -> DataFr
         if ("feats", key[0], sf) not in _BUNDLES:
             _BUNDLES[("feats", key[0], sf)] = cut_lineage(variant_features(spark, sf))
         feats = _BUNDLES[("feats", key[0], sf)]
-        roles = FO.fold_roles(assignments(spark, sf, mention=True)).filter(F.col("fold") < CONFIG)
-        _BUNDLES[key] = cut_lineage(FO.fold_bundle(roles, feats, treatment))
+        _BUNDLES[key] = cut_lineage(FO.fold_bundle(fold_roles_run(spark, sf), feats, treatment))
     return _BUNDLES[key]
 
 
-def fold_sets(spark: SparkSession, sf: str, treatment: str = "orig") -> dict[str, DataFrame]:
-    """Training / validation / paired test sets of the folds run (F6 slots 0, 3, 1, 4, 2)."""
+def fold_roles_run(spark: SparkSession, sf: str) -> DataFrame:
+    """(seed, fold, role, row_id) of the folds run."""
+    return FO.fold_roles(assignments(spark, sf, mention=True)).filter(F.col("fold") < FOLDS)
+
+
+def fold_sets(spark: SparkSession, sf: str, treatment: str = "orig", fold: int | None = None) -> dict[str, DataFrame]:
+    """Training / validation / paired test sets (F6 slots 0, 3, 1, 4, 2) of one fold, or of
+    all of them with the fold as a column."""
     b = fold_bundle_features(spark, sf, treatment)
+    if fold is not None:
+        b = b.filter(F.col("fold") == fold)
     return {"train": b.filter("slot = 0"), "test": b.filter("slot = 1"), "blind": b.filter("slot = 2"),
             "val": b.filter("slot = 3"), "val_pairs": b.filter("slot = 4")}
 
 
+def per_fold(fit: Callable[[int], object], folds: Sequence[int] = range(FOLDS)) -> list:
+    """``fit(fold)`` for every fold, some folds at a time."""
+    return MO.in_parallel(fit, folds, FOLDS_AT_ONCE)
+
+
+def grid_rows(spark: SparkSession, fitted: list) -> DataFrame:
+    """(fold, c, val_macro_f1, chosen) of one grid search per fold."""
+    rows = [(k, c, f1, c == model.c) for k, (model, results) in enumerate(fitted) for c, f1 in results]
+    return spark.createDataFrame(rows, "fold int, c double, val_macro_f1 double, chosen boolean")
+
+
 @register("svm_grid", "M1 M2 M3 M5 W8 F7")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
-    s = fold_sets(spark, sf)
-    model, results = MO.grid_search(s["train"], s["val"])
-    rows = [(c, f1, c == model.c) for c, f1 in results]
-    return spark.createDataFrame(rows, "c double, val_macro_f1 double, chosen boolean")
-
-
-def _predict(model_or_models, df: DataFrame) -> DataFrame:
-    if isinstance(model_or_models, dict):
-        return MO.group_routed(model_or_models, df)
-    return model_or_models.transform(df)
-
-
-def run_method(spark: SparkSession, sf: str, method: str) -> tuple[DataFrame, DataFrame]:
-    """(test predictions, validation predictions) of one mitigation method."""
-    treatment = {"neutr": "neutr", "augmented": "augmented"}.get(method, "orig")
-    s = fold_sets(spark, sf, treatment)
-    if method == "gender_specific":
-        model = MO.group_models(s["train"], s["val"])
-    elif method == "reweighing":
-        tr = MI.reweighing(s["train"], ["fold"])
-        model = MO.grid_search(tr, s["val"], weight="weight")[0]
-    else:
-        model = MO.grid_search(s["train"], s["val"])[0]
-    # the neutralised method is tested blind: neutral notes and their gender-flipped copies
-    test, val = _predict(model, s["blind" if method == "neutr" else "test"]), _predict(model, s["val_pairs"])
-    if method == "postprocessing":
-        chosen = MI.reject_option_fit(val, ["fold"])
-        test = MI.reject_option_apply(test.drop("preds"), chosen, ["fold"])
-        val = MI.reject_option_apply(val.drop("preds"), chosen, ["fold"])
-    return test, val
-
-
-# The mitigation methods of the study-2 dispatcher.
-METHODS = ("orig", "neutr", "augmented", "gender_specific", "reweighing", "postprocessing")
+    fold_bundle_features(spark, sf, "orig")
+
+    def fit(k: int):
+        s = fold_sets(spark, sf, fold=k)
+        return MO.grid_search(s["train"], s["val"])
+    return grid_rows(spark, per_fold(fit))
+
+
+def balanced_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """(fold, row_id) of the under-sampled training rows."""
+    return FO.balanced_train(fold_roles_run(spark, sf), cohort_notes(spark, sf)).select("fold", "row_id")
+
+
+def fit_method(spark: SparkSession, sf: str, method: str) -> tuple[dict[tuple, MO.LinearModel], list[str]]:
+    """The models of one mitigation method, one per fold (and group), and the columns that choose one."""
+    treatment = method if method in ("neutr", "augmented") else "orig"
+    fold_bundle_features(spark, sf, treatment)
+    kept = cut_lineage(balanced_sets(spark, sf)) if method == "balanced" else None
+
+    def fit(k: int) -> dict[tuple, MO.LinearModel]:
+        s = fold_sets(spark, sf, treatment, k)
+        if method == "gender_specific":
+            return {(k, g): m for g, m in MO.group_models(s["train"], s["val"]).items()}
+        if method == "reweighing":
+            return {(k,): MO.grid_search(MI.reweighing(s["train"], ["fold"]), s["val"], weight="weight")[0]}
+        train = s["train"] if kept is None else FO.intersection(s["train"], kept.filter(F.col("fold") == k))
+        return {(k,): MO.grid_search(train, s["val"])[0]}
+
+    models = {key: m for found in per_fold(fit) for key, m in found.items()}
+    return models, ["fold", "gender"] if method == "gender_specific" else ["fold"]
+
+
+# The mitigation methods of the study-2 dispatchers.
+METHODS = ("orig", "neutr", "augmented", "gender_specific", "reweighing", "postprocessing", "balanced")
 
 
 def halves(df: DataFrame) -> DataFrame:
@@ -106,58 +131,104 @@ def halves(df: DataFrame) -> DataFrame:
     return df.withColumn("variant", F.when(F.col("variant").isin("orig", "neutr"), "orig").otherwise("swapped"))
 
 
-@register("mitigation_run", "M20 M6 M9 M10 A7")
-def mitigation_run(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for m in METHODS:
-        test, val = run_method(spark, sf, m)
-        for split, df in (("test", test), ("val", val)):
-            sc = metrics.evaluate(halves(df).withColumn("embedding", F.lit("word_mean")), ["embedding", "fold"])
-            sc = sc.select(F.lit(m).alias("method"), F.lit(split).alias("split"), "*")
-            out = sc if out is None else out.unionByName(sc)
+def method_predictions(spark: SparkSession, sf: str, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """(method, split, embedding, fold, variant, row_id, gender, label, preds, margin, probability)
+    of the test and validation pairs of every method and fold."""
+    out, orig = None, None
+    for method in methods:
+        if method == "postprocessing":
+            # decides anew on the scores of the untreated models
+            models, keys = orig or fit_method(spark, sf, "orig")
+        else:
+            models, keys = fit_method(spark, sf, method)
+        if method == "orig":
+            orig = models, keys
+        s = fold_sets(spark, sf, method if method in ("neutr", "augmented") else "orig")
+        # the neutralised method is tested blind: neutral notes and their gender-flipped copies
+        split = {"test": s["blind" if method == "neutr" else "test"], "val": s["val_pairs"]}
+        scored = {name: MO.score(models, df, keys) for name, df in split.items()}
+        if method == "postprocessing":
+            chosen = MI.reject_option_fit(scored["val"], ["fold"])
+            scored = {name: MI.reject_option_apply(df.drop("preds"), chosen, ["fold"]) for name, df in scored.items()}
+        for name, df in scored.items():
+            part = halves(df).select(F.lit(method).alias("method"), F.lit(name).alias("split"),
+                                     F.lit(EMBEDDING).alias("embedding"), "fold", "variant", "row_id", "gender",
+                                     "label", "preds", "margin", "probability")
+            out = part if out is None else out.unionByName(part)
     return out
 
 
+def hand_over(df: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Write a result with one of the sinks into the shared folder and read it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/result-{uuid.uuid4().hex}"
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@register("mitigation_run", "M20 M6 M9 M10 A7 F5 U7 S4 S5")
+def mitigation_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Every method on every fold: predictions written, read back and scored once, scores written and read back."""
+    preds = hand_over(method_predictions(spark, sf), io.write_predictions)
+    return hand_over(metrics.evaluate(preds, ["method", "split", "embedding", "fold"]), io.write_scores)
+
+
 @register("group_specific", "M7 M8")
 def group_specific(spark: SparkSession, sf: str) -> DataFrame:
-    test, _ = run_method(spark, sf, "gender_specific")
-    return metrics.evaluate(test.withColumn("embedding", F.lit("word_mean")), ["embedding", "fold"])
+    preds = cut_lineage(method_predictions(spark, sf, ("gender_specific",)).filter("split = 'test'"))
+    return metrics.evaluate(preds, ["embedding", "fold"])
+
+
+def with_gender_code(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: df.withColumn("gcode", T.gender_code("gender")) for name, df in s.items()}
 
 
 @register("proxy_classifier", "M12 P10")
 def proxy_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    s = fold_sets(spark, sf)
-    tr = s["train"].withColumn("gcode", T.gender_code("gender"))
-    va = s["val"].withColumn("gcode", T.gender_code("gender"))
-    model, results = MO.grid_search(tr, va, label="gcode")
-    return spark.createDataFrame([(c, f1, c == model.c) for c, f1 in results],
-                                 "c double, val_macro_f1 double, chosen boolean")
+    fold_bundle_features(spark, sf, "orig")
+
+    def fit(k: int):
+        s = with_gender_code(fold_sets(spark, sf, fold=k))
+        return MO.grid_search(s["train"], s["val"], label="gcode")
+    return grid_rows(spark, per_fold(fit))
 
 
 @register("cv_select", "F8 M4")
-def cv_select(spark: SparkSession, sf: str) -> DataFrame:
-    s = fold_sets(spark, sf)
-    model = MO.cross_validated(s["train"], folds=3)
-    scored = model.transform(s["test"])
-    return spark.createDataFrame([(model.c, MO.macro_f1(scored))], "c double, test_macro_f1 double")
+def cv_select(spark: SparkSession, sf: str, folds: Sequence[int] = (0,)) -> DataFrame:
+    fold_bundle_features(spark, sf, "orig")
+
+    def fit(k: int):
+        s = fold_sets(spark, sf, fold=k)
+        model = MO.cross_validated(s["train"], folds=3)
+        return k, model.c, MO.macro_f1s([model], s["test"])[0]
+    return spark.createDataFrame(per_fold(fit, folds), "fold int, c double, test_macro_f1 double")
+
+
+def ranked_features(ranking: DataFrame) -> list[int]:
+    """The feature order of a ranking: d entries, a parameter-size list."""
+    return [r.feature_idx for r in ranking.orderBy("rank").collect()]
+
+
+def roar_predictions(spark: SparkSession, sf: str, orders: dict[int, list[int]], splits: dict[str, str]) -> DataFrame:
+    """Per fold and step i = 0 .. d - 2 a model without the fold's top-i features (the C chosen with
+    all of them), applied to the pairs of ``splits`` (name -> set)."""
+    def fit(k: int) -> dict[tuple, MO.LinearModel]:
+        s = fold_sets(spark, sf, fold=k)
+        c = MO.grid_search(s["train"], s["val"])[0].c
+        return {(k, i): m for i, m in enumerate(MO.remove_and_retrain(s["train"], orders[k], c))}
+
+    models = {key: m for found in per_fold(fit, sorted(orders)) for key, m in found.items()}
+    s, out = fold_sets(spark, sf), None
+    for name, which in splits.items():
+        part = MO.score(models, halves(s[which]), ["fold"], extra="step int").drop("features")
+        part = part.withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("roar", "M18 P11")
-def roar(spark: SparkSession, sf: str, max_steps: int = 3) -> DataFrame:
-    """Remove-and-retrain: drop the top-i features of a ranking, refit with the chosen C."""
-    from ..operators import attribution as AT
-    s = fold_sets(spark, sf)
-    base, _ = MO.grid_search(s["train"], s["val"])
-    dim = len(s["train"].select("features").first()[0])
-    ranking = AT.random_ranking(spark, dim, seed=0).orderBy("rank").collect()
-    order = [r.feature_idx for r in ranking]  # d entries: a parameter-size list
-    out = None
-    for i in range(max_steps):
-        drop = order[:i]
-        tr = AT.drop_features(s["train"], drop)
-        te = AT.drop_features(s["test"], drop)
-        m = MO.fit_linear(tr, base.c)
-        sc = metrics.evaluate(m.transform(te).withColumn("embedding", F.lit("word_mean")), ["embedding", "fold"])
-        sc = sc.select(F.lit(i).alias("step"), "*")
-        out = sc if out is None else out.unionByName(sc)
-    return out
+def roar(spark: SparkSession, sf: str, folds: Sequence[int] = (0,)) -> DataFrame:
+    """Remove-and-retrain in a random feature order, every step (d - 1 refits a fold)."""
+    fold_bundle_features(spark, sf, "orig")
+    order = ranked_features(AT.random_ranking_of(fold_sets(spark, sf)["train"], seed=0))
+    preds = cut_lineage(roar_predictions(spark, sf, {k: order for k in folds}, {"test": "test"}))
+    return metrics.evaluate(preds.withColumn("embedding", F.lit(EMBEDDING)), ["embedding", "fold", "step"])

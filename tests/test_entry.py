@@ -28,4 +28,4 @@ def test_every_lazy_query_builds_small(spark):
 def test_one_model_query_small(spark):
     from tests.conftest import SF_SMALL
     rows = load_all()["svm_grid"].build(spark, SF_SMALL).collect()
-    assert len(rows) == 4 and sum(r.chosen for r in rows) == 1
+    assert len(rows) == 4 * 5 and {r.fold for r in rows if r.chosen} == set(range(5)) and sum(r.chosen for r in rows) == 5
