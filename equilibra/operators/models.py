@@ -36,7 +36,7 @@ C_GRID = (0.01, 0.1, 1.0, 10.0)
 C_GRID_STUDY1 = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 CONCURRENT_FITS = 8  # driver threads that run independent fits
-TOLERANCE = 1e-3  # Fixed value: the solver tolerance of the studies' classifier
+TOLERANCE = 1e-3  # the usual default of SVM libraries; MLlib's own is 1e-6
 
 
 def _dot(vector: Column, weights: Column) -> Column:
