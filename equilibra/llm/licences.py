@@ -61,12 +61,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     table = known(spark, texts)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    # no rule of the canonical form looks past a line break, so each line is canonicalised once for both lookups
+    rows = rows.select("doc_id", F.transform(F.split("text", "\n"), canonical).alias("lines"))
+    rows = rows.select("doc_id", F.filter("lines", lambda c: c != "").alias("lines"))
+    rows = rows.select("doc_id", "lines", F.sha2(F.array_join("lines", " "), 256).alias("digest"))
     whole = rows.join(F.broadcast(table), "digest", "left")
     by_digest = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("names"))  # fixed size
     names = by_digest.first().names
     lookup = F.create_map(*[F.lit(v) for kv in sorted(names.items()) for v in kv])
-    hints = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"(?i)licen[cs]|copyright|public domain|rights|warranty|permi"))
-    found = F.transform(hints, lambda s: F.try_element_at(lookup, digest(s)))
+    found = F.transform("lines", lambda c: F.try_element_at(lookup, F.sha2(c, 256)))
     lines = F.array_sort(F.array_distinct(F.filter(found, lambda s: s.isNotNull())))
     return whole.select("doc_id", "digest", "license", F.array_join(lines, ",").alias("line_licenses"))

@@ -336,6 +336,24 @@ def test_licence_scan(spark, odd_docs, no_docs):
     assert licences.scan(odd_docs).count() == 12 and licences.scan(no_docs).count() == 0
 
 
+def test_licence_scan_finds_every_known_line(spark):
+    from equilibra.llm.known_licences import TEXTS
+    notices = [(name, t) for name, t in TEXTS if "\n" not in t]
+    assert len(notices) >= 260
+    df = spark.createDataFrame([(i, f"Some prose.\n{t}\nMore of it.") for i, (_, t) in enumerate(notices)],
+                               "doc_id bigint, text string")
+    got = {r.doc_id: r.line_licenses for r in licences.scan(df).collect()}
+    assert [(n, t) for i, (n, t) in enumerate(notices) if got[i] != n] == []
+
+
+def test_licence_digest_by_line_is_that_of_the_whole(spark):
+    texts = ["a\r\nCopyright (c) 2020 X\r\nb", "sub\nlicense sub license\nfulfil\nfulfil \nx", "\u00a9\n\n(c)\ncopyright\rz\n",
+             "\n * All Rights Reserved.\n *\nΟΔΟΣ\nΣ", "", "--\n", "x\u2028copyright 2020 y\u0085all rights reserved\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = {r.doc_id: r.d for r in df.select("doc_id", licences.digest(F.col("text")).alias("d")).collect()}
+    assert {r.doc_id: r.digest for r in licences.scan(df).collect()} == want
+
+
 # ---- chat ----
 
 def test_schema_fingerprints_select_mappings(spark):
