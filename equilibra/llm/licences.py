@@ -4,10 +4,13 @@ A text is brought to a canonical form: lower case, copyright lines dropped,
 equivalent spellings made one, punctuation and white space made single
 spaces.  The SHA-256 of that form is looked up, by a hash join, among the
 digests of the known licence texts; these are canonicalised by the very same
-expressions.  The whole text of a document is one lookup; its lines, each an
-entire text again, are the other, so that a notice inside other prose is found.
+expressions.  The whole text of a document is one lookup; its lines and its
+runs of paragraphs, each an entire text again, are the other, so that a notice
+or a licence inside other prose is found.  A paragraph is a run of lines with a
+non-empty canonical form; a run starts where the first paragraph of a known
+text does and has as many paragraphs.
 
-The table of known texts is fixed (tens of rows), so it alone is broadcast;
+The table of known texts is fixed (hundreds of rows), so it alone is broadcast;
 documents are read once and never shuffled.
 
 Defined results: a null text counts as empty; the digest of an empty canonical
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilibra.llm.known_licences import TEXTS
+from equilibra.llm.known_licences import TEXTS, WHOLE
 
 # fixed values: spellings that count as equal (left is written as right); matched after lower-casing
 SPELLINGS = (
@@ -48,27 +51,56 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
-    """(digest, license) of the known texts."""
-    rows = spark.createDataFrame(list(texts), "license string, body string").where(canonical(F.col("body")) != "")
-    return rows.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license"))
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line; no rule of the canonical form looks past a line break."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+def paragraphs(lines: Column) -> Column:
+    """Canonical paragraphs from canonical lines; joined by spaces they are the canonical form of the text."""
+    marked = F.array_join(F.transform(lines, lambda c: F.when(c == "", "\n").otherwise(c)), " ")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def _digest_of(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, " "), 256)
+
+
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS,
+          whole: tuple[tuple[str, str, int, str], ...] = WHOLE) -> DataFrame:
+    """(digest, license, heads) of the known texts; heads are (digest of the first paragraph, paragraphs)."""
+    rows = spark.createDataFrame(list(texts), "license string, body string")
+    rows = rows.select("license", paragraphs(canonical_lines(F.col("body"))).alias("p")).where(F.size("p") > 0)
+    rows = rows.select("license", F.sha2(F.element_at("p", 1), 256).alias("head"), F.size("p").alias("n"),
+                       _digest_of(F.col("p")).alias("digest"))
+    rows = rows.union(spark.createDataFrame(list(whole), "license string, head string, n int, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.collect_set(F.struct("head", "n")).alias("heads"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: tuple[tuple[str, str], ...] = TEXTS,
+         whole: tuple[tuple[str, str, int, str], ...] = WHOLE) -> DataFrame:
     """(doc_id, digest, license, line_licenses) of every row: the licence that the whole text is, if any,
-    and the sorted names of those that whole lines of it are."""
+    and the sorted names of those that whole lines or runs of paragraphs of it are."""
     spark = df.sparkSession
-    table = known(spark, texts)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # no rule of the canonical form looks past a line break, so each line is canonicalised once for both lookups
-    rows = rows.select("doc_id", F.transform(F.split("text", "\n"), canonical).alias("lines"))
-    rows = rows.select("doc_id", F.filter("lines", lambda c: c != "").alias("lines"))
-    rows = rows.select("doc_id", "lines", F.sha2(F.array_join("lines", " "), 256).alias("digest"))
-    whole = rows.join(F.broadcast(table), "digest", "left")
-    by_digest = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("names"))  # fixed size
-    names = by_digest.first().names
+    table = known(spark, texts, whole)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    rows = rows.select("doc_id", F.filter("lines", lambda c: c != "").alias("lines"), paragraphs(F.col("lines")).alias("parts"))
+    rows = rows.select("doc_id", "lines", "parts", _digest_of(F.col("parts")).alias("digest"))
+    names, heads = {}, {}
+    for r in table.collect():  # fixed size
+        names[r.digest] = r.license
+        for h in r.heads:
+            heads.setdefault(h.head, set()).add(h.n)
     lookup = F.create_map(*[F.lit(v) for kv in sorted(names.items()) for v in kv])
-    found = F.transform("lines", lambda c: F.try_element_at(lookup, F.sha2(c, 256)))
+    sizes = F.create_map(*[c for h in sorted(heads) for c in (F.lit(h), F.array(*[F.lit(n) for n in sorted(heads[h])]))])
+
+    def runs(part: Column, at: Column) -> Column:
+        counts = F.coalesce(F.try_element_at(sizes, F.sha2(part, 256)), F.array().cast("array<int>"))
+        return F.transform(counts, lambda n: F.try_element_at(lookup, _digest_of(F.slice("parts", at + 1, n))))
+
+    found = F.concat(F.transform("lines", lambda c: F.try_element_at(lookup, F.sha2(c, 256))),
+                     F.flatten(F.transform("parts", runs)))
     lines = F.array_sort(F.array_distinct(F.filter(found, lambda s: s.isNotNull())))
-    return whole.select("doc_id", "digest", "license", F.array_join(lines, ",").alias("line_licenses"))
+    out = rows.join(F.broadcast(table.select("digest", "license")), "digest", "left")
+    return out.select("doc_id", "digest", "license", F.array_join(lines, ",").alias("line_licenses"))

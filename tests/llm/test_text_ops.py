@@ -354,6 +354,58 @@ def test_licence_digest_by_line_is_that_of_the_whole(spark):
     assert {r.doc_id: r.digest for r in licences.scan(df).collect()} == want
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>
+"""
+
+
+def test_licence_scan_finds_whole_texts_inside_others(spark):
+    from equilibra.llm.known_licences import APACHE_NOTICE, BSD_3, MIT
+    commented = "\n".join(f" * {x}" for x in APACHE_NOTICE.split("\n"))
+    cut = MIT[:MIT.index("THE SOFTWARE IS")]
+    texts = [UNLICENSE, f"Our terms.\n\n{UNLICENSE}\nThe end.", f"/*\n * Copyright 2020 X\n{commented}\n */\nint x;",
+             f"prose\n\nThe parts:\n\n{MIT}\n\n{BSD_3}\n\nmore", f"prose\n\n{cut}\n\nmore", f"{cut}\n\n{MIT}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licences.scan(df).collect()}
+    assert got == {0: ("Unlicense", "Unlicense"), 1: (None, "Unlicense"), 2: (None, "Apache-2.0"),
+                   3: (None, "BSD-3-Clause,MIT"), 4: (None, ""), 5: (None, "MIT")}
+
+
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"),
+                                        ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
+                                        ("CC0-1.0", "CC0-1.0")])
+def test_licence_scan_knows_whole_texts(spark, name, file):
+    from pathlib import Path
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    df = spark.createDataFrame([(1, path.read_text()), (2, f"See below.\n\n{path.read_text()}")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licences.scan(df).collect()}
+    assert got[1][0] == name and got[2][0] is None and name in got[2][1].split(",")
+
+
 # ---- chat ----
 
 def test_schema_fingerprints_select_mappings(spark):
