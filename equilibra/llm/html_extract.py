@@ -1,7 +1,9 @@
 """Main text of web pages by a linear-chain CRF over leaf blocks.
 
 A page is read once into leaf blocks: runs of text between block-level tags.
-Scripts, styles, comments and other markup never become text.  Each block has
+Scripts, styles, titles, templates, frames, form fields' texts (textarea, option),
+comments and other markup never become text; formulas, drawings and fall-back
+texts (noscript, object) do, as inline elements.  Each block has
 features of its ancestors (tags, and words of class, id and role), of its
 parent tag, its place and its text (length, link share, punctuation, marks).
 A linear-chain conditional random field with two labels (article or not)
@@ -15,8 +17,8 @@ It is a few thousand numbers.  Extraction is one pass without a shuffle; a page
 is held by one task.
 
 Defined results: a null, empty or text-free page gives an empty text; broken
-markup is read as far as it goes (an unclosed comment or script ends the
-page); repeated rows give equal texts; other columns pass through untouched.
+markup is read as far as it goes (an unclosed comment, script, style, textarea
+or title ends the page); repeated rows give equal texts; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -43,11 +45,20 @@ _WORDS = re.compile(r"[a-z]+")
 
 # fixed values: HTML elements by kind
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr br input".split())
+                   "strike strong sub sup time tt u var wbr br input noscript object param embed "
+                   "svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath desc marker "
+                   "mask pattern clippath lineargradient radialgradient stop filter image switch foreignobject "
+                   "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup "
+                   "munder mover munderover mmultiscripts mprescripts none mtable mtr mtd menclose semantics annotation "
+                   "annotation-xml maction".split())
+SPACED = frozenset("br text mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title template svg math iframe object select option".split())
+RAW = frozenset("script style textarea title".split())
+UNSEEN = frozenset("template iframe".split())   # dropped up to their end tag; without one only the tag is
+MENU = frozenset("select datalist optgroup option".split())
 CLOSES = {"li": "li", "p": "p", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd"}
-_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | UNSEEN}
+_NEXT = re.compile(r"</?[a-zA-Z]")
 
 
 @dataclass
@@ -77,6 +88,7 @@ def blocks(page: str | None, semantic: bool = False) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("html", frozenset())]
     run, links, marked, pos, n = _Run(), 0, False, 0, len(page)
+    open_ended: set[str] = set()
 
     def flush() -> None:
         nonlocal run
@@ -115,17 +127,27 @@ def blocks(page: str | None, semantic: bool = False) -> list[Block]:
         if not name:
             continue
         tag = name.lower()
-        if tag in RAW:
-            if tag == "option" or not slash and not attrs.endswith("/"):
-                end = None if slash else _ENDS[tag].search(page, pos)
-                if not slash:
-                    pos = end.end() if end else n
+        if tag in RAW or tag in UNSEEN:
+            if not slash and not attrs.endswith("/") and tag not in open_ended:
+                end = _ENDS[tag].search(page, pos)
+                if end:
+                    pos = end.end()
+                elif tag in RAW:
+                    pos = n
+                else:
+                    open_ended.add(tag)
+            run.parts.append(" ")
+            continue
+        if tag in MENU:
+            if tag == "option" and not slash:   # its end tag may be left out: its text ends at any tag
+                end = _NEXT.search(page, pos)
+                pos = end.start() if end else n
             run.parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if slash else 1
-            elif tag == "br":
+            elif tag in SPACED:
                 run.parts.append(" ")
             continue
         flush()

@@ -501,6 +501,24 @@ def test_html_other_layouts(spark):
                                              "Second paragraph, with quite a few more words to read.")
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<form><input list=x><datalist id=x><option value=a><option value=b></datalist></form><article><p>The article.</p></article>",
+     ["The article."]),
+    ("<select><optgroup label=l><option>One<option>Two</select><p>After.</p><select><option>x</option></select><p>End.</p>",
+     ["After.", "End."]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> hold.</p>", ["Let x=12 hold."]),
+    ("<p>See <svg viewBox='0 0 1 1'><title>t</title><style>a{}</style><g><text>Fig</text><text>one</text></g></svg> here.</p>",
+     ["See Fig one here."]),
+    ("<p>A <object data=a><param name=b>fall-back</object> and <noscript>no script</noscript> text.</p>",
+     ["A fall-back and no script text."]),
+    ("<p>one<math><mi>y</p><p>two</p>", ["oney", "two"]), ("<p>a</p><object><p>b</p>", ["a", "b"]),
+    ("<template><p>x</p></template><p>a</p><template><p>b</p><iframe><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><iframe src=x>No frames.</iframe><p>b</p>", ["a", "b"]),
+    ("<p>a</p><textarea>b<p>c</p>", ["a"]), ("<p>a</p><option>b", ["a"])])
+def test_html_containers_lose_no_text(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
 def test_sha_digest_of_ids():
     ids = CODEC.encode("hello world")
     raw = b"".join(i.to_bytes(4, "little") for i in TIKTOKEN.encode_ordinary("hello world"))
