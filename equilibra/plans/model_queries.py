@@ -47,30 +47,31 @@ def variant_features(spark: SparkSession, sf: str) -> DataFrame:
 _BUNDLES: dict[tuple, DataFrame] = {}
 
 
-def fold_bundle_features(spark: SparkSession, sf: str, treatment: str) -> DataFrame:
-    """The fold bundle with pooled features, checkpointed once per session and treatment.
+def fold_bundle_features(spark: SparkSession, sf: str, treatment: str, n_folds: int = FOLDS) -> DataFrame:
+    """The bundle of the first ``n_folds`` folds with pooled features, checkpointed once per session and treatment.
 
     Model fitting scans its input many times; the checkpoint (in the shared
     ``spark.checkpoint.dir``) cuts the pooling lineage and survives lost executors.
     """
-    key = (spark.sparkContext.applicationId, sf, treatment)
+    key = (spark.sparkContext.applicationId, sf, treatment, n_folds)
     if key not in _BUNDLES:
         if ("feats", key[0], sf) not in _BUNDLES:
             _BUNDLES[("feats", key[0], sf)] = cut_lineage(variant_features(spark, sf))
         feats = _BUNDLES[("feats", key[0], sf)]
-        _BUNDLES[key] = cut_lineage(FO.fold_bundle(fold_roles_run(spark, sf), feats, treatment))
+        _BUNDLES[key] = cut_lineage(FO.fold_bundle(fold_roles_run(spark, sf, n_folds), feats, treatment))
     return _BUNDLES[key]
 
 
-def fold_roles_run(spark: SparkSession, sf: str) -> DataFrame:
+def fold_roles_run(spark: SparkSession, sf: str, n_folds: int = FOLDS) -> DataFrame:
     """(seed, fold, role, row_id) of the folds run."""
-    return FO.fold_roles(assignments(spark, sf, mention=True)).filter(F.col("fold") < FOLDS)
+    return FO.fold_roles(assignments(spark, sf, mention=True)).filter(F.col("fold") < n_folds)
 
 
-def fold_sets(spark: SparkSession, sf: str, treatment: str = "orig", fold: int | None = None) -> dict[str, DataFrame]:
+def fold_sets(spark: SparkSession, sf: str, treatment: str = "orig", fold: int | None = None,
+              n_folds: int = FOLDS) -> dict[str, DataFrame]:
     """Training / validation / paired test sets (F6 slots 0, 3, 1, 4, 2) of one fold, or of
     all of them with the fold as a column."""
-    b = fold_bundle_features(spark, sf, treatment)
+    b = fold_bundle_features(spark, sf, treatment, n_folds)
     if fold is not None:
         b = b.filter(F.col("fold") == fold)
     return {"train": b.filter("slot = 0"), "test": b.filter("slot = 1"), "blind": b.filter("slot = 2"),
@@ -193,7 +194,7 @@ def proxy_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cv_select", "F8 M4")
-def cv_select(spark: SparkSession, sf: str, folds: Sequence[int] = (0,)) -> DataFrame:
+def cv_select(spark: SparkSession, sf: str, folds: Sequence[int] = range(FOLDS)) -> DataFrame:
     fold_bundle_features(spark, sf, "orig")
 
     def fit(k: int):
@@ -226,7 +227,7 @@ def roar_predictions(spark: SparkSession, sf: str, orders: dict[int, list[int]],
 
 
 @register("roar", "M18 P11")
-def roar(spark: SparkSession, sf: str, folds: Sequence[int] = (0,)) -> DataFrame:
+def roar(spark: SparkSession, sf: str, folds: Sequence[int] = range(FOLDS)) -> DataFrame:
     """Remove-and-retrain in a random feature order, every step (d - 1 refits a fold)."""
     fold_bundle_features(spark, sf, "orig")
     order = ranked_features(AT.random_ranking_of(fold_sets(spark, sf)["train"], seed=0))

@@ -36,3 +36,46 @@ def test_no_test_row_trains_in_its_fold(spark):
     train, test = b.filter("slot = 0").select("fold", "row_id"), b.filter("slot in (1, 2)").select("fold", "row_id")
     assert train.join(test, ["fold", "row_id"]).count() == 0
     assert {r.variant for r in b.filter("slot = 2").select("variant").distinct().collect()} == {"neutr", "neutr_flipped"}
+
+
+def test_experiments_run_every_fold(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from equilibra.plans import experiment_queries as EQ
+    from equilibra.plans import model_queries as MQ
+
+    assert MQ.fold_roles_run(spark, "/root/testdata/sf0.001", 10).select("fold").distinct().count() == 10
+    ran, asked = [], []
+
+    class Enough(Exception):
+        pass
+
+    def sets(spark, sf, treatment="orig", fold=None, n_folds=MQ.FOLDS):
+        asked.append((fold, n_folds))
+        return {"train": None, "test": None}
+
+    def stop(*args, **kwargs):
+        raise Enough
+
+    for m in (MQ, EQ):
+        monkeypatch.setattr(m, "fold_bundle_features", lambda *a, **k: None)
+        monkeypatch.setattr(m, "fold_sets", sets)
+        monkeypatch.setattr(m, "per_fold", lambda fit, folds=range(MQ.FOLDS): [ran.append(list(folds)), *map(fit, folds)][1:])
+    monkeypatch.setattr(MO, "cross_validated", lambda *a, **k: SimpleNamespace(c=1.0))
+    monkeypatch.setattr(MO, "macro_f1s", lambda *a, **k: [0.5])
+    assert sorted(r.fold for r in MQ.cv_select(spark, "").collect()) == list(range(5))
+    monkeypatch.setattr(MO, "score", stop)
+    try:
+        EQ.study1_experiment(spark, "")
+    except Enough:
+        pass
+    assert ran[-1] == list(range(10)) and set(asked[-11:]) == {(k, 10) for k in (None, *range(10))}
+    monkeypatch.setattr(MQ, "ranked_features", lambda *a: [0])
+    monkeypatch.setattr(MQ.AT, "random_ranking_of", lambda *a, **k: None)
+    orders = {}
+    monkeypatch.setattr(MQ, "roar_predictions", lambda spark, sf, got, splits: orders.update(got) or stop())
+    try:
+        MQ.roar(spark, "")
+    except Enough:
+        pass
+    assert sorted(orders) == list(range(5))
