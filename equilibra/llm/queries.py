@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilibra.llm import (byte_bpe, chat, html_extract, language, licences, mixing, order_minhash, simhash, topk,
-                           toxicity)
+from equilibra.llm import (byte_bpe, chat, fill_middle, filter_audit, html_extract, language, licences, mixing, order_minhash,
+                           packing, simhash, topk, toxicity)
 from equilibra.llm.common import read_table
 from equilibra.llm.oracles import SQL
 
@@ -95,6 +95,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fill_middle.rearranged(docs)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                              read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -102,6 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extraction, op2_order_minhash, op3_language_id, op4_toxicity, op5_block_topk,
-                            op6_byte_bpe, op7_chat_format, op8_license_scan, op9_simhash_dedup, op10_mixing, pipeline)}
+                            op6_byte_bpe, op7_chat_format, op8_license_scan, op9_simhash_dedup, op10_mixing,
+                            op11_best_fit_packing, op12_fill_middle, op13_filter_audit, pipeline)}
 
 __all__ = ["QUERIES", "SQL"]
