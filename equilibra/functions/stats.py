@@ -1,83 +1,53 @@
-"""Student t p-values without scipy.
+"""Student t p-values as column expressions.
 
 The two-sided p-value of t with ``df`` degrees of freedom is the regularised
-incomplete beta ``I_x(df/2, 1/2)`` at ``x = df / (df + t^2)``, evaluated by its
-continued fraction (DLMF 8.17.22).
-It runs inside an Arrow-batched pandas UDF over small aggregate tables
-(one row per embedding x measure), never over raw rows.
+incomplete beta ``I_x(df/2, 1/2)`` at ``x = df / (df + t^2)``.  Its continued
+fraction (DLMF 8.17.22) is an ``aggregate`` over a ``sequence`` from the far end,
+as long as the degrees of freedom ask for; the beta function uses Stirling's
+series.  Meant for small aggregate tables (one row per embedding x measure).
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
-
-# executors need not have this package installed: ship the UDF and its helpers by value
-try:
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle without by-value registration
-    pass
-
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """1 / (1 + d1 / (1 + d2 / ...)), DLMF 8.17.22, from the far end; doubled in length until it stands still."""
-
-    def coefficient(n: int) -> float:
-        m = n // 2
-        if n % 2 == 0:
-            return m * (b - m) * x / ((a + n - 1) * (a + n))
-        return -(a + m) * (a + b + m) * x / ((a + n - 1) * (a + n))
 
-    last, length = math.nan, 16
-    while length <= 1 << 16:
-        tail = 1.0
-        for n in range(length, 0, -1):
-            tail = 1.0 + coefficient(n) / tail
-        value = 1.0 / tail
-        if abs(value - last) <= 1e-15 * abs(value):
-            break
-        last, length = value, 2 * length
-    return value
+SHIFT = 10  # Stirling's series is used from here on
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) for a, b > 0 and 0 <= x <= 1."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+def lgamma(x: Column) -> Column:
+    """log Gamma(x) for x > 0: Stirling's series (DLMF 5.11.1) at x + SHIFT, brought back by the recurrence."""
+    z = x + SHIFT
+    z2 = z * z
+    series = (1 / (12 * z)) - 1 / (360 * z * z2) + 1 / (1260 * z * z2 * z2) - 1 / (1680 * z * z2 * z2 * z2)
+    product = x
+    for k in range(1, SHIFT):
+        product = product * (x + k)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - F.log(product)  # log(sqrt(2 pi))
 
 
-def t_two_sided_p(t: float | None, df: float | None) -> float | None:
-    if t is None or df is None or not np.isfinite(t) or not np.isfinite(df) or df <= 0:
-        return None
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+def _beta_fraction(a: Column, b: Column, x: Column, length: Column) -> Column:
+    """1 / (1 + d1 / (1 + d2 / ...)) of the incomplete beta, from the far end."""
+    def step(tail: Column, n: Column) -> Column:
+        m = F.floor(n / 2)
+        d = F.when(n % 2 == 0, m * (b - m)).otherwise(-(a + m) * (a + b + m)) * x / ((a + n - 1) * (a + n))
+        return 1.0 + d / tail
+    return 1.0 / F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), F.lit(1.0), step)
 
 
-def _t_pvalue_batch(t: pd.Series, df: pd.Series) -> pd.Series:
-    out = [t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
-           for a, b in zip(t, df)]
-    return pd.Series(out, dtype="float64")
+def _partial(a: Column, b: Column, x: Column, length: Column) -> Column:
+    front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(x) + b * F.log(1 - x))
+    return front * _beta_fraction(a, b, x, length) / a
 
 
 def t_pvalue(t: Column | str, df: Column | str) -> Column:
-    """Two-sided p-value of a t statistic (null when t or df is null)."""
-    t = F.col(t) if isinstance(t, str) else t
-    df = F.col(df) if isinstance(df, str) else df
-    udf = pandas_udf(_t_pvalue_batch, DoubleType())
-    return udf(t.cast("double"), df.cast("double"))
+    """Two-sided p-value of a t statistic (null when t or df is null, or df is not positive)."""
+    t = (F.col(t) if isinstance(t, str) else t).cast("double")
+    df = (F.col(df) if isinstance(df, str) else df).cast("double")
+    usable = t.isNotNull() & ~F.isnan(t) & (df > 0)
+    # the fraction needs about sqrt(df) terms; other rows get a short one that is not read
+    length = F.when(usable, F.least(64 + 4 * F.ceil(F.sqrt(df)), F.lit(1 << 20))).otherwise(1).cast("int")
+    a, b, x = df / 2, F.lit(0.5), df / (df + t * t)
+    # each side of the beta where its fraction converges fast; t^2 / (df + t^2) keeps its digits for small t
+    p = F.when(x < (a + 1) / (a + b + 2), _partial(a, b, x, length)).otherwise(1.0 - _partial(b, a, t * t / (df + t * t), length))
+    return F.when(usable & (t == 0), 1.0).when(usable & (F.abs(t) == float("inf")), 0.0).when(usable, p)

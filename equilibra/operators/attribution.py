@@ -10,17 +10,26 @@ contributions of a row (an array of the dimension's length), not a refit.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
 from . import metrics
-from .ordered import hex_prefix_number, row_number_within
+from .folds import order_hash
+from .ordered import hex_prefix_number
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
+Weights = Sequence[float] | Column
 
 
 def fixed_weights(dim: int) -> list[float]:
@@ -28,34 +37,42 @@ def fixed_weights(dim: int) -> list[float]:
     return [((7 * j) % 13 - 6) / 6.0 for j in range(dim)]
 
 
-def _lit_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def fixed_weights_of(vector: str = "z") -> Column:
+    """The same weights, as many as the vector has entries."""
+    return F.transform(vector, lambda x, j: ((7 * j) % 13 - 6) / F.lit(6.0))
+
 
+def _lit_array(values: Weights) -> Column:
+    return values if isinstance(values, Column) else F.array(*[F.lit(float(v)) for v in values])
 
-def feature_stats(train: DataFrame, features: str = "features") -> DataFrame:
-    """One row: element-wise mean and population std of the training vectors."""
+
+def feature_stats(train: DataFrame, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
+    """One row (per key of ``by``): element-wise mean and population std of the training vectors."""
     v = array_to_vector(F.col(features))
-    s = train.agg(Summarizer.mean(v).alias("_m"), Summarizer.variance(v).alias("_v"),
+    s = train.groupBy(*by).agg(Summarizer.mean(v).alias("_m"), Summarizer.variance(v).alias("_v"),
                   F.count(F.lit(1)).alias("_n"))
     n = F.col("_n").cast("double")
-    return s.select(vector_to_array("_m").alias("mu"),
+    return s.select(*by, vector_to_array("_m").alias("mu"),
                     F.transform(vector_to_array("_v"), lambda x: F.sqrt(x * (n - 1) / n)).alias("sd"))
 
 
-def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    # one stats row: broadcast, joined on a constant key
+def _with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    # one d-sized row (per fold): broadcast, joined on the keys or a constant
+    if by:
+        return df.join(F.broadcast(stats), list(by))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def standardize(df: DataFrame, stats: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
-    """M1 (population std): z = (x - mu) / sd, 0 where sd = 0."""
-    j = _with_stats(df, stats)
+def standardize(df: DataFrame, stats: DataFrame, features: str = "features", out: str = "z",
+                by: Sequence[str] = ()) -> DataFrame:
+    """M1 (population std): z = (x - mu) / sd, 0 where sd = 0; the stats of each row's ``by`` keys."""
+    j = _with_stats(df, stats, by)
     z = F.transform(F.arrays_zip(F.col(features).alias("x"), F.col("mu").alias("m"), F.col("sd").alias("s")),
                     lambda e: F.when(e["s"] != 0, (e["x"].cast("double") - e["m"]) / e["s"]).otherwise(F.lit(0.0)))
     return j.withColumn(out, z).drop("mu", "sd")
 
 
-def margin(z: Column | str, beta: Sequence[float], intercept: float = 0.0) -> Column:
+def margin(z: Column | str, beta: Weights, intercept: float = 0.0) -> Column:
     zc = F.col(z) if isinstance(z, str) else z
     return F.aggregate(F.zip_with(zc, _lit_array(beta), lambda a, b: a * b), F.lit(float(intercept)),
                        lambda acc, x: acc + x)
@@ -120,20 +137,21 @@ def _random_order(r: DataFrame, seed: int) -> DataFrame:
                     .alias("feature"), F.row_number().over(w).alias("rank"))
 
 
-def linear_attribution(explain: DataFrame, background: DataFrame, beta: Sequence[float],
+def linear_attribution(explain: DataFrame, background: DataFrame, beta: Sequence[float] | None,
                        z: str = "z") -> DataFrame:
-    """M13 (re-aimed): mean |beta_j (z_j - E_background[z_j])| per feature, ranked."""
+    """M13 (re-aimed): mean |beta_j (z_j - E_background[z_j])| per feature, ranked (the fixed weights if none are given)."""
     bg = background.agg(Summarizer.mean(array_to_vector(F.col(z))).alias("_m")) \
         .select(vector_to_array("_m").alias("_bg"))
     j = _with_stats(explain, bg)
     dev = F.zip_with(F.col(z), F.col("_bg"), lambda a, b: F.abs(a - b))
     s = j.agg(Summarizer.mean(array_to_vector(dev)).alias("_d")).select(vector_to_array("_d").alias("d"))
-    e = s.select(F.posexplode(F.zip_with(F.col("d"), _lit_array(beta), lambda a, b: a * F.abs(b)))
+    weights = fixed_weights_of("d") if beta is None else _lit_array(beta)
+    e = s.select(F.posexplode(F.zip_with(F.col("d"), weights, lambda a, b: a * F.abs(b)))
                  .alias("feature_idx", "score"))
     return rank_features(e.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score"))
 
 
-def sampled_shapley(df: DataFrame, beta: Sequence[float], intercept: float = 0.0, permutations: int = 10,
+def sampled_shapley(df: DataFrame, beta: Weights, intercept: float = 0.0, permutations: int = 10,
                     key: str = "row_id", z: str = "z") -> DataFrame:
     """M13 (b): sampled Shapley values of the hard prediction ``1[margin > 0]``.
 
@@ -164,7 +182,7 @@ def sampled_shapley(df: DataFrame, beta: Sequence[float], intercept: float = 0.0
         return F.aggregate(ordered, start, add,
                            lambda acc: F.transform(F.array_sort(acc["seen"]), lambda e: e["m"]))
 
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(permutations - 1)), _lit_array([0.0] * len(beta)),
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(permutations - 1)), F.transform(z, lambda x: F.lit(0.0)),
                         lambda acc, p: F.zip_with(acc, walk(p), lambda x, y: x + y))
     phi = df.select(F.transform(total, lambda x: F.abs(x) / permutations).alias("_phi"))
     mean = phi.agg(Summarizer.mean(array_to_vector("_phi")).alias("_m"))
@@ -172,42 +190,53 @@ def sampled_shapley(df: DataFrame, beta: Sequence[float], intercept: float = 0.0
     return rank_features(score.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score"))
 
 
-def permutation_importance(df: DataFrame, beta: Sequence[float], intercept: float = 0.0, repeats: int = 20,
+BLOCK = 4096  # rows that are permuted among themselves, on average
+
+
+def permutation_importance(df: DataFrame, beta: Weights, intercept: float = 0.0, repeats: int = 20,
                            key: str = "row_id", label: str = "label", z: str = "z") -> DataFrame:
     """Macro-F1 drop when one feature is permuted across rows, 20 repeats.
 
     With a linear margin only one term changes: ``m - beta_j z_ij + beta_j z_pj``
-    where p is the partner row of i in repeat r.  Partners come from a cyclic
-    shift of a hash order (an exact, distributed row number per repeat); all
-    features of a repeat are scored from one joined row pair.
+    where p is the partner row of i in repeat r.  A hash of the key deals the rows
+    into random blocks, the only shuffle of the vectors; in a block, each
+    repeat puts the rows in an order of its own (``md5(key:r:perm)``) and a row's
+    partner is the next one, the last row's the first.  A block returns
+    confusion counts per repeat and feature, never a row.
     """
-    beta_arr = _lit_array(beta)
-    base = cut_lineage(df.select(key, label, z, margin(z, beta, intercept).alias("_m")))  # read by every repeat
-    reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
-    reps = reps.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(":"),
-                                                F.col("_r").cast("string"), F.lit(":perm"))))
-    ranked = row_number_within(reps, ["_r"], ["_h", key], coarse=hex_prefix_number(F.col("_h")), out="_rn",
-                               domain=(0, 16 ** 12))
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = _with_stats(ranked, n)
-    a = ranked.alias("a")
-    b = ranked.select(F.col("_r").alias("_rb"), F.col("_rn").alias("_rnb"), F.col(z).alias("_zp")).alias("b")
-    pair = a.join(b, (F.col("a._r") == F.col("b._rb")) & (F.col("b._rnb") == F.col("a._rn") % F.col("a._n") + 1))
-    new_m = F.transform(F.arrays_zip(F.col(z).alias("zi"), F.col("_zp").alias("zp"), beta_arr.alias("bj")),
-                        lambda e: F.col("_m") - e["bj"] * e["zi"] + e["bj"] * e["zp"])
-    scored = pair.select("_r", label, F.posexplode(new_m).alias("feature_idx", "_pm"))
-    y, p = F.col(label), (F.col("_pm") > 0)
-    conf = scored.groupBy("_r", "feature_idx").agg(
-        F.sum(metrics._ind((y == 0) & ~p)).alias("tn"), F.sum(metrics._ind((y == 0) & p)).alias("fp"),
-        F.sum(metrics._ind((y == 1) & ~p)).alias("fn"), F.sum(metrics._ind((y == 1) & p)).alias("tp"))
-    f1p = conf.select("_r", "feature_idx", metrics.f1_columns()[2].alias("f1p"))
-    yb, pb = F.col(label), F.col("_m") > 0
-    bc = base.agg(F.sum(metrics._ind((yb == 0) & ~pb)).alias("tn"), F.sum(metrics._ind((yb == 0) & pb)).alias("fp"),
-                  F.sum(metrics._ind((yb == 1) & ~pb)).alias("fn"), F.sum(metrics._ind((yb == 1) & pb)).alias("tp"))
-    f1b = bc.select(metrics.f1_columns()[2].alias("f1b"))
-    d = _with_stats(f1p, f1b).withColumn("drop", F.col("f1b") - F.col("f1p"))
+    terms = F.zip_with(F.col(z), _lit_array(beta), lambda a, w: a * w)
+    base = df.select(F.col(key).cast("string").alias("_key"), F.col(key).alias("_tie"), F.col(label).cast("int").alias("_y"),
+                     terms.alias("_c"), margin(z, beta, intercept).alias("_m"))
+    n = df.agg(F.greatest(F.floor(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("_blocks"))
+    dealt = _with_stats(base, n).withColumn("_block", F.pmod(hex_prefix_number(order_hash("_key", F.lit("block")), 8), F.col("_blocks")))
+
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_tie")
+        keys, y, m = rows.column("_key").to_pylist(), rows.column("_y").to_numpy(), rows.column("_m").to_numpy()
+        c = rows.column("_c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        found = []
+
+        def add(r: int, preds: np.ndarray) -> None:
+            for j, p in enumerate(preds.T):
+                found.append((r, j, *[int(((y == t) & (p == v)).sum()) for t, v in ((0, 0), (0, 1), (1, 0), (1, 1))]))
+        add(-1, (m > 0)[:, None])
+        for r in range(repeats):
+            order = np.argsort([hashlib.md5(f"{k}:{r}:perm".encode()).hexdigest() for k in keys], kind="stable")
+            partner = np.empty(len(keys), int)
+            partner[order] = np.roll(order, -1)
+            add(r, m[:, None] - c + c[partner] > 0)
+        return pa.table(dict(zip(("_r", "feature_idx", "tn", "fp", "fn", "tp"), zip(*found))))
+
+    counts = dealt.groupBy("_block").applyInArrow(lambda rows: count(rows).cast(pa.schema(
+        [("_r", pa.int32()), ("feature_idx", pa.int32()), *[(x, pa.int64()) for x in ("tn", "fp", "fn", "tp")]])),
+        "_r int, feature_idx int, tn bigint, fp bigint, fn bigint, tp bigint")
+    f1 = counts.groupBy("_r", "feature_idx").agg(*[F.sum(x).alias(x) for x in ("tn", "fp", "fn", "tp")]).select(
+        "_r", "feature_idx", metrics.f1_columns()[2].alias("f1"))
+    # repeats x features rows; the one of repeat -1 is the model as it is
+    base_f1 = F.max(F.when(F.col("_r") == -1, F.col("f1"))).over(Window.partitionBy(F.lit(0)))
+    d = f1.select("*", base_f1.alias("_b")).filter("_r >= 0").withColumn("drop", F.col("_b") - F.col("f1"))
     imp = d.groupBy("feature_idx").agg(F.avg("drop").alias("score"), F.stddev_pop("drop").alias("std"))
-    return rank_features(imp.select(F.col("feature_idx").cast("int").alias("feature_idx"), "score", "std"))
+    return rank_features(imp.select("feature_idx", "score", "std"))
 
 
 # ---------------------------------------------------------------- P11, P12
@@ -234,19 +263,28 @@ def mute_features(train: DataFrame, test: DataFrame, mute: Sequence[int],
 
 # ---------------------------------------------------------------- M17, W3, J7
 
-def iterative_mute(df: DataFrame, ranking: DataFrame, beta: Sequence[float], intercept: float = 0.0,
-                   key: str = "row_id", z: str = "z", keys: Sequence[str] = ()) -> DataFrame:
+def iterative_mute(df: DataFrame, ranking: DataFrame, weights: DataFrame | Weights, intercept: float = 0.0,
+                   key: str = "row_id", z: str = "z", keys: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Per row and step i = 0..d-2 the margin with the top-i ranked features muted.
 
-    Output rows (keys..., row_id, step, margin, preds) for every input row.  A
-    row's contributions are put in rank order and summed inside the row, then
+    ``ranking`` has one order of the features, or one per key of ``by`` (folds);
+    so has ``weights`` if it is a table (by..., beta, intercept).  Output rows
+    (keys..., row_id, step, margin, preds) for every input row.  A row's
+    contributions are put in rank order and summed inside the row, then
     exploded: nothing is shuffled.
     """
-    keys = list(keys)
-    last = max(len(beta) - 2, 0)
-    ranks = ranking.agg(F.transform(F.array_sort(F.collect_list(F.struct(  # one row of d ranks
+    keys, by = list(keys), list(by)
+    row_keys = [*keys, key, *[c for c in df.columns if c not in (*keys, key, z)]]
+    ranks = ranking.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(  # d ranks per key
         F.col("feature_idx").cast("int").alias("i"), "rank"))), lambda e: e["rank"]).alias("_ranks"))
-    terms = F.zip_with(F.col(z), _lit_array(beta), lambda a, b: a * b)
+    j = _with_stats(df, ranks, by)
+    if isinstance(weights, DataFrame):
+        j = _with_stats(j, weights.select(*by, F.col("beta").alias("_beta"), F.col("intercept").alias("_intercept")), by)
+        beta, offset = F.col("_beta"), F.col("_intercept")
+    else:
+        beta, offset = _lit_array(weights), F.lit(float(intercept))
+    last = F.greatest(F.size(z) - 2, F.lit(0))
+    terms = F.zip_with(F.col(z), beta, lambda a, b: a * b)
     ordered = F.array_sort(F.zip_with(F.col("_ranks"), terms, lambda r, c: F.struct(r.alias("r"), c.alias("c"))))
     start = F.struct(F.expr("cast(array() as array<double>)").alias("run"), F.lit(0.0).alias("sum"))
 
@@ -255,10 +293,9 @@ def iterative_mute(df: DataFrame, ranking: DataFrame, beta: Sequence[float], int
                         (acc["sum"] + e["c"]).alias("sum"))
     # step 0 is the full model, step i the rest behind rank i
     rest = F.aggregate(ordered, start, add, lambda acc: F.concat(
-        F.array(acc["sum"]), F.transform(F.slice(acc["run"], 1, last), lambda x: acc["sum"] - x)))
-    row_keys = [*keys, key, *[c for c in df.columns if c not in (*keys, key, z)]]
-    steps = _with_stats(df, ranks).select(*row_keys, F.posexplode(rest).alias("step", "_rest"))
-    m = F.col("_rest") + F.lit(float(intercept))
+        F.array(acc["sum"]), F.transform(F.slice(acc["run"], F.lit(1), last), lambda x: acc["sum"] - x)))
+    steps = j.withColumn("_offset", offset).select(*row_keys, "_offset", F.posexplode(rest).alias("step", "_rest"))
+    m = F.col("_rest") + F.col("_offset")
     return steps.select(*row_keys, "step", m.alias("margin"), F.when(m > 0, 1).otherwise(0).alias("preds"))
 
 
@@ -293,7 +330,7 @@ def metrics_ratio(m: str) -> Column:
 
 # ---------------------------------------------------------------- M21
 
-def token_attribution(docs: DataFrame, word_vectors: DataFrame, beta: Sequence[float], key: str = "row_id",
+def token_attribution(docs: DataFrame, word_vectors: DataFrame, beta: Weights, key: str = "row_id",
                       text: str = "text", top: int = 50) -> DataFrame:
     """M21 (re-aimed): each token's share of a mean-pooled linear margin, top 50 per text.
 

@@ -145,7 +145,7 @@ def significant_t(t: Column, df: Column, alpha: float = 0.05) -> Column:
     return F.coalesce(t_pvalue(t, df) < alpha, F.lit(False))
 
 
-def participatory_choice(scores: DataFrame, methods: Sequence[str], measure: str = "tpr",
+def participatory_choice(scores: DataFrame, methods: Sequence[str], measure: str = "f1",
                          groups: Sequence[str] = ("F", "M"), baseline: str = "orig",
                          method: str = "method", embedding: str = "embedding", fold: str = "fold",
                          per_embedding: bool = False) -> DataFrame:

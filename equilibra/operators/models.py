@@ -1,113 +1,39 @@
-"""Classifiers with MLlib.
+"""One classifier at a time with MLlib (M1, M2, M5).
 
-A model here is a standardiser plus a class-balanced, optionally weighted,
-linear SVM with a sigmoid calibration on its margin:
+The studies' runs train many models on the same rows and use
+:mod:`.batched`; this is the plain form for a single model, and what the
+batched solver is tested against:
 
 * M1: ``StandardScaler(withMean, withStd)`` fit on the training rows.
-* M2: ``LinearSVC`` with weight ``n / (2 n_c)`` per class times any sample
-  weight; the C-parameterised hinge objective maps to
+* M2: ``LinearSVC`` with weight ``n / (2 n_c)`` per class (``balanced``) times any
+  sample weight; the C-parameterised hinge objective maps to
   ``regParam = 1 / (C * sum(weights))``.
 * M5: probability = logistic regression on the SVM margin (Platt scaling).
 
-Fits are Spark jobs coordinated by the driver; the data is never collected.
-The standardised rows of one training set are cached once and shared by every
-fit on it (all C of a grid, all steps of a removal run); only the chosen C is
-calibrated.  A fitted model is a few d-sized vectors, so the models of all folds
-and groups score their rows in one pass (:func:`score`).
+The data is never collected; the standardised rows are cached once for all fits on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import _ind, f1_columns
+from .linear import LinearModel, _dot, _numbers
 
 # The C grids of the two study configurations.
 C_GRID = (0.01, 0.1, 1.0, 10.0)
 C_GRID_STUDY1 = (0.01, 0.1, 1.0, 10.0, 100.0)
 
-CONCURRENT_FITS = 8  # driver threads that run independent fits
 TOLERANCE = 1e-3  # the usual default of SVM libraries; MLlib's own is 1e-6
 
 
-def _dot(vector: Column, weights: Column) -> Column:
-    return F.aggregate(F.zip_with(vector, weights, lambda x, w: x.cast("double") * w), F.lit(0.0),
-                       lambda acc, t: acc + t)
-
-
-def _numbers(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _decisions(df: DataFrame, margin: Column, slope: Column, offset: Column, preds: str, probability: str,
-               drop: Sequence[str] = ()) -> DataFrame:
-    keep = [c for c in df.columns if c not in (preds, probability, "margin", *drop)]
-    m = df.withColumn("margin", margin)
-    return m.select(*keep, (F.col("margin") > 0).cast("int").alias(preds), "margin",
-                    (F.lit(1.0) / (F.lit(1.0) + F.exp(-(slope * F.col("margin") + offset)))).alias(probability))
-
-
-@dataclass(frozen=True)
-class LinearModel:
-    """One fitted model: coefficients on standardised features and the calibration line."""
-
-    c: float
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]   # 1 / standard deviation, 0 for a constant feature
-    coef: tuple[float, ...]
-    intercept: float
-    slope: float = 1.0         # probability = sigmoid(slope * margin + offset)
-    offset: float = 0.0
-
-    @property
-    def weights(self) -> list[float]:
-        """Coefficients on the raw features."""
-        return [b * s for b, s in zip(self.coef, self.scale)]
-
-    @property
-    def bias(self) -> float:
-        return self.intercept - sum(m * w for m, w in zip(self.mean, self.weights))
-
-    def margin(self, features: str = "features") -> Column:
-        return _dot(F.col(features), _numbers(self.weights)) + F.lit(self.bias)
-
-    def standardise(self, df: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
-        """M1: the features on the scale of the training rows."""
-        centred = F.zip_with(F.col(features), _numbers(self.mean), lambda x, m: x.cast("double") - m)
-        return df.withColumn(out, F.zip_with(centred, _numbers(self.scale), lambda x, s: x * s))
-
-    def transform(self, df: DataFrame, preds: str = "preds", probability: str = "probability",
-                  features: str = "features") -> DataFrame:
-        """M6: add preds (0/1), the SVM margin and the calibrated probability."""
-        return _decisions(df, self.margin(features), F.lit(self.slope), F.lit(self.offset), preds, probability)
-
-
-def score(models: dict[tuple, LinearModel], df: DataFrame, keys: Sequence[str], extra: str = "",
-          features: str = "features", preds: str = "preds", probability: str = "probability") -> DataFrame:
-    """M6 / M8: every row scored by the model of its key, in one pass.
-
-    ``models`` maps (keys..., extra...) to a model; ``extra`` declares key columns
-    that ``df`` lacks (for instance ``"step int"``): a row then gets one output
-    row per model of its key.  The broadcast table has one d-sized row per model.
-    """
-    keys = list(keys)
-    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ([extra] if extra else [])
-                       + ["_w array<double>", "_bias double", "_slope double", "_offset double"])
-    rows = [(*k, m.weights, m.bias, m.slope, m.offset) for k, m in models.items()]
-    j = df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), keys)
-    return _decisions(j, _dot(F.col(features), F.col("_w")) + F.col("_bias"), F.col("_slope"), F.col("_offset"),
-                      preds, probability, drop=("_w", "_bias", "_slope", "_offset"))
-
-
 @dataclass(frozen=True)
 class TrainingRows:
     """Standardised, weighted rows of one training set, cached while fits share them."""
@@ -117,7 +43,7 @@ class TrainingRows:
     scale: tuple[float, ...]
     weight_sum: float
 
-    def fit(self, c: float, keep: Sequence[int] | None = None, max_iter: int = 100) -> LinearModel:
+    def fit(self, c: float, keep: Sequence[int] | None = None, max_iter: int = 100, tol: float = TOLERANCE) -> LinearModel:
         """M2: the SVM of one C; with ``keep`` only those features, the others get coefficient 0.
 
         Dropping a feature leaves the others' scale as it is, so one cached copy
@@ -128,7 +54,7 @@ class TrainingRows:
         if keep is not None:
             z, col = VectorSlicer(inputCol="_zv", outputCol="_zs", indices=idx).transform(z), "_zs"
         svm = LinearSVC(featuresCol=col, labelCol="_y", weightCol="_w", regParam=1.0 / (c * self.weight_sum),
-                        standardization=False, maxIter=max_iter, tol=TOLERANCE).fit(z)
+                        standardization=False, maxIter=max_iter, tol=tol).fit(z)
         coef = [0.0] * len(self.mean)
         for i, b in zip(idx, svm.coefficients.toArray()):
             coef[i] = float(b)
@@ -144,14 +70,14 @@ class TrainingRows:
 
 @contextmanager
 def training_rows(train: DataFrame, label: str = "label", weight: str | None = None,
-                  features: str = "features") -> Iterator[TrainingRows]:
-    """M1 / M2: fit the standardiser once and cache the standardised, class-balanced rows."""
+                  features: str = "features", balanced: bool = True) -> Iterator[TrainingRows]:
+    """M1 / M2: fit the standardiser once and cache the standardised rows with their weights."""
     base = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = train.select(F.col(label).alias("_label"), base.alias("_base"), array_to_vector(F.col(features)).alias("_fv"))
     # per-class count and sample-weight sum: one aggregate of (#labels) rows
     cls = {r[0]: (r[1], r[2]) for r in x.groupBy("_label").agg(F.count(F.lit(1)), F.sum("_base")).collect()}
     n = sum(k for k, _ in cls.values())
-    cw = {y: n / (2.0 * k) for y, (k, _) in cls.items()}  # class weight n / (2 n_c)
+    cw = {y: n / (2.0 * k) if balanced else 1.0 for y, (k, _) in cls.items()}
     weight_sum = sum(cw[y] * sw for y, (_, sw) in cls.items()) or 1.0
     class_weight = F.create_map(*[F.lit(v) for y in cw for v in (y, cw[y])])[F.col("_label")]
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_fv", outputCol="_zv").fit(x)
@@ -165,75 +91,6 @@ def training_rows(train: DataFrame, label: str = "label", weight: str | None = N
 
 
 def fit_linear(train: DataFrame, c: float, label: str = "label", weight: str | None = None,
-               features: str = "features", max_iter: int = 100) -> LinearModel:
-    with training_rows(train, label, weight, features) as t:
+               features: str = "features", max_iter: int = 100, balanced: bool = True) -> LinearModel:
+    with training_rows(train, label, weight, features, balanced) as t:
         return t.calibrated(t.fit(c, max_iter=max_iter))
-
-
-def macro_f1s(models: Sequence[LinearModel], df: DataFrame, label: str = "label",
-              features: str = "features") -> list[float]:
-    """Macro-F1 of every model on the same rows: one pass, one row of counts."""
-    p = df.select(F.col(label).alias("_y"), *[(m.margin(features) > 0).alias(f"_p{i}") for i, m in enumerate(models)])
-    y = F.col("_y")
-    hits = [(name, i, (y == t) & (F.col(f"_p{i}") == h)) for i in range(len(models))
-            for name, t, h in (("tn", 0, False), ("fp", 0, True), ("fn", 1, False), ("tp", 1, True))]
-    counts = p.agg(*[F.sum(_ind(hit)).alias(f"{name}_{i}") for name, i, hit in hits])
-    per_model = counts.select(F.posexplode(F.array(*[
-        F.struct(*[F.col(f"{n}_{i}").alias(n) for n in ("tn", "fp", "fn", "tp")]) for i in range(len(models))])))
-    f1 = {r[0]: r[1] for r in per_model.select("pos", "col.*").select("pos", f1_columns()[2]).collect()}
-    return [f1[i] or 0.0 for i in range(len(models))]
-
-
-def in_parallel(fn: Callable, items: Sequence, threads: int = CONCURRENT_FITS) -> list:
-    """Independent fits as concurrent Spark jobs (bounded driver threads), results in order."""
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(items)))) as pool:
-        return list(pool.map(fn, items))
-
-
-def grid_search(train: DataFrame, val: DataFrame, grid: Sequence[float] = C_GRID, label: str = "label",
-                weight: str | None = None, features: str = "features") -> tuple[LinearModel, list[tuple[float, float]]]:
-    """Fit each C on train, macro-F1 on val, best C (ties -> smallest); the model is
-    the train-only fit of that C."""
-    grid = sorted(grid)
-    with training_rows(train, label, weight, features) as t:
-        models = in_parallel(t.fit, grid)
-        f1 = macro_f1s(models, val, label, features)
-        best = models[max(range(len(grid)), key=lambda i: (f1[i], -i))]
-        return t.calibrated(best), list(zip(grid, f1))
-
-
-def cross_validated(train: DataFrame, grid: Sequence[float] = C_GRID_STUDY1, folds: int = 3,
-                    label: str = "label", key: str = "row_id", features: str = "features") -> LinearModel:
-    """F8 / M4: k-fold (hash-assigned) model selection on the training rows, refit on all of them."""
-    grid = sorted(grid)
-    part = F.abs(F.xxhash64(F.col(key).cast("string"), F.lit("cv"))) % folds
-
-    def one(k: int) -> list[float]:
-        with training_rows(train.filter(part != k), label, features=features) as t:
-            return macro_f1s(in_parallel(t.fit, grid), train.filter(part == k), label, features)
-
-    per_fold = in_parallel(one, range(folds))
-    mean = [sum(f[i] for f in per_fold) / folds for i in range(len(grid))]
-    return fit_linear(train, grid[max(range(len(grid)), key=lambda i: (mean[i], -i))], label, features=features)
-
-
-def group_models(train: DataFrame, val: DataFrame, groups: Sequence[str] = ("F", "M"), group: str = "gender",
-                 **kw) -> dict[str, LinearModel]:
-    """M7: one grid-searched model per group, on that group's rows."""
-    return {g: grid_search(train.filter(F.col(group) == g), val.filter(F.col(group) == g), **kw)[0]
-            for g in groups}
-
-
-def group_routed(models: dict[str, LinearModel], test: DataFrame, group: str = "gender") -> DataFrame:
-    """M8: each row scored by the model of its (possibly counterfactual) group."""
-    return score({(g,): m for g, m in models.items()}, test, [group])
-
-
-def remove_and_retrain(train: DataFrame, order: Sequence[int], c: float, label: str = "label",
-                       features: str = "features") -> list[LinearModel]:
-    """The models without the top-i features of a ranking, i = 0 .. d - 2, all refitted with ``c``."""
-    with training_rows(train, label, features=features) as t:
-        def step(i: int) -> LinearModel:
-            dropped = set(order[:i])
-            return t.calibrated(t.fit(c, [j for j in range(len(t.mean)) if j not in dropped]))
-        return in_parallel(step, range(max(len(order) - 1, 1)))

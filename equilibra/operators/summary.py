@@ -33,8 +33,8 @@ def measure_ratio(a: Column, b: Column, digits: int = 3) -> Column:
 
 def direction_label(v: Column) -> Column:
     """Ratio > 1 -> '<round(1/v, 2)>_F', else '<v>_M'."""
-    return F.when(v > 1, F.concat(F.round(1 / v, 2).cast("string"), F.lit("_F"))) \
-        .otherwise(F.concat(v.cast("string"), F.lit("_M")))
+    return F.when(v > 1, F.concat(F.format_string("%.2f", F.round(1 / v, 2)), F.lit("_F"))) \
+        .otherwise(F.concat(F.when(v.isNotNull(), F.format_string("%.6f", v)), F.lit("_M")))
 
 
 def last_per_fold(scores: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -118,11 +118,12 @@ def formatted_summary(summary: DataFrame, welch: DataFrame, paired: DataFrame |
                                                F.lit("*").alias("star")))
     out = long.join(star, [*by, "measure"], "left")
     if paired is not None:
-        plus = paired.filter("significant").select(*[c for c in by], "measure", F.lit("+").alias("plus"))
-        out = out.join(plus, [*by, "measure"], "left")
+        keys = list(dict.fromkeys([*by, method]))
+        plus = paired.filter("significant").select(*keys, "measure", F.lit("+").alias("plus"))
+        out = out.join(plus, [*keys, "measure"], "left")
     else:
         out = out.withColumn("plus", F.lit(None).cast("string"))
-    text = F.concat(F.coalesce(F.col("value").cast("string"), F.lit("nan")),
+    text = F.concat(F.coalesce(F.when(F.col("value").isNotNull(), F.format_string("%.6f", "value")), F.lit("nan")),
                     F.coalesce(F.col("star"), F.lit("")), F.coalesce(F.col("plus"), F.lit("")))
     return out.select(*by, "measure", "value", text.alias("text"))
 

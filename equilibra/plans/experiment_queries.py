@@ -11,16 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import attribution as AT
+from ..operators import batched as BA
 from ..operators import embeddings as E
-from ..operators import metrics
-from ..operators import models as MO
-from ..operators import summary
+from ..operators import linear as LI
+from ..operators import metrics, summary
+from ..operators.models import C_GRID
 from ..session import cut_lineage
 from ..sources import views
 from .embedding_queries import pair_diffs
-from .model_queries import (fold_bundle_features, fold_sets, halves, per_fold, ranked_features, roar_predictions,
-                            with_gender_code)
+from .model_queries import (FOLDS, TrainingSet, batch_rows, fold_sets, halves, ranked_features, roar_predictions,
+                            study1_models, tasks_of)
 from .registry import register
 
 # The four training treatments of the study-1 experiment.
@@ -32,14 +34,12 @@ STUDY1_FOLDS = 10  # Fixed value: the splits that study 1 runs
 def study1_experiment(spark: SparkSession, sf: str, folds: Sequence[int] = range(STUDY1_FOLDS)) -> DataFrame:
     """Per treatment and fold: 3-fold model selection on the training rows, scored on the paired
     test set; rates, ratios, mismatch (A15) and mean probabilities (A14) over both halves."""
+    named = [((tr, k), k, tr) for tr in STUDY1_TREATMENTS for k in folds]
+    models = study1_models(spark, sf, named, STUDY1_FOLDS)  # all treatments, folds, parts and C: two batches
     pred = None
     for tr in STUDY1_TREATMENTS:
-        fold_bundle_features(spark, sf, tr, STUDY1_FOLDS)
-
-        def fit(k: int):
-            return MO.cross_validated(fold_sets(spark, sf, tr, k, STUDY1_FOLDS)["train"], folds=3)  # noqa: B023
-        models = {(k,): m for k, m in zip(folds, per_fold(fit, folds))}
-        part = halves(MO.score(models, fold_sets(spark, sf, tr, n_folds=STUDY1_FOLDS)["test"], ["fold"]))
+        own = {key[1:]: m for key, m in models.items() if key[0] == tr}
+        part = halves(LI.score(own, fold_sets(spark, sf, tr, n_folds=STUDY1_FOLDS)["test"], ["fold"]))
         part = part.withColumn("treatment", F.lit(tr))
         pred = part if pred is None else pred.unionByName(part)
     pred = cut_lineage(pred.drop("features"))
@@ -65,19 +65,18 @@ def embedding_bias_experiment(spark: SparkSession, sf: str) -> DataFrame:
 EXPLAINERS = ("linear", "permutation", "pearson", "random")
 
 
-def proxy_ranking(spark: SparkSession, sf: str, fold: int, explainer: str) -> DataFrame:
-    """The fold's features ranked by what they tell about gender.
+def proxy_ranking(s: dict[str, DataFrame], fold: int, explainer: str, proxy: LI.LinearModel | None) -> DataFrame:
+    """The fold's features ranked by what they tell about gender.
 
     ``linear`` explains the gender classifier on training and validation rows
     together, ``permutation`` on the validation rows; ``pearson`` correlates the
-    training features with gender; ``random`` is a control.
+    validation features with gender; ``random`` is a control.
     """
-    s = with_gender_code(fold_sets(spark, sf, fold=fold))
+    s = {name: df.withColumn("gcode", T.gender_code("gender")) for name, df in s.items()}
     if explainer == "random":
         return AT.random_ranking_of(s["train"], seed=fold)
     if explainer == "pearson":
-        return AT.pcc_ranking(s["train"])
-    proxy, _ = MO.grid_search(s["train"], s["val"], label="gcode")
+        return AT.pcc_ranking(s["val"])
     if explainer == "permutation":
         return AT.permutation_importance(proxy.standardise(s["val"]), proxy.coef, proxy.intercept, label="gcode")
     if explainer != "linear":
@@ -89,28 +88,39 @@ def proxy_ranking(spark: SparkSession, sf: str, fold: int, explainer: str) -> Da
 def proxy_pipeline(spark: SparkSession, sf: str, explainer: str = "linear", method: str = "mute") -> DataFrame:
     """Per fold, rank features by a proxy explanation, take them out step by step (``mute``: their
     training mean, same model; ``roar``: refitted without them) on validation and test pairs, and
-    select a step on validation (M19)."""
-    fold_bundle_features(spark, sf, "orig")
+    select a step on validation (M19).  The gender and label models of all folds are one batch."""
+    if method not in ("mute", "roar"):
+        raise ValueError("method must be mute or roar")
     splits = {"val": "val_pairs", "test": "test"}
-    rankings = per_fold(lambda k: cut_lineage(proxy_ranking(spark, sf, k, explainer)))
+    folds = range(FOLDS)
+    asked = [*([("proxy", "group")] if explainer in ("linear", "permutation") else []), *([("label", "label")] if method == "mute" else [])]
+    tasks, sets = tasks_of(((name, k), TrainingSet(k)) for name, _ in asked for k in folds)
+    tasks = [BA.replace(t, target=dict(asked)[t.key[0]]) for t in tasks]
+    models: dict[tuple, LI.LinearModel] = {}
+    if tasks:
+        with batch_rows(spark, sf, sets) as rows:
+            models = BA.grid_search(rows, tasks, C_GRID)[0]
+    rankings = {k: cut_lineage(proxy_ranking(fold_sets(spark, sf, fold=k), k, explainer, models.get(("proxy", k)))) for k in folds}
     if method == "roar":
-        steps = roar_predictions(spark, sf, {k: ranked_features(r) for k, r in enumerate(rankings)}, splits)
-    elif method == "mute":
-        def fit(k: int) -> MO.LinearModel:
-            s = fold_sets(spark, sf, fold=k)
-            return MO.grid_search(s["train"], s["val"])[0]
-        steps = None
-        for k, model in enumerate(per_fold(fit)):
-            s = fold_sets(spark, sf, fold=k)
-            pairs = halves(s["val_pairs"]).withColumn("split", F.lit("val")).unionByName(
-                halves(s["test"]).withColumn("split", F.lit("test")))
-            z = model.standardise(pairs).select("fold", "split", "row_id", "variant", "gender", "label", "z")
-            part = AT.iterative_mute(z, rankings[k], model.coef, model.intercept, key="row_id",
-                                     keys=["fold", "split", "variant"])
-            steps = part if steps is None else steps.unionByName(part)
-        steps = steps.withColumnRenamed("margin", "probability")  # AUC needs the order only
+        steps = roar_predictions(spark, sf, {k: ranked_features(r) for k, r in rankings.items()}, splits)
     else:
-        raise ValueError("method must be mute or roar")
+        s, pairs = fold_sets(spark, sf), None
+        for name, which in splits.items():
+            part = halves(s[which]).withColumn("split", F.lit(name))
+            pairs = part if pairs is None else pairs.unionByName(part)
+        ranking = None
+        for k, r in rankings.items():
+            r = r.select(F.lit(k).alias("fold"), "feature_idx", "rank")
+            ranking = r if ranking is None else ranking.unionByName(r)
+        own = {k: models["label", k] for k in folds if ("label", k) in models}
+        weights = spark.createDataFrame([(k, list(m.mean), [1 / v if v else 0.0 for v in m.scale], list(m.coef), m.intercept)
+                                         for k, m in own.items()],
+                                        "fold int, mu array<double>, sd array<double>, beta array<double>, intercept double")
+        z = AT.standardize(pairs, weights.select("fold", "mu", "sd"), by=["fold"]).select(
+            "fold", "split", "row_id", "variant", "gender", "label", "z")
+        steps = AT.iterative_mute(z, ranking, weights.select("fold", "beta", "intercept"), key="row_id",
+                                  keys=["fold", "split", "variant"], by=["fold"])
+        steps = steps.withColumnRenamed("margin", "probability")  # AUC needs the order only
     scores = metrics.evaluate(cut_lineage(steps), ["fold", "split", "step"])
     return AT.select_step(scores, ["fold"])
 

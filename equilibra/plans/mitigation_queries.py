@@ -12,7 +12,8 @@ from ..sources import views
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments, cohort_notes
 from .oracle_views import with_views
 from .registry import register
-from .summary_queries import METHODS, SQL_SCORES, method_predictions, scores
+from .fairness_queries import sql_evaluate
+from .summary_queries import METHODS, method_predictions, scores, sql_scores
 
 KEYS = ["embedding", "fold"]
 
@@ -92,8 +93,10 @@ def reject_option_apply(spark: SparkSession, sf: str) -> DataFrame:
     return MI.reject_option_apply(p, chosen(spark, sf), KEYS)
 
 
-PARTICIPATORY_METHODS = [m for m, _ in METHODS]
-
+# The study chooses among four methods, on F1; here they are four decision rules
+PARTICIPATORY_RULES = (*METHODS, ("threshold_20", 0.2), ("threshold_65", 0.65))
+PARTICIPATORY_METHODS = [m for m, _ in PARTICIPATORY_RULES]
+MEASURE = "f1"
 
 # fixed values: published two-sided 5 % points of Student t for 1 to 30 degrees of freedom
 T_TABLE = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
@@ -104,9 +107,9 @@ def _crit_sql() -> str:
     return "[" + ", ".join(map(str, T_TABLE)) + "]"
 
 
-_CHOICE_SQL = SQL_SCORES + (
-    ", lg AS (SELECT method, embedding, fold, 'F' AS gender, CAST(tpr_f AS DOUBLE) AS v FROM ev"
-    " UNION ALL SELECT method, embedding, fold, 'M', CAST(tpr_m AS DOUBLE) FROM ev)\n"
+_CHOICE_SQL = sql_scores(PARTICIPATORY_RULES) + (
+    ", lg AS (SELECT method, embedding, fold, 'F' AS gender, CAST(f1_f AS DOUBLE) AS v FROM ev"
+    " UNION ALL SELECT method, embedding, fold, 'M', CAST(f1_m AS DOUBLE) FROM ev)\n"
     ", mo AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i})" for i, m in enumerate(PARTICIPATORY_METHODS))
     + ") t(method, ord))\n"
     ", mn AS (SELECT method, embedding, gender, avg(v) AS mean FROM lg GROUP BY ALL)\n"
@@ -125,7 +128,7 @@ _CHOICE_SQL = SQL_SCORES + (
 
 
 def choice(spark: SparkSession, sf: str) -> DataFrame:
-    return MI.participatory_choice(scores(spark, sf), PARTICIPATORY_METHODS, "tpr")
+    return MI.participatory_choice(scores(spark, sf, PARTICIPATORY_RULES), PARTICIPATORY_METHODS, MEASURE)
 
 
 @register("participatory_choice", "M11 H3 W4",
@@ -141,12 +144,18 @@ def participatory_choice(spark: SparkSession, sf: str) -> DataFrame:
                      " mp.probability, mp.method, mp.preds FROM mp JOIN choice2 c ON c.embedding = mp.embedding"
                      " AND c.gender = mp.gender AND c.chosen = mp.method", "predictions"))
 def participatory(spark: SparkSession, sf: str) -> DataFrame:
-    g = MI.gather_by_group(method_predictions(spark, sf), choice(spark, sf))
+    g = MI.gather_by_group(method_predictions(spark, sf, PARTICIPATORY_RULES), choice(spark, sf))
     return g.select("row_id", "embedding", "fold", "variant", "gender", "label", "probability", "method", "preds")
 
 
-@register("participatory_scores", "M11 A7")
+_GATHERED_SQL = (_CHOICE_SQL + ", ga AS (SELECT mp.* FROM mp JOIN choice2 c ON c.embedding = mp.embedding"
+                 " AND c.gender = mp.gender AND c.chosen = mp.method)\n")
+
+
+@register("participatory_scores", "M11 A7",
+          with_views(_GATHERED_SQL + "SELECT * FROM (WITH own AS (SELECT * FROM ga)" + sql_evaluate(KEYS, "own")
+                     + "SELECT * FROM ev)", "predictions"))
 def participatory_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the gathered predictions (rows-only: same algebra as `evaluate`)."""
-    g = MI.gather_by_group(method_predictions(spark, sf), choice(spark, sf))
+    """Scores of the gathered predictions."""
+    g = MI.gather_by_group(method_predictions(spark, sf, PARTICIPATORY_RULES), choice(spark, sf))
     return metrics.evaluate(g, KEYS, score_domain=metrics.PROBABILITY)

@@ -1,6 +1,6 @@
 """Proxy-feature rankings, muting and step selection over `features`.
 
-The model is the fixed linear model of :func:`attribution.fixed_weights`
+The model is the fixed linear model of :func:`attribution.fixed_weights_of`
 (deterministic weights), so the Spark algebra of the explainers is checked
 against SQL without a training step.
 """
@@ -14,7 +14,6 @@ from ..functions import text as T
 from ..operators import attribution as AT
 from ..operators import folds as FO
 from ..operators import metrics
-from ..session import cut_lineage
 from ..sources import views
 from .fairness_queries import sql_evaluate
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments
@@ -22,8 +21,6 @@ from .oracle_views import with_views
 from .registry import register
 from .text_queries import duck_clean
 
-DIM = 64
-BETA = AT.fixed_weights(DIM)
 REPEATS = 20
 
 
@@ -95,20 +92,22 @@ def standardized_features(spark: SparkSession, sf: str) -> DataFrame:
                      "features"))
 def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
     z = standardized_features(spark, sf)
-    return _round(AT.linear_attribution(z, z, BETA))
+    return _round(AT.linear_attribution(z, z, None))
 
 
 _PERM_SQL = (_ALL_Z_SQL +
              ", zr AS (SELECT row_id, label, list(z ORDER BY i) AS zv, sum(z * " + _beta_sql("i") + ") AS m"
              " FROM za_zl GROUP BY row_id, label)\n"
-             f", rp AS (SELECT zr.*, CAST(t.r AS INTEGER) AS r FROM zr, range(0, {REPEATS}) t(r))\n"
-             ", rn AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY md5(CAST(row_id AS VARCHAR) || ':'"
-             " || CAST(r AS VARCHAR) || ':perm'), row_id) AS k, count(*) OVER (PARTITION BY r) AS n FROM rp)\n"
+             f", zb AS (SELECT *, ('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':block'), 1, 8))::BIGINT"
+             f" % greatest(count(*) OVER () // {AT.BLOCK}, 1) AS blk FROM zr)\n"
+             f", rp AS (SELECT zb.*, CAST(t.r AS INTEGER) AS r FROM zb, range(0, {REPEATS}) t(r))\n"
+             ", rn AS (SELECT *, row_number() OVER (PARTITION BY r, blk ORDER BY md5(CAST(row_id AS VARCHAR) || ':'"
+             " || CAST(r AS VARCHAR) || ':perm'), row_id) AS k, count(*) OVER (PARTITION BY r, blk) AS n FROM rp)\n"
              ", pa AS (SELECT a.r, a.label, a.m, a.zv, b.zv AS zp FROM rn a JOIN rn b ON a.r = b.r"
-             " AND b.k = a.k % a.n + 1)\n"
+             " AND a.blk = b.blk AND b.k = a.k % a.n + 1)\n"
              f", pj AS (SELECT r, label, CAST(j.j AS INTEGER) AS feature_idx,"
              " m - " + _beta_sql("j.j") + " * zv[j.j + 1] + " + _beta_sql("j.j") + " * zp[j.j + 1] AS pm"
-             f" FROM pa, range(0, {DIM}) j(j))\n"
+             " FROM pa, range(0, (SELECT max(len(features)) FROM features)) j(j))\n"
              ", cf AS (SELECT r, feature_idx, sum(CASE WHEN label = 0 AND NOT pm > 0 THEN 1 ELSE 0 END) AS tn,"
              " sum(CASE WHEN label = 0 AND pm > 0 THEN 1 ELSE 0 END) AS fp,"
              " sum(CASE WHEN label = 1 AND NOT pm > 0 THEN 1 ELSE 0 END) AS fn,"
@@ -138,7 +137,7 @@ def _f1_sql(t: str) -> str:
                      " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM im",
                      "features"))
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(AT.permutation_importance(standardized_features(spark, sf), BETA, repeats=REPEATS))
+    return _round(AT.permutation_importance(standardized_features(spark, sf), AT.fixed_weights_of(), repeats=REPEATS))
 
 
 # the muted / dropped positions of the two P queries: the first three features
@@ -175,58 +174,65 @@ def drop_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------- M17 / M19
 
+MUTE_FOLDS = 5  # Fixed value: the folds that the study runs
+
+
 def mute_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """(split, step, row_id, gender, label, probability = margin, preds) on fold 0 of seed 0."""
-    roles = FO.fold_roles(assignments(spark, sf, mention=True)).filter((F.col("seed") == 0) & (F.col("fold") == 0))
+    """(fold, split, step, row_id, gender, label, probability = margin, preds) on the folds run."""
+    roles = FO.fold_roles(assignments(spark, sf, mention=True)).filter(F.col("fold") < MUTE_FOLDS)
     f = views.features(spark, sf).select("row_id", "gender", "label", "features")
     d = roles.join(f, "row_id")
-    stats = AT.feature_stats(d.filter(F.col("role") == "train"))
-    # one vector per row; read by the histogram and by the pairs
-    z = cut_lineage(AT.standardize(d.filter(F.col("role").isin("val", "test")), stats)
-                    .select(F.col("role").alias("split"), "row_id", "gender", "label", "z"))
-    ranking = AT.random_ranking(spark, DIM, seed=0)
-    return AT.iterative_mute(z, ranking, BETA, keys=["split"]).withColumnRenamed("margin", "probability")
+    stats = AT.feature_stats(d.filter(F.col("role") == "train"), by=["fold"])
+    z = AT.standardize(d.filter(F.col("role").isin("val", "test")), stats, by=["fold"]).select(
+        "fold", F.col("role").alias("split"), "row_id", "gender", "label", "z")
+    ranking = AT.random_ranking_of(f, seed=0)
+    return AT.iterative_mute(z, ranking, AT.fixed_weights_of(), keys=["fold", "split"]).withColumnRenamed("margin", "probability")
 
 
 _STEPS_SQL = (_assign_sql(2, True) + _ROLES_SQL +
-              ", rl AS (SELECT * FROM roles WHERE seed = 0 AND fold = 0)\n"
-              ", fd AS (SELECT rl.role, f.row_id, f.gender, f.label, f.features FROM rl JOIN features f USING (row_id))\n"
-              ", ftr AS (SELECT * FROM fd WHERE role = 'train')\n" + _stats_sql("ftr", "st")
-              + ", fe AS (SELECT * FROM fd WHERE role IN ('val', 'test'))\n"
-              + _z_sql("fe", "st", "zz", "role, row_id, gender, label") + _RANDOM_SQL +
-              ", ct AS (SELECT z.role AS split, z.row_id, z.gender, z.label, r.rank, z.z * " + _beta_sql("z.i")
-              + " AS c FROM zz_zl z JOIN rrk r ON r.feature_idx = z.i)\n"
-              ", cs AS (SELECT *, sum(c) OVER (PARTITION BY split, row_id) - sum(c) OVER (PARTITION BY split, row_id"
+              f", rl AS (SELECT * FROM roles WHERE fold < {MUTE_FOLDS})\n"
+              ", fd AS (SELECT rl.fold, rl.role, f.row_id, f.gender, f.label, f.features FROM rl JOIN features f USING (row_id))\n"
+              ", fel AS (SELECT fold, unnest(features) AS x, unnest(range(len(features))) AS i FROM fd WHERE role = 'train')\n"
+              ", st AS (SELECT fold, i, avg(x) AS mu, stddev_pop(x) AS sd FROM fel GROUP BY fold, i)\n"
+              ", ze AS (SELECT fold, role, row_id, gender, label, unnest(features) AS x, unnest(range(len(features))) AS i"
+              " FROM fd WHERE role IN ('val', 'test'))\n"
+              ", zz AS (SELECT e.*, CASE WHEN s.sd <> 0 THEN (e.x - s.mu) / s.sd ELSE 0.0 END AS z"
+              " FROM ze e JOIN st s USING (fold, i))\n" + _RANDOM_SQL +
+              ", ct AS (SELECT z.fold, z.role AS split, z.row_id, z.gender, z.label, r.rank, z.z * " + _beta_sql("z.i")
+              + " AS c FROM zz z JOIN rrk r ON r.feature_idx = z.i)\n"
+              ", cs AS (SELECT *, sum(c) OVER (PARTITION BY fold, split, row_id) - sum(c) OVER (PARTITION BY fold, split, row_id"
               " ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rest,"
-              " sum(c) OVER (PARTITION BY split, row_id) AS tot FROM ct)\n"
-              f", sp AS (SELECT split, row_id, gender, label, rank AS step, rest AS mg FROM cs WHERE rank <= {DIM - 2}"
-              " UNION ALL SELECT split, row_id, gender, label, 0, tot FROM cs WHERE rank = 1)\n"
-              ", ms AS (SELECT split, step, row_id, 'orig' AS variant, gender, label, mg AS probability,"
+              " sum(c) OVER (PARTITION BY fold, split, row_id) AS tot FROM ct)\n"
+              ", sp AS (SELECT fold, split, row_id, gender, label, rank AS step, rest AS mg FROM cs"
+              " WHERE rank <= (SELECT max(rank) - 2 FROM rrk)"
+              " UNION ALL SELECT fold, split, row_id, gender, label, 0, tot FROM cs WHERE rank = 1)\n"
+              ", ms AS (SELECT fold, split, step, row_id, 'orig' AS variant, gender, label, mg AS probability,"
               " CASE WHEN mg > 0 THEN 1 ELSE 0 END AS preds FROM sp UNION ALL"
-              " SELECT split, step, row_id, 'swapped', CASE WHEN gender = 'F' THEN 'M' ELSE 'F' END, label, mg,"
+              " SELECT fold, split, step, row_id, 'swapped', CASE WHEN gender = 'F' THEN 'M' ELSE 'F' END, label, mg,"
               " CASE WHEN mg > 0 THEN 1 ELSE 0 END FROM sp)\n")
+MUTE_KEYS = ["fold", "split", "step"]
 
 
 def mute_scores(spark: SparkSession, sf: str) -> DataFrame:
     # blind pairs: each row and its gender-flipped copy (the group is not a feature), so a
     # row is its own pair and no shuffle by row is needed
     steps = mute_steps(spark, sf)
-    pairs = steps.select("split", "step", F.col("preds").alias("p0"), F.col("preds").alias("p1"),
+    pairs = steps.select(*MUTE_KEYS, F.col("preds").alias("p0"), F.col("preds").alias("p1"),
                          F.col("gender").alias("g0"), T.flip_gender("gender").alias("g1"))
-    return metrics.evaluate(steps.withColumn("variant", F.lit("orig")), ["split", "step"], pairs=pairs)
+    return metrics.evaluate(steps.withColumn("variant", F.lit("orig")), MUTE_KEYS, pairs=pairs)
 
 
 _SCORE_ROUND = [c for c in metrics.SCORE_COLUMNS]
 
 
 @register("iterative_mute", "M17 W3 J7",
-          with_views(_STEPS_SQL + sql_evaluate(["split", "step"], "ms") + "SELECT split, step, "
+          with_views(_STEPS_SQL + sql_evaluate(MUTE_KEYS, "ms") + "SELECT fold, split, step, "
                      + ", ".join(f"round({c}, 6) AS {c}" if c not in ("mismatch_direction",) else c
                                  for c in metrics.SCORE_COLUMNS) + " FROM ev", "notes", "features"))
 def iterative_mute(spark: SparkSession, sf: str) -> DataFrame:
     s = mute_scores(spark, sf)
-    return s.select("split", "step", *[F.round(c, 6).alias(c) if t == "double" else F.col(c)
-                                       for c, t in s.dtypes if c not in ("split", "step")])
+    return s.select(*MUTE_KEYS, *[F.round(c, 6).alias(c) if t == "double" else F.col(c)
+                                  for c, t in s.dtypes if c not in MUTE_KEYS])
 
 
 def _ratio_sql(m: str) -> str:
@@ -238,24 +244,24 @@ def _ratio_sql(m: str) -> str:
 _SELECT_SQL = (
     ", rr2 AS (SELECT *, " + ", ".join(_ratio_sql(m) for m in ("tpr", "fpr", "f1")) + " FROM ev)\n"
     ", vv AS (SELECT * FROM rr2 WHERE split = 'val' AND step < 10)\n"
-    ", cr AS (SELECT step, 'mismatch_ratio' AS criterion, -mismatch_ratio AS value FROM vv"
-    " UNION ALL SELECT step, 'tpr_r', tpr_r FROM vv UNION ALL SELECT step, 'fpr_r', fpr_r FROM vv"
-    " UNION ALL SELECT step, 'f1_r', f1_r FROM vv"
-    + "".join(f" UNION ALL SELECT step, 'func_{lam}', {lam} * abs(tpr_r) + {1 - lam} * f1 FROM vv"
+    ", cr AS (SELECT fold, step, 'mismatch_ratio' AS criterion, -mismatch_ratio AS value FROM vv"
+    " UNION ALL SELECT fold, step, 'tpr_r', tpr_r FROM vv UNION ALL SELECT fold, step, 'fpr_r', fpr_r FROM vv"
+    " UNION ALL SELECT fold, step, 'f1_r', f1_r FROM vv"
+    + "".join(f" UNION ALL SELECT fold, step, 'func_{lam}', {lam} * abs(tpr_r) + {1 - lam} * f1 FROM vv"
               for lam in AT.SELECTION_LAMBDAS) + ")\n"
-    ", bst AS (SELECT criterion, step FROM (SELECT *, row_number() OVER (PARTITION BY criterion ORDER BY"
+    ", bst AS (SELECT fold, criterion, step FROM (SELECT *, row_number() OVER (PARTITION BY fold, criterion ORDER BY"
     " value DESC NULLS LAST, step) AS rn FROM cr) WHERE rn = 1)\n")
 
 
 @register("select_step", "M19 W5 W6 J9 Q26",
-          with_views(_STEPS_SQL + sql_evaluate(["split", "step"], "ms") + _SELECT_SQL
-                     + "SELECT b.criterion, b.step, round(t.mismatch_ratio, 6) AS mismatch_ratio,"
+          with_views(_STEPS_SQL + sql_evaluate(MUTE_KEYS, "ms") + _SELECT_SQL
+                     + "SELECT b.fold, b.criterion, b.step, round(t.mismatch_ratio, 6) AS mismatch_ratio,"
                      " round(t.tpr_r, 6) AS tpr_r, round(t.fpr_r, 6) AS fpr_r, round(t.f1_r, 6) AS f1_r,"
                      " round(t.f1, 6) AS f1, round(t.auc, 6) AS auc FROM bst b"
-                     " LEFT JOIN (SELECT * FROM rr2 WHERE split = 'test') t USING (step)", "notes", "features"))
+                     " LEFT JOIN (SELECT * FROM rr2 WHERE split = 'test') t USING (fold, step)", "notes", "features"))
 def select_step(spark: SparkSession, sf: str) -> DataFrame:
-    s = AT.select_step(mute_scores(spark, sf))
-    return s.select("criterion", "step", *[F.round(c, 6).alias(c) for c in
+    s = AT.select_step(mute_scores(spark, sf), ["fold"])
+    return s.select("fold", "criterion", "step", *[F.round(c, 6).alias(c) for c in
                                            ("mismatch_ratio", "tpr_r", "fpr_r", "f1_r", "f1", "auc")])
 
 
@@ -273,7 +279,7 @@ def select_step(spark: SparkSession, sf: str) -> DataFrame:
                      "notes", "word_vectors"))
 def token_attribution(spark: SparkSession, sf: str) -> DataFrame:
     n = views.notes(spark, sf).select("row_id", "text")
-    t = AT.token_attribution(n, views.word_vectors(spark, sf), BETA)
+    t = AT.token_attribution(n, views.word_vectors(spark, sf), AT.fixed_weights_of("vector"))
     return t.select("row_id", "word", F.round("contribution", 6).alias("contribution"), "rank")
 
 
@@ -295,4 +301,4 @@ SHAPLEY_PERMUTATIONS = 10
                      " CAST(row_number() OVER (ORDER BY round(abs(score), 9) DESC, feature_idx) AS INTEGER) AS rank FROM sc",
                      "features"))
 def sampled_shapley(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(AT.sampled_shapley(standardized_features(spark, sf), BETA, permutations=SHAPLEY_PERMUTATIONS))
+    return _round(AT.sampled_shapley(standardized_features(spark, sf), AT.fixed_weights_of(), permutations=SHAPLEY_PERMUTATIONS))

@@ -7,6 +7,8 @@ so the paired comparison (H2) has a baseline and a treatment.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,28 +24,32 @@ BY = ["method", "embedding"]
 METHODS = (("orig", 0.35), ("threshold_50", 0.5))
 
 
-def method_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def method_predictions(spark: SparkSession, sf: str, methods: Sequence[tuple[str, float]] = METHODS) -> DataFrame:
     """Predictions under each decision rule (a generator, one scan)."""
     p = views.predictions(spark, sf)
-    rules = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(t).alias("thr")) for m, t in METHODS]))
+    rules = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(t).alias("thr")) for m, t in methods]))
     x = p.select("*", rules.alias("_m"))
     return x.select(*[c for c in p.columns if c != "preds"], F.col("_m.method").alias("method"),
                     F.when(F.col("probability") >= F.col("_m.thr"), 1).otherwise(0).alias("preds"))
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(method_predictions(spark, sf), MKEYS, score_domain=metrics.PROBABILITY)
+def scores(spark: SparkSession, sf: str, methods: Sequence[tuple[str, float]] = METHODS) -> DataFrame:
+    return metrics.evaluate(method_predictions(spark, sf, methods), MKEYS, score_domain=metrics.PROBABILITY)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_MP_SQL = (", mp AS (SELECT p.row_id, p.fold, p.embedding, p.variant, p.gender, p.label, p.probability, m.method,"
-           " CASE WHEN p.probability >= m.thr THEN 1 ELSE 0 END AS preds FROM predictions p CROSS JOIN ("
-           + " UNION ALL ".join(f"SELECT '{m}' AS method, CAST({t} AS DOUBLE) AS thr" for m, t in METHODS)
-           + ") m)\n")
-SQL_SCORES = _MP_SQL + sql_evaluate(MKEYS, "mp")
+def sql_scores(methods: Sequence[tuple[str, float]]) -> str:
+    """CTEs mp (predictions by decision rule) and ev (their scores)."""
+    return (", mp AS (SELECT p.row_id, p.fold, p.embedding, p.variant, p.gender, p.label, p.probability, m.method,"
+            " CASE WHEN p.probability >= m.thr THEN 1 ELSE 0 END AS preds FROM predictions p CROSS JOIN ("
+            + " UNION ALL ".join(f"SELECT '{m}' AS method, CAST({t} AS DOUBLE) AS thr" for m, t in methods)
+            + ") m)\n" + sql_evaluate(MKEYS, "mp"))
+
+
+SQL_SCORES = sql_scores(METHODS)
 
 
 def _ratio_sql(a: str, b: str, digits: int = 3) -> str:
@@ -87,14 +93,16 @@ def _ratio_of_means_sql() -> str:
 @register("ratio_of_means", "A13 A10",
           with_views(SQL_SCORES + SQL_RATIOS + _ratio_of_means_sql(), "predictions"))
 def ratio_of_means(spark: SparkSession, sf: str) -> DataFrame:
-    s = summary.summarize(scores(spark, sf), BY)
-    r = summary.with_ratios(scores(spark, sf)).groupBy(*BY).agg(
+    sc = scores(spark, sf)
+    s = summary.summarize(sc, BY)
+    r = summary.with_ratios(sc).groupBy(*BY).agg(
         *[F.avg(f"{m}_r").alias(f"{m}_r") for m in summary.RATIO_MEASURES])
     out = s.select(*BY, *[f"avg_{m}_r" for m in summary.AVG_RATIO_MEASURES]).join(r, BY)
     return _round(out)
 
 
 def _welch_sql() -> str:
+    """CTE ws: Welch t and df per method, embedding and measure."""
     lw = " UNION ALL ".join(f"SELECT method, embedding, '{m}' AS measure, {m}_f AS a, {m}_m AS b FROM rr"
                             for m in summary.RATIO_MEASURES)
     return (f", lw AS ({lw})\n"
@@ -102,17 +110,22 @@ def _welch_sql() -> str:
             " avg(b) AS mm, var_samp(a) AS vf, var_samp(b) AS vm FROM lw GROUP BY method, embedding, measure)\n"
             ", wq AS (SELECT *, vf / n_f AS qf, vm / n_m AS qm, vf / n_f + vm / n_m AS se2,"
             " (n_f >= 2 AND n_m >= 2 AND vf / n_f + vm / n_m > 0) AS ok FROM wa)\n"
-            "SELECT method, embedding, measure, CAST(n_f AS BIGINT) AS n_f, CAST(n_m AS BIGINT) AS n_m,"
-            " round(CASE WHEN ok THEN (mf - mm) / sqrt(se2) END, 6) AS t,"
-            " round(CASE WHEN ok THEN se2 * se2 / (qf * qf / (n_f - 1) + qm * qm / (n_m - 1)) END, 6) AS df FROM wq")
+            ", ws AS (SELECT method, embedding, measure, CAST(n_f AS BIGINT) AS n_f, CAST(n_m AS BIGINT) AS n_m,"
+            " CASE WHEN ok THEN (mf - mm) / sqrt(se2) END AS t,"
+            " CASE WHEN ok THEN se2 * se2 / (qf * qf / (n_f - 1) + qm * qm / (n_m - 1)) END AS df FROM wq)\n")
+
 
+def _stat_sql(cte: str, cols: str) -> str:
+    return f"SELECT method, embedding, measure, {cols}, round(t, 6) AS t, round(df, 6) AS df FROM {cte}"
 
-@register("welch_stat", "H1", with_views(SQL_SCORES + SQL_RATIOS + _welch_sql(), "predictions"))
+
+@register("welch_stat", "H1", with_views(SQL_SCORES + SQL_RATIOS + _welch_sql() + _stat_sql("ws", "n_f, n_m"), "predictions"))
 def welch_stat(spark: SparkSession, sf: str) -> DataFrame:
     return _round(summary.welch_stats(scores(spark, sf), BY))
 
 
 def _paired_sql() -> str:
+    """CTE ps: paired t and df per method, embedding and measure."""
     ms = summary.PAIRED_MEASURES
     base = "SELECT embedding, fold, " + ", ".join(f"{m} AS b_{m}" for m in ms) + " FROM rr WHERE method = 'orig'"
     lp = " UNION ALL ".join(
@@ -122,19 +135,44 @@ def _paired_sql() -> str:
     return (f", bs AS ({base})\n, lp AS ({lp})\n"
             ", pa AS (SELECT method, embedding, measure, count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd"
             " FROM lp GROUP BY method, embedding, measure)\n"
-            "SELECT method, embedding, measure, CAST(n AS BIGINT) AS n, round(mean_diff, 6) AS mean_diff,"
-            " round(CASE WHEN n >= 2 AND sd > 0 THEN mean_diff / (sd / sqrt(n)) END, 6) AS t,"
-            " CASE WHEN n >= 2 AND sd > 0 THEN CAST(n - 1 AS DOUBLE) END AS df FROM pa")
+            ", ps AS (SELECT method, embedding, measure, CAST(n AS BIGINT) AS n, mean_diff,"
+            " CASE WHEN n >= 2 AND sd > 0 THEN mean_diff / (sd / sqrt(n)) END AS t,"
+            " CASE WHEN n >= 2 AND sd > 0 THEN CAST(n - 1 AS DOUBLE) END AS df FROM pa)\n")
 
 
-@register("paired_stat", "H2 J5", with_views(SQL_SCORES + SQL_RATIOS + _paired_sql(), "predictions"))
+@register("paired_stat", "H2 J5", with_views(SQL_SCORES + SQL_RATIOS + _paired_sql()
+                                      + _stat_sql("ps", "n, round(mean_diff, 6) AS mean_diff"), "predictions"))
 def paired_stat(spark: SparkSession, sf: str) -> DataFrame:
     return _round(summary.paired_stats(scores(spark, sf), by=["embedding"]))
 
 
-@register("significance", "H1 H2")
+def p_value_sql(t: str, df: str) -> str:
+    """The two-sided p-value in SQL: the incomplete beta's fraction as a list reduction, the beta by lgamma."""
+    x, z = f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
+
+    def side(a: str, b: str, v: str) -> str:
+        coefs = (f"list_transform(range(CAST(64 + 4 * ceil(sqrt({df})) AS BIGINT), 0, -1), lambda n: CASE WHEN n % 2 = 0"
+                 f" THEN (n // 2) * ({b} - n // 2) * {v} / (({a} + n - 1) * ({a} + n))"
+                 f" ELSE -({a} + n // 2) * ({a} + {b} + n // 2) * {v} / (({a} + n - 1) * ({a} + n)) END)")
+        front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({v}) + {b} * ln(1 - {v}))"
+        return f"{front} / {a} / list_reduce(list_prepend(CAST(1 AS DOUBLE), {coefs}), lambda r, c: 1 + c / r)"
+    a, b = f"({df} / 2)", "0.5::DOUBLE"
+    return (f"CASE WHEN {t} IS NULL OR {df} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0::DOUBLE"
+            f" WHEN {x} < ({a} + 1) / ({a} + 2.5) THEN {side(a, b, x)} ELSE 1 - {side(b, a, z)} END")
+
+
+_TESTS_SQL = (SQL_SCORES + SQL_RATIOS + _welch_sql() + _paired_sql()
+              + f", wp AS (SELECT *, {p_value_sql('t', 'df')} AS p_value FROM ws)\n"
+              + f", pp AS (SELECT *, {p_value_sql('t', 'df')} AS p_value FROM ps)\n")
+
+
+@register("significance", "H1 H2",
+          with_views(_TESTS_SQL + " UNION ALL ".join(
+              f"SELECT '{name}' AS test, method, embedding, measure, round(t, 6) AS t, round(df, 6) AS df,"
+              f" round(p_value, 6) AS p_value, coalesce(p_value < 0.05, false) AS significant FROM {cte}"
+              for name, cte in (("welch", "wp"), ("paired", "pp"))), "predictions"))
 def significance(spark: SparkSession, sf: str) -> DataFrame:
-    """p-values (t distribution) and marks for both tests; no SQL t distribution."""
+    """p-values (t distribution) and marks for both tests."""
     sc = scores(spark, sf)
     w = summary.with_pvalues(summary.welch_stats(sc, BY)).withColumn("test", F.lit("welch"))
     p = summary.with_pvalues(summary.paired_stats(sc, by=["embedding"])).withColumn("test", F.lit("paired"))
@@ -142,10 +180,24 @@ def significance(spark: SparkSession, sf: str) -> DataFrame:
     return _round(w.select(*cols).unionByName(p.select(*cols)))
 
 
-@register("formatted_summary", "T8 T9 A16")
+def _formatted_sql() -> str:
+    table = _summary_sql()
+    cut = table.index("SELECT method, embedding, round(")
+    # a + mark is the method's own comparison; the baseline has none
+    return (_TESTS_SQL + table[:cut] + f", sm AS ({table[cut:]})\n, lo AS (" + " UNION ALL ".join(
+        f"SELECT method, embedding, '{c}' AS measure, {c} AS value FROM sm" for c in summary.SUMMARY_COLUMNS) + ")\n"
+        "SELECT l.method, l.embedding, l.measure, l.value, coalesce(printf('%.6f', l.value), 'nan')"
+        " || CASE WHEN w.measure IS NOT NULL THEN '*' ELSE '' END || CASE WHEN p.measure IS NOT NULL THEN '+' ELSE '' END AS text,"
+        " CASE WHEN l.value > 1 THEN printf('%.2f', round(1 / l.value, 2)) || '_F' ELSE printf('%.6f', l.value) || '_M' END AS direction"
+        " FROM lo l LEFT JOIN (SELECT * FROM wp WHERE p_value < 0.05) w ON w.method = l.method AND w.embedding = l.embedding"
+        " AND w.measure || '_r' = l.measure LEFT JOIN (SELECT * FROM pp WHERE p_value < 0.05) p ON p.method = l.method"
+        " AND p.embedding = l.embedding AND p.measure = l.measure")
+
+
+@register("formatted_summary", "T8 T9 A16", with_views(_formatted_sql(), "predictions"))
 def formatted_summary(spark: SparkSession, sf: str) -> DataFrame:
     sc = scores(spark, sf)
-    s = summary.summarize(sc, BY)
+    s = _round(summary.summarize(sc, BY))
     w = summary.with_pvalues(summary.welch_stats(sc, BY))
     p = summary.with_pvalues(summary.paired_stats(sc, by=["embedding"]))
     out = summary.formatted_summary(s, w, p, BY)
