@@ -1,18 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart: one on windows of ordinary
-text, one on the windows that set toxic text off (seen in several toxic
-documents, rarely in ordinary ones).  The ordinary class compresses a window
-with the ordinary dictionary, the toxic class with both joined, so a window
-that neither class explains better costs the same bytes twice and the
-difference of the two lengths isolates what only toxic text contains.  A
-window is one word between constant paddings: the paddings keep zstandard from
-storing a tiny block raw, and equal windows are compressed once per task.
-
-A document's windows give a histogram of length differences.  Its calibrated
-decision is a logistic curve over that histogram, fitted on labelled rows that
-trained no dictionary, with the intercept set so that 0.5 is the threshold of
-least error at the labelled share of toxic rows.
+Two zstandard dictionaries are trained apart, both with ``train_dictionary`` on
+windows of text: one on labelled toxic text, one on labelled ordinary text.  A
+window of a few words is compressed twice: by the ordinary dictionary, and by
+the toxic and the ordinary dictionary joined.  Most of a toxic text is ordinary,
+so the difference of the two lengths isolates what toxic text adds.  The
+ordinary part stands nearer in the joined dictionary, so that what both parts
+hold costs the same in both; the order of words that ordinary text uses often
+is therefore not seen.  Windows stand between constant paddings, which keep
+zstandard from storing a tiny block raw.
+
+A document's windows (one from every word on) give a histogram of length
+differences.  Its calibrated decision is a logistic curve over that histogram,
+fitted on labelled rows that trained no dictionary, with the intercept set so
+that 0.5 is the threshold of least error at the labelled share of toxic rows.
 
 Bounded: at most ``per_class`` labelled rows of each class are read for
 fitting (rows of smallest id hash); the model is under 1 MB whatever the
@@ -20,7 +21,8 @@ corpus holds.  Scoring is one pass over the whole texts without a shuffle.
 
 Defined results: a null or empty text has no window and scores as the curve
 says for an empty histogram, at most 0.49; repeated rows score alike; with no labelled toxic row (or
-no ordinary one) every score is 0; other columns pass through untouched.
+no ordinary one, or with too little text for a dictionary) every score is 0; other columns pass
+through untouched.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import zstandard
@@ -40,35 +42,49 @@ from equilibra.llm.common import add_columns, hashed_sample, id_remainder, once
 
 PER_CLASS = 2000          # labelled rows per class used for fitting (the bound of the sample)
 ORDINARY_BYTES = 262144   # size of the ordinary dictionary
-TOXIC_BYTES = 16384       # largest size of the toxic dictionary
-HEAD = bytes(random.Random(7).randrange(97, 123) for _ in range(96))
+TOXIC_BYTES = 16384       # size of the toxic dictionary
+WINDOW = 3                # words of a window
+LONG_WINDOW = 6           # words of a sample that trains the ordinary dictionary
+SAMPLES = 400_000         # windows that train a dictionary, at most
+HEAD = bytes(random.Random(7).randrange(97, 123) for _ in range(48))
 TAIL = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15])
-BINS = 8                  # differences 0 or less, 1, ..., 7 or more
-CACHE = 200_000           # windows whose difference a task remembers
+LEAST, MOST = -3, 9       # length differences, beyond which they count as these
+BINS = MOST - LEAST + 1
+BATCH = 4096              # windows compressed together
 
 _WORD = re.compile(r"\w+")
 
 
-def windows(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     return [w.encode() for w in _WORD.findall((text or "").lower())]
 
 
+def windows(words: list[bytes], size: int = WINDOW, stride: int = 1) -> list[bytes]:
+    """Runs of ``size`` words, one every ``stride`` words (the whole text if it is shorter)."""
+    if not words:
+        return []
+    text = b" " + b" ".join(words) + b" "
+    at = list(accumulate(words, lambda i, w: i + len(w) + 1, initial=0))  # the space before each word
+    last = max(len(words) - size, 0)
+    return [text[at[i]:at[min(i + size, len(words))] + 1] for i in range(0, last + 1, stride)]
+
+
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes            # dictionary contents
     toxic: bytes
-    weights: tuple[float, ...]  # intercept, one per difference bin, log of windows
+    weights: tuple[float, ...]  # intercept, one per difference, log of windows
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters(
-        window_log=19, chain_log=18, hash_log=18, search_log=4, min_match=4, target_length=16,
+        window_log=19, chain_log=17, hash_log=17, search_log=2, min_match=4, target_length=16,
         strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         write_content_size=0, write_dict_id=0, write_checksum=0)
 
 
 class Meter:
-    """Length differences (ordinary minus toxic) of windows, remembered within a task."""
+    """Length differences (ordinary minus toxic) of windows."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         p = _parameters()
@@ -77,41 +93,30 @@ class Meter:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             self._by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, words: set[bytes]) -> dict[bytes, int]:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > CACHE:
-            self._known, new = {}, list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            padded = [HEAD + b" " + w + b" " + TAIL for w in part]
-            a, b = ([len(x) for x in c.multi_compress_to_buffer(padded, threads=0)] for c in self._by)
-            for w, x, y in zip(part, a, b):
-                self._known[w] = min(max(x - y, 0), BINS - 1)
-        return self._known
-
-
-def histogram(meter: Meter, words: list[bytes]) -> np.ndarray:
-    counts = Counter(words)
-    known = meter(set(counts))
-    h = np.zeros(BINS)
-    for w, c in counts.items():
-        h[known[w]] += c
-    return h
+
+    def histogram(self, words: list[bytes]) -> np.ndarray:
+        """How many windows have each length difference."""
+        h, found = np.zeros(BINS), windows(words)
+        for at in range(0, len(found), BATCH):
+            padded = [HEAD + w + TAIL for w in found[at:at + BATCH]]
+            a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(padded, threads=0)), np.int64, len(padded)) for c in self._by)
+            h += np.bincount(np.clip(a - b, LEAST, MOST) - LEAST, minlength=BINS)
+        return h
 
 
 def _features(h: np.ndarray) -> np.ndarray:
-    """Intercept, log counts of each positive difference, log of all windows."""
-    return np.concatenate([[1.0], np.log1p(h[1:]), [math.log1p(h.sum())]])
+    """Intercept, log counts of each difference, log of all windows."""
+    return np.concatenate([[1.0], np.log1p(h), [math.log1p(h.sum())]])
 
 
-def _train(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content; the samples themselves where they are too few to train on."""
-    raw = b" ".join(samples)
-    if len(samples) < 2000 or len(raw) < 4 * size:
-        return raw[-size:] if raw else b" " * 16
-    return zstandard.train_dictionary(size, samples).as_bytes()
+def dictionary(texts: list[list[bytes]], window: int, size: int) -> bytes | None:
+    """The content of a dictionary trained on the texts' windows; None where zstandard finds too little to train on."""
+    samples = [w for words in texts for w in windows(words, window, window)]
+    random.Random(1).shuffle(samples)
+    try:
+        return zstandard.train_dictionary(size, samples[:SAMPLES]).as_bytes()
+    except zstandard.ZstdError:
+        return None
 
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model | None:
@@ -120,29 +125,13 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model | No
         return None
     if len(toxic) == 1 or len(ordinary) == 1:
         toxic, ordinary = toxic * 2, ordinary * 2
-    t, o = [windows(x) for x in toxic], [windows(x) for x in ordinary]
+    t, o = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
     ht, ho = (len(t) + 1) // 2, (len(o) + 1) // 2
-    seen_t, seen_o = Counter(), Counter()
-    for ws in t[:ht]:
-        seen_t.update(set(ws))
-    for ws in o[:ho]:
-        seen_o.update(set(ws))
-    marked = []
-    for w, c in seen_t.items():
-        odds = math.log((c + 0.5) / (ht + 1)) - math.log((seen_o[w] + 0.5) / (ho + 1))
-        if len(w) >= 3 and odds > 2.0 and c >= max(2, 0.004 * ht):
-            marked.append((odds * c, w))
-    marked.sort(reverse=True)
-    tox_samples = [w for _, w in marked]
-    kept = b" ".join(tox_samples)[:TOXIC_BYTES] or b" " * 16
-    tox_dict = _train([b" " + w + b" " for w in tox_samples for _ in range(min(seen_t[w], 8))], TOXIC_BYTES) \
-        if len(kept) >= TOXIC_BYTES else b" " + kept + b" "
-    groups = [b" " + b" ".join(ws[i:i + 6]) for ws in o[:ho] for i in range(0, len(ws), 6)]
-    random.Random(1).shuffle(groups)
-    ord_dict = _train(groups[:400_000], ORDINARY_BYTES)
-
+    tox_dict, ord_dict = dictionary(t[:ht], WINDOW, TOXIC_BYTES), dictionary(o[:ho], LONG_WINDOW, ORDINARY_BYTES)
+    if tox_dict is None or ord_dict is None:
+        return None
     meter = Meter(ord_dict, tox_dict)
-    x = np.array([_features(histogram(meter, ws)) for ws in t[ht:] + o[ho:]])
+    x = np.array([_features(meter.histogram(ws)) for ws in t[ht:] + o[ho:]])
     y = np.array([1.0] * (len(t) - ht) + [0.0] * (len(o) - ho))
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     share = min(max(toxic_share, 1e-4), 1 - 1e-4)
@@ -176,8 +165,8 @@ class Scorer:
         self._beta = np.array(model.weights)
 
     def __call__(self, text: str | None) -> float:
-        words = windows(text)
-        z = float(_features(histogram(self._meter, words)) @ self._beta)
+        words = words_of(text)
+        z = float(_features(self._meter.histogram(words)) @ self._beta)
         p = 1 / (1 + math.exp(-min(max(z, -30), 30)))
         return p if words else min(p, 0.49)
 

@@ -98,7 +98,7 @@ def test_id_remainder(spark):
 
 # ---- toxicity ----
 
-def test_toxicity_separates(spark):
+def test_toxicity_separates(monkeypatch):
     rnd = random.Random(5)
     plain = ["".join(rnd.choice("aeinrstl") for _ in range(rnd.randrange(3, 8))) for _ in range(400)]
     bad = ["blorgface", "wuzzling", "kretchful", "zomphead"]
@@ -107,12 +107,32 @@ def test_toxicity_separates(spark):
         for _ in range(4 if toxic else 0):
             ws[rnd.randrange(120)] = rnd.choice(bad)
         return " ".join(ws)
-    m = toxicity.fit([doc(True) for _ in range(60)], [doc(False) for _ in range(60)], 0.2)
+    trained, train = [], toxicity.zstandard.train_dictionary
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: trained.append(size) or train(size, samples))
+    m = toxicity.fit([doc(True) for _ in range(200)], [doc(False) for _ in range(200)], 0.2)
+    assert trained == [toxicity.TOXIC_BYTES, toxicity.ORDINARY_BYTES]  # both sides
     s = toxicity.Scorer(m)
     assert sum(s(doc(True)) >= 0.5 for _ in range(40)) >= 38 and sum(s(doc(False)) >= 0.5 for _ in range(40)) <= 1
     assert 0 <= s("") < 0.5 and s(None) == s("")
 
 
+def test_toxicity_windows():
+    ws = [b"a", b"bc", b"d", b"e"]
+    assert toxicity.windows(ws) == [b" a bc d ", b" bc d e "] and toxicity.windows(ws, 3, 3) == [b" a bc d "]
+    assert toxicity.windows(ws[:2]) == [b" a bc "] and toxicity.windows([]) == []
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    m = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    known = labels.where(F.col("toxic").isin(0, 1) & toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    rows = toxicity.score(docs.select("doc_id", "text").join(known, "doc_id"), m).collect()
+    caught = [r.score >= 0.5 for r in rows if r.toxic == 1]
+    wrong = [r.score >= 0.5 for r in rows if r.toxic == 0]
+    assert len(caught) > 40 and sum(caught) >= 0.75 * len(caught) and sum(wrong) <= 0.03 * len(wrong)
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (5, None, 0), (7, 1, None), (None, 1, 1), (99, 0, 1), (1, 1, 1)],
                                    "doc_id bigint, quality int, toxic int")
