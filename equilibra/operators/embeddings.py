@@ -107,23 +107,48 @@ def skew_safe_lexicon_join(counts: DataFrame, lexicon: DataFrame, hot: DataFrame
     return c.drop("_hot").join(lx.drop("_hot"), ["word", "_salt"]).drop("_salt")
 
 
+BLOCK_BYTES = 32 << 20   # text pooled together
+SMALL_BLOCK = 1 << 20    # a small input is cut finer, so that all cores have work
+PIECE = 1 << 16          # tokens of a text that are pooled together
+
+
+def pooling_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row: the number of blocks that the texts' bytes ask for (``_blocks``)."""
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    cores = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    few = F.least(F.ceil(size / min(SMALL_BLOCK, block_bytes)), F.lit(cores))
+    return docs.agg(F.greatest(F.ceil(size / block_bytes), few, F.lit(1)).alias("_blocks"))
+
+
+def text_pieces(docs: DataFrame, key: str, text: str, words: Column, block_bytes: int = BLOCK_BYTES,
+                piece: int = PIECE) -> DataFrame:
+    """(_key, _block, _words): every text's tokens in pieces, dealt to blocks by a hash of key and piece.
+
+    The number of blocks follows from the texts' size and no piece is large, so
+    blocks are about ``block_bytes`` whatever the session's settings.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_all") - 1, F.lit(0)), F.lit(piece))
+    cut = docs.select(F.col(key).alias("_key"), words.alias("_all")).select(
+        "_key", F.posexplode(F.transform(starts, lambda i: F.slice(F.col("_all"), i + 1, F.lit(piece)))).alias("_piece", "_words"))
+    n = pooling_blocks(docs, text, block_bytes).withColumn("_one", F.lit(1))  # one row
+    cut = cut.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    return cut.select("_key", F.pmod(F.xxhash64("_key", "_piece"), F.col("_blocks")).alias("_block"), "_words")
+
+
 def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", text: str = "text",
-              clean_first: bool = True, blocks: int | None = None) -> DataFrame:
+              clean_first: bool = True, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """Mean of the in-vocabulary token vectors of each text; null when none is known.
 
-    Texts are hashed into ``blocks`` (default: 8 per shuffle partition).  The
-    lexicon (one row per word) is joined once to the distinct words of each
+    Texts (long ones in pieces) are dealt to blocks of about ``block_bytes``.
+    The lexicon (one row per word) is joined once to the distinct words of each
     block, and a block's texts are pooled against its own words, so a vector
     crosses the network once per block that uses its word, never once per text.
-    A word found in every text has ``blocks`` rows in that join.  A task holds
-    the words and the vectors of one block as Arrow columns; ``blocks`` grows
-    with the shuffle partitions of the session.
+    A word found in every text has one row per block in that join.  A task holds
+    the words and the vectors of one block as Arrow columns; the sums of a
+    text's pieces are added up by Spark.
     """
     src = T.clean(text) if clean_first else F.col(text)
-    n_blocks = blocks or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")
-    texts = docs.select(F.col(key).alias("_key"), block.alias("_block"),
-                        T.tokens(F.lower(src)).alias("_words"))
+    texts = text_pieces(docs, key, text, T.tokens(F.lower(src)), block_bytes, piece)
     # outer: a plain explode would add a size filter, which rewrites every text once more
     used = texts.select(F.col("_block").alias("_used"), F.explode_outer("_words").alias("word")).distinct()
     known = used.join(word_vectors.select("word", "vector"), "word")
@@ -132,7 +157,7 @@ def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", tex
     def pool(left: pa.Table, right: pa.Table) -> pa.Table:
         words, lists = right.column("word").combine_chunks(), right.column("vector").combine_chunks()
         vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1) if len(words) else None
-        keys, means, sizes = [], [], []
+        keys, sums, sizes = [], [], []
         for batch in left.to_batches() if len(words) else []:
             tokens = batch.column("_words")
             at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1).to_numpy()
@@ -140,19 +165,18 @@ def mean_pool(docs: DataFrame, word_vectors: DataFrame, key: str = "row_id", tex
             for i, known_at in enumerate(np.split(at, ends[:-1])):
                 known_at = known_at[known_at >= 0]
                 if len(known_at):
-                    total = sum(vectors[known_at[j:j + piece]].sum(axis=0, dtype=np.float64)
-                                for j in range(0, len(known_at), piece))
                     keys.append(batch.column("_key")[i])
-                    means.append(total / len(known_at))
+                    sums.append(vectors[known_at].sum(axis=0, dtype=np.float64))
                     sizes.append(len(known_at))
-        return pa.table([pa.array(keys, left.schema.field("_key").type), pa.array(means, pa.list_(pa.float64())),
-                         pa.array(sizes, pa.int64())], names=["_key", "vector", "n"])
+        return pa.table([pa.array(keys, left.schema.field("_key").type), pa.array(sums, pa.list_(pa.float64())),
+                         pa.array(sizes, pa.int64())], names=["_key", "_sum", "_n"])
 
-    piece = 1 << 16  # tokens gathered at a time
-    out = StructType([StructField("_key", id_type), StructField("vector", ArrayType(DoubleType())),
-                      StructField("n", LongType())])
+    out = StructType([StructField("_key", id_type), StructField("_sum", ArrayType(DoubleType())), StructField("_n", LongType())])
     pooled = texts.groupBy("_block").cogroup(known.groupBy("_used")).applyInArrow(pool, out)
-    return docs.select(key).join(pooled.withColumnRenamed("_key", key), key, "left")
+    whole = pooled.groupBy(F.col("_key").alias(key)).agg(Summarizer.sum(array_to_vector("_sum")).alias("_s"), F.sum("_n").alias("n"))
+    n = F.col("n").cast("double")
+    means = whole.select(key, F.transform(vector_to_array("_s"), lambda x: x / n).alias("vector"), "n")
+    return docs.select(key).join(means, key, "left")
 
 
 def context_pool(token_vectors: DataFrame, key: str = "row_id", pos: str = "pos",

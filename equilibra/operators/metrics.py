@@ -133,8 +133,8 @@ def score_histogram(df: DataFrame, keys: Sequence[str], group: str, label: str,
     """Per (keys, score) the labels 1 and 0 (``pos``, ``neg``) of the first group (``_0``), the second
     (``_1``) and any other (``_2``); with ``pred`` also those predicted 1 (``tp``, ``fp``).
 
-    Every AUC and confusion count follows from it, so it is written once.  A
-    score shared by many rows costs one row per map task.
+    Every AUC and confusion count follows from it.  A score shared by many rows
+    costs one row per map task.
     """
     first, second = (F.coalesce(F.col(group) == g, F.lit(False)) for g in groups)
     y = F.col(label)
@@ -143,7 +143,7 @@ def score_histogram(df: DataFrame, keys: Sequence[str], group: str, label: str,
         cells |= {f"pos_{i}": of & (y == 1), f"neg_{i}": of & (y == 0)}
         if pred:
             cells |= {f"tp_{i}": of & (y == 1) & (F.col(pred) == 1), f"fp_{i}": of & (y == 0) & (F.col(pred) == 1)}
-    return cut_lineage(df.groupBy(*keys, score).agg(*[F.sum(_ind(c)).cast("bigint").alias(n) for n, c in cells.items()]))
+    return df.groupBy(*keys, score).agg(*[F.sum(_ind(c)).cast("bigint").alias(n) for n, c in cells.items()])
 
 
 def _auc_of(hist: DataFrame, keys: Sequence[str], score: str, groups: tuple[str, str],
@@ -241,9 +241,12 @@ SCORE_COLUMNS = (
 def evaluate(df: DataFrame, keys: Sequence[str], variant: str = "variant",
              original: str = "orig", counterfactual: str = "swapped",
              groups: tuple[str, str] = ("F", "M"), score_domain: tuple[float, float] | None = None,
-             pairs: DataFrame | None = None) -> DataFrame:
+             pairs: DataFrame | None = None, write_histogram: bool = False) -> DataFrame:
     """One score row per key: group metrics on the originals, mismatch on the pairs.
 
+    Lazy; with ``write_histogram`` the score histogram is written to the shared
+    folder first, for inputs that are dear to compute.
+
     Two reads of ``df``: one for the score histogram, which gives confusion
     counts and every AUC, one for the pairs (none where pair rows p0, p1, g0,
     g1 are given).  Labels and predictions are 0 or 1.
@@ -251,6 +254,7 @@ def evaluate(df: DataFrame, keys: Sequence[str], variant: str = "variant",
     keys = list(keys)
     g0, g1 = groups
     hist = score_histogram(df.filter(F.col(variant) == original), keys, "gender", "label", "probability", groups, "preds")
+    hist = cut_lineage(hist) if write_histogram else hist
     cells = [f"{kind}_{i}" for kind in ("pos", "neg", "tp", "fp") for i in range(3)]
     sums = hist.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cells])
 

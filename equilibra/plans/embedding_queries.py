@@ -214,7 +214,18 @@ def dim_check(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("dim_ok").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("multi_embedding", "E12")
+_MULTI_SQL = (
+    _TOKEN_VECTORS_SQL
+    + f", dn AS (SELECT row_id, {duck_clean('text')} AS ct FROM notes)\n"
+    ", tn AS (SELECT row_id, lower(unnest(string_split(ct, ' '))) AS word FROM dn)\n"
+    + "SELECT 'word_mean' AS embedding, row_id, n, first, l2 FROM (WITH one AS (SELECT 1)"
+    + _pool_sql(", hits AS (SELECT t.row_id, w.vector, 1.0 AS w FROM tn t JOIN word_vectors w ON t.word = w.word)\n",
+                "SELECT row_id FROM notes") + ")"
+    " UNION ALL SELECT 'context_mean', row_id, n, first, l2 FROM (WITH one AS (SELECT 1)"
+    + _pool_sql(", hits AS (SELECT row_id, vector, 1.0 AS w FROM tv WHERE pos >= 1)\n", "SELECT row_id FROM notes") + ")")
+
+
+@register("multi_embedding", "E12", with_views(_MULTI_SQL, "notes", "word_vectors"))
 def multi_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Word-vector and contextual pooling of the same notes, stacked by embedding name."""
     n = views.notes(spark, sf)

@@ -219,7 +219,7 @@ def mute_scores(spark: SparkSession, sf: str) -> DataFrame:
     steps = mute_steps(spark, sf)
     pairs = steps.select(*MUTE_KEYS, F.col("preds").alias("p0"), F.col("preds").alias("p1"),
                          F.col("gender").alias("g0"), T.flip_gender("gender").alias("g1"))
-    return metrics.evaluate(steps.withColumn("variant", F.lit("orig")), MUTE_KEYS, pairs=pairs)
+    return metrics.evaluate(steps.withColumn("variant", F.lit("orig")), MUTE_KEYS, pairs=pairs, write_histogram=True)
 
 
 _SCORE_ROUND = [c for c in metrics.SCORE_COLUMNS]

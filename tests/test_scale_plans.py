@@ -35,7 +35,7 @@ def test_block_pooling_equals_plain_mean(spark):
     lexicon = {"aa": [1.0, 0.0], "bb": [0.0, 2.0], "cc": [4.0, 4.0]}
     docs = spark.createDataFrame(texts, "row_id long, text string")
     words = spark.createDataFrame(list(lexicon.items()), "word string, vector array<float>")
-    got = {r.row_id: r for r in E.mean_pool(docs, words, blocks=7).collect()}
+    got = {r.row_id: r for r in E.mean_pool(docs, words, block_bytes=64).collect()}
     assert len(got) == len(texts)
     for key, text in texts:
         known = [lexicon[w] for w in (text or "").split(" ") if w in lexicon]
@@ -82,3 +82,40 @@ def test_muting_shuffles_no_step_rows(spark):
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan.split("Generate")[0]
     assert steps.count() == 3
+
+
+def test_pooling_blocks_keep_their_budget(spark):
+    rnd = random.Random(4)
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(50)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 60)))) for i in range(2000)] + [(9000, " ".join(rnd.choices(words, k=40_000))), (9001, None)]
+    docs = spark.createDataFrame(rows, "row_id long, text string")
+    vectors = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate(words) if i % 3], "word string, vector array<float>")
+    budget, before = 20_000, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            p = E.text_pieces(docs, "row_id", "text", F.split("text", " "), budget, piece=100)
+            sizes = p.groupBy("_block").agg(F.sum(F.length(F.array_join("_words", " "))).alias("n")).collect()
+            assert len(sizes) > 10 and max(r.n for r in sizes) <= 2 * budget
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cut = {r.row_id: (r.n, r.vector) for r in E.mean_pool(docs, vectors, block_bytes=budget, piece=100).collect()}
+    whole = {r.row_id: (r.n, r.vector) for r in E.mean_pool(docs, vectors).collect()}
+    assert len(cut) == len(rows) and cut[9001] == (None, None)
+    for key, text in rows:
+        hits = [words.index(w) for w in (text or "").split(" ") if w in words and words.index(w) % 3]
+        for n, v in (cut[key], whole[key]):
+            assert (n, v) == (None, None) if not hits else n == len(hits) and abs(v[0] - sum(hits) / len(hits)) < 1e-9
+
+
+def test_evaluate_runs_no_job_while_it_is_built(spark):
+    df = spark.range(10).selectExpr("id as row_id", "'orig' as variant", "'F' as gender", "cast(id % 2 as int) as label",
+                                    "cast(id / 10 as double) as probability", "1 / 0 as preds", "1 as k")
+    metrics.evaluate(df, ["k"])  # a job would divide by zero
+
+
+def test_permutation_moves_every_vector_once(spark):
+    df = spark.createDataFrame([(i, i % 2, [float(i % 5), float(i % 3)]) for i in range(50)], "row_id long, label int, z array<double>")
+    out = AT.permutation_importance(df, [1.0, -1.0], repeats=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and sorted(r.rank for r in out.collect()) == [1, 2]
