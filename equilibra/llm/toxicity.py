@@ -11,7 +11,8 @@ is therefore not seen.  Windows stand between constant paddings, which keep
 zstandard from storing a tiny block raw.
 
 A document's windows (one from every word on) give a histogram of length
-differences.  Its calibrated decision is a logistic curve over that histogram,
+differences; longer spans are compared first, and only those that the toxic
+side shortens are looked into.  Its calibrated decision is a logistic curve over that histogram,
 fitted on labelled rows that trained no dictionary, with the intercept set so
 that 0.5 is the threshold of least error at the labelled share of toxic rows.
 
@@ -44,6 +45,7 @@ PER_CLASS = 2000          # labelled rows per class used for fitting (the bound
 ORDINARY_BYTES = 262144   # size of the ordinary dictionary
 TOXIC_BYTES = 16384       # size of the toxic dictionary
 WINDOW = 3                # words of a window
+SPAN = 12                 # words that are compared before their windows are
 LONG_WINDOW = 6           # words of a sample that trains the ordinary dictionary
 SAMPLES = 400_000         # windows that train a dictionary, at most
 HEAD = bytes(random.Random(7).randrange(97, 123) for _ in range(48))
@@ -60,13 +62,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def windows(words: list[bytes], size: int = WINDOW, stride: int = 1) -> list[bytes]:
-    """Runs of ``size`` words, one every ``stride`` words (the whole text if it is shorter)."""
+    """Runs of ``size`` words, one every ``stride`` words (shorter ones at the end where the stride leaves some)."""
     if not words:
         return []
     text = b" " + b" ".join(words) + b" "
     at = list(accumulate(words, lambda i, w: i + len(w) + 1, initial=0))  # the space before each word
-    last = max(len(words) - size, 0)
-    return [text[at[i]:at[min(i + size, len(words))] + 1] for i in range(0, last + 1, stride)]
+    last = max(len(words) - size, 0) + stride  # the run that holds the last word is there too
+    return [text[at[i]:at[min(i + size, len(words))] + 1] for i in range(0, last, stride)]
 
 
 @dataclass(frozen=True)
@@ -94,13 +96,27 @@ class Meter:
             d.precompute_compress(compression_params=p)
             self._by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
 
-    def histogram(self, words: list[bytes]) -> np.ndarray:
-        """How many windows have each length difference."""
-        h, found = np.zeros(BINS), windows(words)
+    def differences(self, found: list[bytes]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
         for at in range(0, len(found), BATCH):
             padded = [HEAD + w + TAIL for w in found[at:at + BATCH]]
             a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(padded, threads=0)), np.int64, len(padded)) for c in self._by)
-            h += np.bincount(np.clip(a - b, LEAST, MOST) - LEAST, minlength=BINS)
+            out.append(a - b)
+        return np.concatenate(out)
+
+    def histogram(self, words: list[bytes]) -> np.ndarray:
+        """How many windows have each length difference.
+
+        Spans of ``SPAN`` words are compared first; they overlap, so that every window lies in one.  The
+        windows of a span that the toxic side does not shorten count as no difference.
+        """
+        h, step = np.zeros(BINS), SPAN - WINDOW + 1
+        if not words:
+            return h
+        shorter = np.flatnonzero(self.differences(windows(words, SPAN, step)) > 0)
+        close = [w for i in shorter for w in windows(words[i * step:i * step + SPAN])]
+        h += np.bincount(np.clip(self.differences(close), LEAST, MOST) - LEAST, minlength=BINS)
+        h[-LEAST] += max(len(words) - WINDOW + 1, 1) - len(close)
         return h
 
 
