@@ -80,43 +80,43 @@ def margin(z: Column | str, beta: Weights, intercept: float = 0.0) -> Column:
 
 # ---------------------------------------------------------------- rankings
 
-def rank_features(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Rank 1 = largest |score|, ties by feature index (d rows: one small window).
+def rank_features(scores: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Rank 1 = largest |score|, ties by feature index (d rows per key: one small window).
 
     Scores are compared at 9 decimals: averages that are equal in exact
     arithmetic may differ in the last bits with summation order, and must tie.
     """
-    w = Window.orderBy(F.round(F.abs(F.col(score)), 9).desc(), F.col("feature_idx"))
+    w = Window.partitionBy(*by).orderBy(F.round(F.abs(F.col(score)), 9).desc(), F.col("feature_idx"))
     return scores.select("*", F.abs(F.col(score)).alias("abs_score"),
                          F.concat(F.lit("Feature_"), (F.col("feature_idx") + 1).cast("string")).alias("feature"),
                          F.row_number().over(w).alias("rank"))
 
 
-def pearson_scores(df: DataFrame, group: str = "gender", features: str = "features",
-                   first: str = "F") -> DataFrame:
-    """H4: Pearson r of every feature with the group code (F -> 0, else 1); null for constant columns."""
+def pearson_scores(df: DataFrame, group: str = "gender", features: str = "features", by: Sequence[str] = ()) -> DataFrame:
+    """H4: Pearson r of every feature with the group code (F -> 0, else 1), per key of ``by``; null for constant columns."""
+    by = list(by)
     g = T.gender_code(group).cast("double")
     x = F.col(features)
-    v = df.select(array_to_vector(x).alias("_x"),
+    v = df.select(*by, array_to_vector(x).alias("_x"),
                   array_to_vector(F.transform(x, lambda e: e.cast("double") * e)).alias("_xx"),
                   array_to_vector(F.transform(x, lambda e: e.cast("double") * g)).alias("_xg"),
                   g.alias("_g"))
-    s = v.agg(Summarizer.mean(F.col("_x")).alias("mx"), Summarizer.mean(F.col("_xx")).alias("mxx"),
-              Summarizer.mean(F.col("_xg")).alias("mxg"), F.avg("_g").alias("mg"),
-              F.avg(F.col("_g") * F.col("_g")).alias("mgg"))
-    s = s.select(vector_to_array("mx").alias("mx"), vector_to_array("mxx").alias("mxx"),
+    s = v.groupBy(*by).agg(Summarizer.mean(F.col("_x")).alias("mx"), Summarizer.mean(F.col("_xx")).alias("mxx"),
+                           Summarizer.mean(F.col("_xg")).alias("mxg"), F.avg("_g").alias("mg"),
+                           F.avg(F.col("_g") * F.col("_g")).alias("mgg"))
+    s = s.select(*by, vector_to_array("mx").alias("mx"), vector_to_array("mxx").alias("mxx"),
                  vector_to_array("mxg").alias("mxg"), "mg", "mgg")
-    e = s.select("mg", "mgg", F.posexplode(F.arrays_zip("mx", "mxx", "mxg")).alias("feature_idx", "m"))
+    e = s.select(*by, "mg", "mgg", F.posexplode(F.arrays_zip("mx", "mxx", "mxg")).alias("feature_idx", "m"))
     cov = F.col("m.mxg") - F.col("m.mx") * F.col("mg")
     vx = F.col("m.mxx") - F.col("m.mx") * F.col("m.mx")
     vg = F.col("mgg") - F.col("mg") * F.col("mg")
     r = F.when((vx > 0) & (vg > 0), cov / F.sqrt(vx * vg))
-    return e.select(F.col("feature_idx").cast("int").alias("feature_idx"), r.alias("score"))
+    return e.select(*by, F.col("feature_idx").cast("int").alias("feature_idx"), r.alias("score"))
 
 
-def pcc_ranking(df: DataFrame, **kw) -> DataFrame:
-    """Pearson ranking."""
-    return rank_features(pearson_scores(df, **kw))
+def pcc_ranking(df: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
+    """Pearson ranking (one per key of ``by``)."""
+    return rank_features(pearson_scores(df, by=by, **kw), by=by)
 
 
 def random_ranking(spark: SparkSession, dim: int, seed: int = 0) -> DataFrame:

@@ -38,4 +38,5 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ("fairness_queries", "summary_queries", "text_queries", "fold_queries", "embedding_queries", "mitigation_queries", "proxy_queries", "model_queries", "experiment_queries")
+MODULES = ("fairness_queries", "summary_queries", "text_queries", "fold_queries", "embedding_queries", "mitigation_queries", "proxy_queries", "model_queries", "experiment_queries",
+           "source_queries")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,29 @@ def read_ranking_csv(spark: SparkSession, path: str) -> DataFrame:
                      F.row_number().over(w).alias("rank"))
 
 
+RANKING_KEYS = ("explainer", "fold", "embedding")
+
+
+def write_rankings(df: DataFrame, path: str) -> None:
+    """S6 / S10 sink: rankings by explainer, fold and embedding; a key that is there already stays as it is."""
+    spark = df.sparkSession
+    try:
+        done = spark.read.parquet(path).select(*RANKING_KEYS).distinct()
+        df = df.join(F.broadcast(done), list(RANKING_KEYS), "left_anti")  # a row per ranking
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    df.write.mode("append").partitionBy(*RANKING_KEYS).parquet(path)
+
+
+def read_rankings(spark: SparkSession, path: str, **keys) -> DataFrame:
+    """The rankings of the given keys (explainer=..., fold=..., embedding=...), partitions pruned."""
+    df = spark.read.parquet(path)
+    for k, v in keys.items():
+        df = df.filter(F.col(k) == v)
+    return df
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header (word-bias table, bias summary)."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -106,3 +106,35 @@ def test_ranking_csv(spark):
         f.write(",Feature,score,Absolute_Score\n4,Feature_5,0.2,0.2\n1,Feature_2,0.5,0.5\n")
     rows = io.read_ranking_csv(spark, p).orderBy("rank").collect()
     assert [(r.feature_idx, r.rank) for r in rows] == [(1, 1), (4, 2)]
+
+
+def test_alignment_names_every_violation(spark):
+    from equilibra.sources import alignment
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, x string")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.0), (4, 4.0)], "k int, y double")
+    assert [tuple(r) for r in alignment.aligned(a, b, "k").collect()] == [(1, "a", 1.0)]
+    got = {r.k: (r.left_rows, r.right_rows, r.problem) for r in alignment.violations(a, b, "k").collect()}
+    assert got == {2: (2, 1, "duplicate"), 3: (1, 0, "missing right"), 4: (0, 1, "missing left"), None: (1, 0, "null key")}
+
+
+def test_ledger_lists_items_and_keeps_the_last_score(spark, tmp_path):
+    from equilibra.sources.ledger import RunLedger
+    led = RunLedger(spark, str(tmp_path / "run"), ["method", "fold"])
+    spec = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "method string, fold int")
+    assert led.pending(spec).count() == 3
+    led.finish(spec.filter("method = 'a' and fold = 0"))
+    led.finish(spec.filter("method = 'a' and fold = 0"))
+    assert sorted(tuple(r) for r in led.pending(spec).collect()) == [("a", 1), ("b", 0)]
+    score = lambda f, v: spark.createDataFrame([("a", f, v)], "method string, fold int, f1 double")
+    for f, v in ((0, 0.1), (1, 0.2), (0, 0.3), (1, None)):
+        led.append_scores(score(f, v))
+    assert sorted(tuple(r) for r in led.latest_scores(["method", "fold"]).collect()) == [("a", 0, 0.3), ("a", 1, None)]
+    assert led.read("scores").count() == 4
+
+
+def test_rankings_that_are_there_stay(spark, tmp_path):
+    at = str(tmp_path / "rank")
+    row = lambda fold, score: spark.createDataFrame([("pearson", fold, "e", 0, score, 1)], "explainer string, fold int, embedding string, feature_idx int, score double, rank int")
+    io.write_rankings(row(0, 0.5), at)
+    io.write_rankings(row(0, 0.9).unionByName(row(1, 0.7)), at)
+    assert [r.score for r in io.read_rankings(spark, at, fold=0).collect()] == [0.5] and io.read_rankings(spark, at).count() == 2
