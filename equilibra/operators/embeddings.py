@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
 from .ordered import median_by
@@ -245,28 +245,68 @@ def gender_direction(diffs: DataFrame, k: int = 5, diff: str = "diff") -> tuple[
     return [float(x) for x in pc], [float(x) for x in model.explainedVariance.toArray()]
 
 
+def principal_directions(diffs: DataFrame, by: Sequence[str], k: int = 5, diff: str = "diff") -> DataFrame:
+    """E7 for every group of ``by`` (encoders, of any vector size): (by, component, explained_variance, direction).
+
+    The products of the upper triangle are averaged map-side, so a group of any
+    number of differences is one row of d (d + 1) / 2 numbers; its eigenvectors
+    are found where that row lies.  The largest loading (first of equals) is
+    positive.  Null vectors take no part; a group without variance has null
+    shares.  At most d components.
+    """
+    by = list(by)
+    x = F.col("_x")
+    rows = diffs.filter(F.col(diff).isNotNull()).select(*by, F.transform(diff, lambda v: v.cast("double")).alias("_x"))
+    triangle = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 1, F.size(x)), lambda b: a * b)))
+    moments = rows.select(*by, "_x", triangle.alias("_xx")).groupBy(*by).agg(
+        vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_m"),
+        vector_to_array(Summarizer.mean(array_to_vector("_xx"))).alias("_mm"))
+    out = StructType([diffs.schema[c] for c in by] + [StructField("component", IntegerType()), StructField(
+        "explained_variance", DoubleType()), StructField("direction", ArrayType(DoubleType()))])
+
+    def solve(table: pa.Table) -> pa.Table:
+        m = table.column("_m")[0].values.to_numpy()
+        d, cov = len(m), np.zeros((len(m), len(m)))
+        cov[np.triu_indices(d)] = table.column("_mm")[0].values.to_numpy()
+        cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(m, m)
+        values, vectors = np.linalg.eigh(cov)
+        top = np.argsort(values)[::-1][:k]
+        signed = [v if v[np.argmax(np.abs(v))] > 0 else -v for v in vectors[:, top].T]
+        total = float(np.trace(cov))
+        share = [float(x) / total if total > 0 else None for x in values[top]]
+        same = [pa.concat_arrays([table.column(c).combine_chunks()] * len(top)) for c in by]
+        return pa.table(same + [pa.array(range(1, len(top) + 1), pa.int32()), pa.array(share, pa.float64()),
+                                pa.array(signed, pa.list_(pa.float64()))], names=out.fieldNames())
+
+    return moments.groupBy(*by).applyInArrow(solve, out)
+
+
 def direct_bias(terms: DataFrame, direction: DataFrame, vector: str = "vector",
-                digits: int = 3) -> DataFrame:
-    """Cosine of each term vector with the direction (a one-row DataFrame ``direction``)."""
-    # the direction is a single row: broadcast it and join on a constant key
-    d = direction.select(F.col("direction"), F.lit(1).alias("_one"))
-    j = terms.withColumn("_one", F.lit(1)).join(F.broadcast(d), "_one").drop("_one")
+                digits: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Cosine of each term vector with the direction (``direction``: one row, or one per group of ``by``)."""
+    d = direction.select(*by, "direction")
+    if by:
+        j = terms.join(d, list(by))
+    else:  # a single row: broadcast it and join on a constant key
+        j = terms.withColumn("_one", F.lit(1)).join(F.broadcast(d.withColumn("_one", F.lit(1))), "_one").drop("_one")
     cos = cosine(vector, "direction")
     return j.select(*[c for c in terms.columns if c != vector], cos.alias("cosine"),
                     F.round(cos, digits).alias("score"))
 
 
 def direct_bias_summary(scores: DataFrame, category: str = "category", value: str = "cosine",
-                        term: str = "vec_id") -> DataFrame:
-    """Per category signed mean, max |x| and median |x|.
+                        by: Sequence[str] = ()) -> DataFrame:
+    """Per category (and ``by``) signed mean, max |x| and median |x|.
 
     The median is exact and distributed (:func:`ordered.median_by`), so a
     category holding most terms is not gathered into one task.
     """
     a = F.abs(F.col(value))
-    agg = scores.groupBy(category).agg(F.avg(value).alias("mean"), F.max(a).alias("max"))
-    med = median_by(scores.withColumn("_abs", a), [category], "_abs", term)
-    return agg.join(med, category, "left")
+    keys = [*by, category]
+    agg = scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(a).alias("max"))
+    med = median_by(scores.withColumn("_abs", a), keys, "_abs")
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_m.{k}")) for k in keys]
+    return agg.alias("_a").join(med.alias("_m"), same, "left").select(*[f"_a.{c}" for c in agg.columns], "_m.median")
 
 
 def bias_long(summary: DataFrame, category: str = "category") -> DataFrame:

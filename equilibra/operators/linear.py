@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,25 @@ class LinearModel:
         return _decisions(df, self.margin(features), F.lit(self.slope), F.lit(self.offset), preds, probability)
 
 
+MODEL_COLUMNS = "weights array<double>, bias double, slope double, offset double"
+
+
+def model_table(spark: SparkSession, models: dict[tuple, LinearModel], keys: str) -> DataFrame:
+    """The models as a table: the key columns declared by ``keys`` (such as ``"fold int"``) and MODEL_COLUMNS."""
+    rows = [(*k, m.weights, m.bias, m.slope, m.offset) for k, m in models.items()]
+    return spark.createDataFrame(rows, f"{keys}, {MODEL_COLUMNS}")
+
+
+def score_by_table(models: DataFrame, df: DataFrame, keys: Sequence[str], features: str = "features",
+                   preds: str = "preds", probability: str = "probability") -> DataFrame:
+    """M6 / M8: every row scored by the models of its key; key columns that only ``models`` has multiply the rows."""
+    inner = [f.split()[0] for f in MODEL_COLUMNS.split(", ")]
+    m = models.withColumnsRenamed({c: f"_{c}" for c in inner})
+    j = df.join(m, list(keys))
+    return _decisions(j, _dot(F.col(features), F.col("_weights")) + F.col("_bias"), F.col("_slope"), F.col("_offset"),
+                      preds, probability, drop=[f"_{c}" for c in inner])
+
+
 def score(models: dict[tuple, LinearModel], df: DataFrame, keys: Sequence[str], extra: str = "",
           features: str = "features", preds: str = "preds", probability: str = "probability") -> DataFrame:
     """M6 / M8: every row scored by the model of its key, in one pass.
@@ -74,13 +93,9 @@ def score(models: dict[tuple, LinearModel], df: DataFrame, keys: Sequence[str],
     that ``df`` lacks (for instance ``"step int"``): a row then gets one output
     row per model of its key.  The broadcast table has one d-sized row per model.
     """
-    keys = list(keys)
-    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ([extra] if extra else [])
-                       + ["_w array<double>", "_bias double", "_slope double", "_offset double"])
-    rows = [(*k, m.weights, m.bias, m.slope, m.offset) for k, m in models.items()]
-    j = df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), keys)
-    return _decisions(j, _dot(F.col(features), F.col("_w")) + F.col("_bias"), F.col("_slope"), F.col("_offset"),
-                      preds, probability, drop=("_w", "_bias", "_slope", "_offset"))
+    declared = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ([extra] if extra else []))
+    table = F.broadcast(model_table(df.sparkSession, models, declared))
+    return score_by_table(table, df, keys, features, preds, probability)
 
 
 def group_routed(models: dict[str, LinearModel], test: DataFrame, group: str = "gender") -> DataFrame:

@@ -120,24 +120,24 @@ def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str |
     return numbered.select(*df.columns, (F.col(f"{one}_before") + 1).alias(out))
 
 
-def median_by(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
-              buckets: int | None = None, out: str = "median") -> DataFrame:
+def median_by(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None, out: str = "median") -> DataFrame:
     """Exact median per key (mean of the two middle values for an even count) without
-    holding a key's values in one task: distributed row numbers by (value, tiebreak),
-    per-key counts, then only the middle rows are kept.  ``tiebreak`` must make
-    (value, tiebreak) unique within a key."""
+    holding a key's values in one task.
+
+    Equal values are counted map-side first, so a value that a third of the rows
+    share is one row; a distributed prefix sum of the counts gives the ranks that
+    each value covers, and only the values over the middle ranks are kept.
+    """
     keys = list(keys)
-    v = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(tiebreak).alias("_t")) \
-        .filter(F.col("_v").isNotNull())
-    ranked = row_number_within(v, keys, ["_v", "_t"], coarse=F.col("_v"), out="_rn", buckets=buckets)
-    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    lhs, rhs = ranked.alias("_r"), n.alias("_c")
-    if keys:
-        j = lhs.join(rhs, [F.col(f"_r.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in keys])
-        j = j.select(*[F.col(f"_r.{k}").alias(k) for k in keys], "_r._v", "_r._rn", "_c._n")
-    else:
-        j = lhs.withColumn("_one", F.lit(1)).join(rhs.withColumn("_one", F.lit(1)), "_one")
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.ceil((F.col("_n") + 1) / 2)
-    mid = j.filter((F.col("_rn") == lo) | (F.col("_rn") == hi))
-    return mid.groupBy(*keys).agg(F.avg("_v").alias(out))
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counted = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_before(counted, keys, ["_v"], ["_c"], buckets=buckets)
+    n = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    lhs, rhs = ranked.withColumn("_one", F.lit(1)).alias("_r"), n.withColumn("_one", F.lit(1)).alias("_t")
+    j = lhs.join(rhs, [F.col(f"_r.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in [*keys, "_one"]])
+    j = j.select(*[F.col(f"_r.{k}").alias(k) for k in keys], "_r._v", "_r._c", "_r._c_before", "_t._n")
+
+    def middle(rank: Column) -> Column:
+        return F.max(F.when((F.col("_c_before") < rank) & (rank <= F.col("_c_before") + F.col("_c")), F.col("_v")))
+    lo, hi = middle(F.floor((F.col("_n") + 1) / 2)), middle(F.ceil((F.col("_n") + 1) / 2))
+    return j.groupBy(*keys).agg(((lo + hi) / 2).alias(out))

@@ -39,4 +39,4 @@ def load_all() -> dict[str, Query]:
 
 
 MODULES = ("fairness_queries", "summary_queries", "text_queries", "fold_queries", "embedding_queries", "mitigation_queries", "proxy_queries", "model_queries", "experiment_queries",
-           "source_queries")
+           "source_queries", "phrase_queries")

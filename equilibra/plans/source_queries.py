@@ -21,6 +21,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import io, views
 from ..sources.alignment import aligned
 from ..sources.ledger import RunLedger
+from ..streaming import scoring
 from .fairness_queries import KEYS, sql_evaluate
 from .fold_queries import _ROLES_SQL, _assign_sql, assignments
 from .oracle_views import with_views
@@ -187,3 +188,35 @@ def term_bias_csv(spark: SparkSession, sf: str) -> DataFrame:
     terms = lexicon.join(e.select("term", "category", "vector"), "term")
     io.write_csv(E.direct_bias(terms, direction).select("category", "term", "sentence", "score"), f"{at}/bias")
     return spark.read.schema("category string, term string, sentence string, score double").option("header", True).csv(f"{at}/bias")
+
+
+# ---------------------------------------------------------------- M6, M8 on a stream
+
+_STREAM_SQL = (
+    ", el AS (SELECT gender, label, unnest(features) AS x, unnest(range(len(features))) AS i FROM features)\n"
+    ", mu AS (SELECT gender, label, i, avg(CAST(x AS DOUBLE)) AS m FROM el GROUP BY ALL)\n"
+    ", ce AS (SELECT gender, label, list(m ORDER BY i) AS m FROM mu GROUP BY gender, label)\n"
+    ", md AS (SELECT a.gender, list_transform(list_zip(a.m, b.m), lambda p: p[1] - p[2]) AS w,"
+    " (list_inner_product(b.m, b.m) - list_inner_product(a.m, a.m)) / 2 AS bias FROM ce a JOIN ce b ON a.gender = b.gender"
+    " AND a.label = 1 AND b.label = 0)\n"
+    ", sc AS (SELECT f.row_id, f.gender, f.label, list_inner_product(CAST(f.features AS DOUBLE[]), md.w) + md.bias AS margin"
+    " FROM features f JOIN md USING (gender))\n"
+    "SELECT row_id, gender, label, CAST(margin > 0 AS INTEGER) AS preds, round(margin, 6) AS margin,"
+    " round(1 / (1 + exp(-margin)), 6) AS probability FROM sc")
+
+
+@register("stream_scores", "M6 M8", with_views(_STREAM_SQL, "features"))
+def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Features that arrive as files, scored by the published model of their group (the nearer class mean)."""
+    at, f = folder(spark), views.features(spark, sf).select("row_id", "gender", "label", "features")
+    centre = E.weighted_mean_vectors(f, ["gender", "label"], "features").groupBy("gender").agg(
+        *[F.max(F.when(F.col("label") == k, F.col("vector"))).alias(f"m{k}") for k in (0, 1)])
+    models = centre.filter("m0 is not null and m1 is not null").select(
+        "gender", E.vsub("m1", "m0").alias("weights"), ((E.dot("m0", "m0") - E.dot("m1", "m1")) / 2).alias("bias"),
+        F.lit(1.0).alias("slope"), F.lit(0.0).alias("offset"))
+    scoring.publish_models(models, f"{at}/models")
+    f.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    scoring.score_keyed_stream(stream, f"{at}/models", ["gender"], f"{at}/out", f"{at}/progress", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("row_id", "gender", "label", "preds", F.round("margin", 6).alias("margin"),
+                                                  F.round("probability", 6).alias("probability"))

@@ -1,9 +1,9 @@
 """Structured Streaming entry points.
 
 Only stateless operators are promised on streams: text cleaning, counterfactual
-rewriting (T1-T4), group flips and codes (P6-P8) and scoring with a fitted
-linear model (M6).  None of them keeps state, so no watermark is needed and a
-restarted query resumes from its checkpoint without reprocessing.
+rewriting (T1-T4) and group flips and codes (P6-P8); scoring (M6) is in
+:mod:`equilibra.streaming.scoring`.  None of them keeps state, so no watermark
+is needed and a restarted query resumes from its checkpoint without reprocessing.
 """
 
 from __future__ import annotations
@@ -32,11 +32,6 @@ def counterfactual_stream(notes: DataFrame, flip_neutral: bool = False) -> DataF
     return CF.counterfactual_variants(notes, flip_neutral=flip_neutral)
 
 
-def score_stream(features: DataFrame, model) -> DataFrame:
-    """M6 on a stream: a fitted :class:`equilibra.operators.models.LinearModel` transform."""
-    return model.transform(features)
-
-
 def write_stream(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ("variant",),
                  available_now: bool = False) -> StreamingQuery:
     """Append parquet files; the checkpoint must live in shared storage on a cluster."""
