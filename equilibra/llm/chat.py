@@ -1,11 +1,13 @@
 """Chat formatting by schema fingerprints.
 
 Records of any layout arrive as JSON.  A record's nested field paths (array
-items written ``[]``), as far as any mapping knows them, are sorted and
-hashed: the schema fingerprint.  It selects a declarative mapping, which says
-which fields hold turns, their roles and texts, and in which order.  No
-guessing by content and no code per data set: a new layout is a new entry in
-``MAPPINGS``.
+items written ``[]``), as far as a mapping knows them, are sorted and hashed:
+the schema fingerprint.  It selects a declarative mapping, which says which
+fields hold turns, their roles and texts, and in which order.  A record that
+has the fields of several mappings goes to the one that requires most, the
+first listed of equals; known fields that it does not read are named in
+``unused``.  No guessing by content and no code per data set: a new layout is a
+new entry in ``MAPPINGS``.
 
 The template writes a turn as ``<|im_start|>role``, a line break, the text and
 ``<|im_end|>`` with a line break.  Inside texts and roles every ``<`` that a bar
@@ -39,15 +41,18 @@ LOSS_ROLE = "assistant"
 
 SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-# Declarative mappings.  "list": an array of turns; "fields": one turn per listed field group, in order.
+# Declarative mappings.  "list": an array of turns; "fields": one turn per listed field group, in order;
+# "parts": where a turn's text is an array, the path of its pieces; a name with "?" may be missing.
 MAPPINGS = (
     {"name": "turn rows", "list": "turns", "role": "role", "text": "text", "order": ("turn", "role", "text")},
     {"name": "messages", "list": "messages", "role": "role", "text": "content", "rename": SPEAKERS},
     {"name": "message parts", "list": "messages", "role": "role", "text": "content[].text", "rename": SPEAKERS},
+    {"name": "messages and parts", "list": "messages", "role": "role", "text": "content", "parts": "content[].text", "rename": SPEAKERS},
     {"name": "speakers", "list": "conversations", "role": "from", "text": "value", "rename": SPEAKERS},
-    {"name": "prompt and response", "fields": ((LOSS_ROLE, ("response",)),), "before": (("user", ("prompt",)),)},
-    {"name": "prompt and completion", "fields": ((LOSS_ROLE, ("completion",)),), "before": (("user", ("prompt",)),)},
-    {"name": "instruction", "fields": ((LOSS_ROLE, ("output",)),), "before": (("user", ("instruction", "input?")),)},
+    {"name": "prompt and response", "fields": ((LOSS_ROLE, ("response",)),), "before": (("user", ("context?", "prompt", "input?")),)},
+    {"name": "prompt and completion", "fields": ((LOSS_ROLE, ("completion",)),), "before": (("user", ("context?", "prompt", "input?")),)},
+    {"name": "instruction", "fields": ((LOSS_ROLE, ("output",)),), "before": (("user", ("instruction", "context?", "input?")),)},
+    {"name": "instruction and response", "fields": ((LOSS_ROLE, ("response",)),), "before": (("user", ("instruction", "context?", "input?")),)},
     {"name": "question and answer", "fields": ((LOSS_ROLE, ("answer",)),), "before": (("user", ("context?", "question")),)},
     {"name": "nested prompt", "fields": ((LOSS_ROLE, ("response.text",)),), "before": (("user", ("prompt.text",)),)},
 )
@@ -70,23 +75,30 @@ def fingerprint(found: set[str]) -> str:
 def _needs(m: dict) -> tuple[set[str], set[str]]:
     """The paths that a mapping requires and those it may find."""
     if "list" in m:
-        inner = [m["role"], m["text"], *m.get("order", ())]
+        inner = [m["role"], m["text"], *m.get("order", ())] + ([m["parts"]] if "parts" in m else [])
         return {f"{m['list']}[].{f}" for f in inner}, {SYSTEM}
     names = [f for _, fields in (*m["before"], *m["fields"]) for f in fields]
     return {f for f in names if not f.endswith("?")}, {f[:-1] for f in names if f.endswith("?")} | {SYSTEM}
 
 
-def registry(mappings: tuple[dict, ...] = MAPPINGS) -> tuple[dict[str, dict], frozenset[str]]:
-    """(schema fingerprint -> mapping, all paths that any mapping knows)."""
-    table: dict[str, dict] = {}
-    known: set[str] = set()
-    for m in mappings:
+def registry(mappings: tuple[dict, ...] = MAPPINGS) -> list[tuple[dict, frozenset[str], frozenset[str]]]:
+    """(mapping, the paths that it knows, its schema fingerprints), those that require most first."""
+    out = []
+    for m in sorted(mappings, key=lambda m: -len(_needs(m)[0])):
         need, may = _needs(m)
-        known |= need | may
-        for n in range(len(may) + 1):
-            for some in combinations(sorted(may), n):
-                table.setdefault(fingerprint(need | set(some)), m)
-    return table, frozenset(known)
+        some = (set(c) for n in range(len(may) + 1) for c in combinations(sorted(may), n))
+        out.append((m, frozenset(need | may), frozenset(fingerprint(need | s) for s in some)))
+    return out
+
+
+def select(found: set[str], table: list[tuple[dict, frozenset[str], frozenset[str]]]) -> tuple[str, dict | None, list[str]]:
+    """(fingerprint, mapping, unused known paths) for a record's paths; without a mapping, the fingerprint of all known paths."""
+    known = found & frozenset().union(*(paths for _, paths, _ in table))
+    for m, own, prints in table:
+        fp = fingerprint(found & own)
+        if fp in prints:
+            return fp, m, sorted(known - own)
+    return fingerprint(known), None, sorted(known)
 
 
 def _at(value: object, path: str) -> str:
@@ -97,7 +109,7 @@ def _at(value: object, path: str) -> str:
         if many:
             rest = ".".join(path.split(".")[k + 1:])
             return "\n".join(_at(v, rest) for v in value or [])
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return "" if value is None or value == [] else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def _sort_key(item: dict, order: tuple[str, ...]) -> tuple:
@@ -115,7 +127,8 @@ def turns(record: dict, m: dict) -> list[dict[str, str]]:
             items.sort(key=lambda x: _sort_key(x, m["order"]))
         for x in items:
             role = _at(x, m["role"])
-            out.append({"role": m.get("rename", {}).get(role, role), "text": _at(x, m["text"])})
+            split = "parts" in m and isinstance(x.get(m["text"]), list)
+            out.append({"role": m.get("rename", {}).get(role, role), "text": _at(x, m["parts"] if split else m["text"])})
         return out
     for role, fields in (*m["before"], *m["fields"]):
         parts = [_at(record, f.removesuffix("?")) for f in fields]
@@ -124,10 +137,10 @@ def turns(record: dict, m: dict) -> list[dict[str, str]]:
 
 
 def canonical(df: DataFrame, json_col: str, mappings: tuple[dict, ...] = MAPPINGS) -> DataFrame:
-    """Append ``schema_fp``, ``layout`` (null if unknown) and ``turns`` of each JSON record."""
+    """Append ``schema_fp``, ``layout`` (null if unknown), ``turns`` and ``unused`` of each JSON record."""
 
     def run(rows: list) -> list[list]:
-        table, known = registry(mappings)
+        table = registry(mappings)
         made = []
         for text in rows:
             try:
@@ -135,14 +148,13 @@ def canonical(df: DataFrame, json_col: str, mappings: tuple[dict, ...] = MAPPING
             except ValueError:
                 record = None
             if not isinstance(record, dict):
-                made.append((None, None, []))
+                made.append((None, None, [], []))
                 continue
-            fp = fingerprint(paths(record) & known)
-            m = table.get(fp)
-            made.append((fp, m and m["name"], turns(record, m) if m else []))
-        return [list(c) for c in zip(*made)] or [[], [], []]
+            fp, m, unused = select(paths(record), table)
+            made.append((fp, m and m["name"], turns(record, m) if m else [], unused))
+        return [list(c) for c in zip(*made)] or [[], [], [], []]
 
-    return add_columns(df, json_col, "schema_fp string, layout string, turns array<struct<role: string, text: string>>", run)
+    return add_columns(df, json_col, "schema_fp string, layout string, turns array<struct<role: string, text: string>>, unused array<string>", run)
 
 
 def escape(text: str) -> str:
