@@ -81,9 +81,9 @@ class _Run:
     main: bool = False
 
 
-def blocks(page: str | None, semantic: bool = False) -> list[Block]:
+def blocks(page: str | None, semantic: bool = False, marks: bool = False) -> list[Block]:
     """Leaf blocks of a page in order, with features; ``semantic`` labels blocks inside article or main
-    elements, otherwise the marks of a labelled layout do."""
+    elements, ``marks`` those between the marks of a labelled layout.  A page's own comments mean nothing."""
     page = page or ""
     out: list[Block] = []
     stack = [_Open("html", frozenset())]
@@ -119,7 +119,7 @@ def blocks(page: str | None, semantic: bool = False) -> list[Block]:
         pos = m.end()
         if m[1] is not None:
             mark = m[1].strip()
-            if mark in ("main", "/main") and not semantic:
+            if marks and mark in ("main", "/main"):
                 flush()
                 marked = mark == "main"
             continue
@@ -327,7 +327,7 @@ def labelled(page: str, seed: int, per_page: int = PER_PAGE) -> list[list[Block]
         return sentence() if slot == "t" else short()
 
     for layout in rnd.sample(LAYOUTS, min(per_page, len(LAYOUTS))):
-        out.append(blocks(re.sub(r"\{(h|p|li|links|inline|s|t)\}", fill, layout.replace("{{", "{").replace("}}", "}"))))
+        out.append(blocks(re.sub(r"\{(h|p|li|links|inline|s|t)\}", fill, layout.replace("{{", "{").replace("}}", "}")), marks=True))
     return out
 
 
