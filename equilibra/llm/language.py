@@ -40,7 +40,7 @@ MIN_SHARE = 2e-5
 SLOTS = 1 << 18
 HASHES = 3
 UND = "und"
-CHUNK = 1 << 20  # characters handled at a time
+CHUNK = 1 << 20  # characters handled at a time; a piece sees one character of each neighbour
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -110,9 +110,13 @@ def languages_of(model: Model, h: np.ndarray) -> np.ndarray:
 def decide(model: Model, text: str | None) -> tuple[str, float]:
     if not text:
         return UND, 0.0
+    text = text.lower()
     counts, n = np.zeros(len(model.languages)), 0
     for at in range(0, len(text), CHUNK):
-        h = grams(_codes(text[at:at + CHUNK]))
+        piece = text[max(0, at - 1):at + CHUNK + 1]
+        h = grams(_codes(piece))
+        # a neighbour's letter is the middle of an n-gram of its own piece
+        h = h[int(at > 0 and piece[0].isalpha()):len(h) - int(at + CHUNK < len(text) and piece[-1].isalpha())]
         n += len(h)
         masks = languages_of(model, h)
         for i in range(len(model.languages)):
