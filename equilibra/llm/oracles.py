@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from equilibra.llm.known_licences import TEXTS
+from equilibra.llm.known_licences import TEXTS, WHOLE
 from equilibra.llm.licences import SPELLINGS
 
 _TOPK = """
@@ -27,8 +27,8 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g'))
       + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_start|>') + length('<|im_end|>') + 2) AS chars
   FROM t GROUP BY conv_id)
@@ -53,17 +53,39 @@ def _canonical(text: str) -> str:
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+def _paragraphs(rows: str, key: str) -> str:
+    """(key, p, k, n) of the canonical paragraphs of ``rows`` (key, text): the k-th of n."""
+    return f"""SELECT {key}, p, row_number() OVER (PARTITION BY {key} ORDER BY g) AS k, count(*) OVER (PARTITION BY {key}) AS n FROM (
+    SELECT {key}, g, string_agg(c, ' ' ORDER BY i) AS p FROM (
+      SELECT *, sum(CASE WHEN c = '' THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS g FROM ({_lines(rows, key)}))
+    WHERE c <> '' GROUP BY {key}, g)"""
+
+
+def _lines(rows: str, key: str) -> str:
+    return f"""SELECT {key}, i, {_canonical('line')} AS c FROM (
+      SELECT {key}, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {rows})"""
+
+
+# lines and runs of paragraphs by joins
 _LICENSE = f"""
-WITH k AS (
-  SELECT sha256({_canonical('body')}) AS digest, min(license) AS license
-  FROM (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in TEXTS)}) v(license, body)
-  WHERE {_canonical('body')} <> '' GROUP BY 1),
+WITH t AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)})' for i, (a, b) in enumerate(TEXTS))}) v(id, license, text)),
+tp AS ({_paragraphs('t', 'id')}),
+e AS (
+  SELECT t.license, max(CASE WHEN k = 1 THEN sha256(p) END) AS head, max(n) AS n, sha256(string_agg(p, ' ' ORDER BY k)) AS digest
+  FROM tp JOIN t USING (id) GROUP BY id, t.license
+  UNION ALL SELECT * FROM (VALUES {', '.join(f'({_q(a)}, {_q(h)}, {n}, {_q(d)})' for a, h, n, d in WHOLE)})),
+k AS (SELECT digest, min(license) AS license FROM e GROUP BY digest),
+h AS (SELECT DISTINCT head, n FROM e),
 d AS (SELECT doc_id, coalesce(text, '') AS text, sha256({_canonical('text')}) AS digest FROM documents),
+dp AS ({_paragraphs('d', 'doc_id')}),
+r AS (
+  SELECT a.doc_id, sha256(string_agg(b.p, ' ' ORDER BY b.k)) AS digest
+  FROM dp a JOIN h ON h.head = sha256(a.p) JOIN dp b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.k < a.k + h.n
+  GROUP BY a.doc_id, a.k, h.n),
 l AS (
   SELECT doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) x
-  JOIN k ON k.digest = sha256({_canonical('line')})
-  WHERE regexp_matches(line, '(?i)licen[cs]|copyright|public domain|rights|warranty|permi') GROUP BY doc_id)
+  FROM (SELECT doc_id, sha256(c) AS digest FROM ({_lines('d', 'doc_id')}) WHERE c <> '' UNION ALL SELECT doc_id, digest FROM r) x
+  JOIN k USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license, coalesce(l.line_licenses, '') AS line_licenses
 FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN l ON l.doc_id = d.doc_id
 """

@@ -447,6 +447,21 @@ def test_schema_fingerprints_select_mappings(spark):
     assert all(got[i].layout is None and plain[i] == [] for i in (8, 9, 90, 91, 92))
 
 
+def test_records_with_fields_of_several_layouts_keep_their_turns(spark):
+    import json
+    parts = [{"type": "text", "text": "a"}, {"type": "image"}, {"text": "b"}]
+    recs = [{"prompt": "q", "response": "a", "input": "i"}, {"instruction": "q", "context": "c", "response": "a"},
+            {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": parts}, {"role": "user", "content": []}]},
+            {"prompt": "q", "response": "a", "answer": "other"}, {"prompt": "q", "input": "i"}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "i int, record string")
+    got = [(r.layout, [(t.role, t.text) for t in r.turns], r.unused) for r in chat.canonical(df, "record").orderBy("i").collect()]
+    assert got[0] == ("prompt and response", [("user", "q\n\ni"), ("assistant", "a")], [])
+    assert got[1] == ("instruction and response", [("user", "q\n\nc"), ("assistant", "a")], [])
+    assert got[2] == ("messages and parts", [("user", "q"), ("assistant", "a\n\nb"), ("user", "")], [])
+    assert got[3] == ("prompt and response", [("user", "q"), ("assistant", "a")], ["answer"])
+    assert got[4] == (None, [], ["input", "prompt"])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet="<|\\\nim_endstart>ao", max_size=12), st.text(alphabet="<|\\\nim_start>é😀", max_size=30)), max_size=5))
 def test_chat_round_trip(items):
@@ -544,3 +559,41 @@ def test_sha_digest_of_ids():
     ids = CODEC.encode("hello world")
     raw = b"".join(i.to_bytes(4, "little") for i in TIKTOKEN.encode_ordinary("hello world"))
     assert hashlib.sha256(ids).hexdigest() == hashlib.sha256(raw).hexdigest()
+
+
+def test_a_page_comment_that_looks_like_a_layout_mark_changes_nothing():
+    plain, marked = ([(b.text, b.features, b.main) for b in html_extract.blocks(f"<article><p>foo{c}bar baz</p><p>end</p></article>")]
+                     for c in ("", "<!--main-->"))
+    assert plain == marked and [t for t, *_ in plain] == ["foobar baz", "end"]
+    assert [b.main for b in html_extract.blocks("<p>a</p><!--main--><p>b</p><!--/main--><p>c</p>", marks=True)] == [False, True, False]
+
+
+def test_a_long_text_has_the_same_ngrams_in_pieces(monkeypatch):
+    import numpy as np
+    text = "Der Fuß, ein Ὀδυσσεύς ΣΑΣ. İstanbul  a b -- été 12 x"
+    model = language.build({"a": language.grams(language._codes(text)), "b": language.grams(language._codes("ganz andere Wörter"))})
+    whole, n = language.decide(model, text), len(language.grams(language._codes(text)))
+    seen = []
+    monkeypatch.setattr(language, "languages_of", lambda m, h, real=language.languages_of: seen.append(h) or real(m, h))
+    for size in (1, 2, 3, 7, 50):
+        seen.clear()
+        monkeypatch.setattr(language, "CHUNK", size)
+        assert language.decide(model, text) == whole
+        assert np.array_equal(np.concatenate(seen), language.grams(language._codes(text))) and sum(map(len, seen)) == n
+
+
+def test_license_sql_finds_lines_and_runs_like_the_scan(spark):
+    import duckdb
+    import pandas as pd
+    from equilibra.llm.oracles import SQL
+    by_name = dict(reversed(licences.TEXTS))
+    lines = [b for _, b in licences.TEXTS if "\n" not in b]
+    texts = [f"Some words.\n{line}\nMore words, {i}." for i, line in enumerate(lines)]
+    texts += [by_name["MIT"], f"Intro\n\n{by_name['BSD-3-Clause']}\n\nOutro", f"{by_name['MIT']}\n\n{by_name['ISC']}", "", None, "\n\n", "plain"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(con.execute(SQL["op8_license_scan"]).fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in licences.scan(df).collect()) == want
+    assert all(found for _, _, _, found in want[:len(lines)])
