@@ -1,15 +1,18 @@
 """Phrases of a table in texts: longest-match rewriting (T4, S8) and vectors of terms.
 
-Texts are dealt to blocks of about 32 MB, as in pooling.  A block's distinct
+A table of a checked size (``SMALL_TABLE`` phrases, ``SMALL_BYTES``) is sent to
+the tasks, which read the texts once without a shuffle.  Beyond it texts are
+dealt to blocks of about 32 MB, as in pooling.  The hashes of a block's distinct
 word runs, of the lengths that the table holds, are joined to the table once;
-the block then works with its own part of it.  A phrase found in every text
-crosses the network once per block, and a table of any size is never held
-whole.  Words are what single spaces separate; matching ignores case.
+the block then works with its own part of it (a phrase brought by an equal hash
+matches nothing).  A phrase found in every text crosses the network once per
+block, and such a table is never held whole.  Both ways give the same rows.
+Words are what single spaces separate; matching ignores case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,8 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from .embeddings import BLOCK_BYTES, pooling_blocks, weighted_mean_vectors
 
 _Found = Callable[[list, dict, list], list]
+SMALL_TABLE = 200_000   # phrases
+SMALL_BYTES = 16 << 20  # of phrases and targets
 
 
 def lexicon_table(lexicon: DataFrame, source: str = "from_term", target: str = "to_term", order: str = "line_no") -> DataFrame:
@@ -37,9 +42,32 @@ def _runs(low: Column, sizes: Column) -> Column:
 
 
 def _by_block(docs: DataFrame, phrases: DataFrame, keys: Sequence[str], text: str, found: _Found, out: StructType,
-              block_bytes: int) -> DataFrame:
+              block_bytes: int, small: int) -> DataFrame:
     """Run ``found(words, {phrase: target}, lengths)`` on every text; it gives rows that follow the keys."""
     keys = list(keys)
+    schema = StructType([docs.schema[k] for k in keys] + list(out.fields))
+    types = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.int64() if isinstance(f.dataType, LongType) else pa.string()
+             for f in out.fields]
+
+    def matched(left: pa.Table | pa.RecordBatch, table: dict, lengths: list) -> list[pa.Array]:
+        at, rows = [], []
+        for i, (words, lows) in enumerate(zip(left.column("_words"), left.column("_low"))):
+            for row in found([words.as_py(), lows.as_py()], table, lengths):
+                at.append(i)
+                rows.append(row)
+        return [left.column(k).take(pa.array(at, pa.int64())) for k in keys] + [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+
+    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") + F.octet_length("target")).alias("bytes")).first()
+    if size.n <= small and (size.bytes or 0) <= SMALL_BYTES:
+        pairs = {r.phrase: r.target for r in phrases.select("phrase", "target").collect()}
+        sent = docs.sparkSession.sparkContext.broadcast((pairs, sorted({p.count(" ") + 1 for p in pairs}, reverse=True)))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, lengths = sent.value
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(matched(b, table, lengths), names=schema.fieldNames())
+
+        return docs.select(*keys, F.split(text, " ").alias("_words"), F.split(F.lower(text), " ").alias("_low")).mapInArrow(read, schema)
     n = pooling_blocks(docs, text, block_bytes).withColumn("_one", F.lit(1))  # one row
     block = F.pmod(F.xxhash64(*keys), F.col("_blocks")).alias("_block")
     texts = docs.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select(
@@ -47,28 +75,20 @@ def _by_block(docs: DataFrame, phrases: DataFrame, keys: Sequence[str], text: st
     # one row: the distinct phrase lengths
     sizes = phrases.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_sizes")).withColumn("_one", F.lit(1))
     low = texts.select("_block", "_low").withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")
-    runs = low.select(F.col("_block").alias("_used"), F.explode(_runs(F.col("_low"), F.col("_sizes"))).alias("phrase")).distinct()
-    known = runs.join(phrases.select("phrase", "target"), "phrase")
-    schema = StructType([docs.schema[k] for k in keys] + list(out.fields))
+    hashes = F.transform(_runs(F.col("_low"), F.col("_sizes")), lambda r: F.xxhash64(r))
+    runs = low.select(F.col("_block").alias("_used"), F.explode(hashes).alias("_h")).distinct()
+    known = runs.join(phrases.select(F.xxhash64("phrase").alias("_h"), "phrase", "target"), "_h").drop("_h")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         table = dict(zip(right.column("phrase").to_pylist(), right.column("target").to_pylist()))
         lengths = sorted({p.count(" ") + 1 for p in table}, reverse=True)
-        at, rows = [], []
-        for i, (words, lows) in enumerate(zip(left.column("_words"), left.column("_low"))):
-            for row in found([words.as_py(), lows.as_py()], table, lengths):
-                at.append(i)
-                rows.append(row)
-        same = [left.column(k).take(pa.array(at, pa.int64())) for k in keys]
-        types = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.int64() if isinstance(f.dataType, LongType) else pa.string()
-                 for f in out.fields]
-        return pa.table(same + [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=schema.fieldNames())
+        return pa.table(matched(left, table, lengths), names=schema.fieldNames())
 
     return texts.groupBy("_block").cogroup(known.groupBy("_used")).applyInArrow(work, schema)
 
 
 def rewrite_phrases(docs: DataFrame, lexicon: DataFrame, key: str = "row_id", text: str = "text", out: str = "rewritten",
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, small: int = SMALL_TABLE) -> DataFrame:
     """T4 with rules from a table (S8): (key, ``out``).
 
     From left to right, the longest phrase of the table that starts at a word
@@ -87,11 +107,11 @@ def rewrite_phrases(docs: DataFrame, lexicon: DataFrame, key: str = "row_id", te
             i += n or 1
         return [(" ".join(done),)]
 
-    return _by_block(docs, lexicon_table(lexicon), [key], text, found, StructType([StructField(out, StringType())]), block_bytes)
+    return _by_block(docs, lexicon_table(lexicon), [key], text, found, StructType([StructField(out, StringType())]), block_bytes, small)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, keys: Sequence[str], text: str = "text", term: str = "term",
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               block_bytes: int = BLOCK_BYTES, small: int = SMALL_TABLE) -> DataFrame:
     """(keys, phrase, start, n_words): every occurrence of a term, overlapping ones too; words count from 0."""
     phrases = terms.select(F.lower(term).alias("phrase")).filter(F.length("phrase") > 0).distinct().withColumn("target", F.lit(""))
 
@@ -100,7 +120,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, keys: Sequence[str], text: str
         return [(" ".join(low[i:i + n]), i, n) for n in lengths for i in range(len(low) - n + 1) if " ".join(low[i:i + n]) in table]
 
     out = StructType([StructField("phrase", StringType()), StructField("start", IntegerType()), StructField("n_words", IntegerType())])
-    return _by_block(docs, phrases, keys, text, found, out, block_bytes)
+    return _by_block(docs, phrases, keys, text, found, out, block_bytes, small)
 
 
 def term_vectors(chunks: DataFrame, token_vectors: DataFrame, terms: DataFrame, term: str = "term", category: str = "category",

@@ -42,15 +42,16 @@ def test_rewrite_equals_brute_force_in_one_and_in_many_blocks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "row_id long, text string")
     lex = spark.createDataFrame(rules, LEX)
     want = {i: _rewritten(t, rules) for i, t in enumerate(texts)} | {999: None}
-    for size in (PH.BLOCK_BYTES, 200):
-        got = {r.row_id: r.rewritten for r in PH.rewrite_phrases(docs, lex, block_bytes=size).collect()}
+    for size, small in ((PH.BLOCK_BYTES, 0), (200, 0), (PH.BLOCK_BYTES, 1000)):
+        got = {r.row_id: r.rewritten for r in PH.rewrite_phrases(docs, lex, block_bytes=size, small=small).collect()}
         assert got == want
 
 
 def test_rewrite_with_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "row_id long, text string")
     none = spark.createDataFrame([], LEX)
-    assert {tuple(r) for r in PH.rewrite_phrases(docs, none).collect()} == {(1, "a b"), (2, None)}
+    for small in (-1, 0):
+        assert {tuple(r) for r in PH.rewrite_phrases(docs, none, small=small).collect()} == {(1, "a b"), (2, None)}
     assert PH.rewrite_phrases(docs.limit(0), spark.createDataFrame([("a", "x", 1)], LEX)).count() == 0
 
 
