@@ -2,28 +2,35 @@
 
 A table of a checked size (``SMALL_TABLE`` phrases, ``SMALL_BYTES``) is sent to
 the tasks, which read the texts once without a shuffle.  Beyond it texts are
-dealt to blocks of about 32 MB, as in pooling.  The hashes of a block's distinct
-word runs, of the lengths that the table holds, are joined to the table once;
-the block then works with its own part of it (a phrase brought by an equal hash
-matches nothing).  A phrase found in every text crosses the network once per
-block, and such a table is never held whole.  Both ways give the same rows.
-Words are what single spaces separate; matching ignores case.
+dealt to blocks of about 32 MB, as in pooling.  The hashes of a block's word
+runs, of the lengths that the table holds, are joined to the table once; the
+block then works with its own part of it (a phrase brought by an equal hash
+matches nothing).  Before they are shuffled, runs pass a bitmap of the table's
+hashes (at most ``FILTER_BITS`` bits whatever the table's size; a run that it
+lets through for nothing finds no partner in the join).  A phrase found in every
+text crosses the network once per block, and such a table is never held whole.
+Both ways give the same rows.  Words are what single spaces separate; matching
+ignores case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..session import cut_lineage
 from .embeddings import BLOCK_BYTES, pooling_blocks, weighted_mean_vectors
 
-_Found = Callable[[list, dict, list], list]
+_Found = Callable[[list, list, dict, dict], list]
 SMALL_TABLE = 200_000   # phrases
 SMALL_BYTES = 16 << 20  # of phrases and targets
+FILTER_BITS = 27        # the bitmap has at most 2^27 bits (16 MB)
+SEGMENT = 1 << 15       # bits of one row of Spark's bitmap aggregate
 
 
 def lexicon_table(lexicon: DataFrame, source: str = "from_term", target: str = "to_term", order: str = "line_no") -> DataFrame:
@@ -33,58 +40,135 @@ def lexicon_table(lexicon: DataFrame, source: str = "from_term", target: str = "
     return rows.filter(F.length("phrase") > 0).groupBy("phrase").agg(first.alias("target"))
 
 
-def _runs(low: Column, sizes: Column) -> Column:
-    # every run of words whose length is among `sizes`
-    def of(n: Column) -> Column:
-        starts = F.when(F.size(low) >= n, F.sequence(F.lit(1), F.size(low) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(low, i, n), " "))
-    return F.flatten(F.transform(sizes, of))
+def _word_hashes(text: Column) -> Column:
+    return F.transform(F.split(F.lower(text), " "), lambda w: F.xxhash64(w))
+
+
+def _run_hasher() -> Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+    """A function of (word hashes, row of each word, length): the hash and the row of every run of that length."""
+    factor = np.uint64(0x9E3779B97F4A7C15)  # odd: no run of word hashes loses a bit
+
+    def run(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        many = max(0, len(words) - n + 1)
+        h = words[:many].copy()
+        for j in range(1, n):
+            h = h * factor + words[j:j + many]
+        inside = row[:many] == row[len(words) - many:]  # a run ends in the text where it starts
+        return h[inside], row[:many][inside]
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each value) of a list column without nulls."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _with_hash(phrases: DataFrame) -> DataFrame:
+    """(phrase, target, _h): the hash of the run of words that the phrase is."""
+    hasher, flat = _run_hasher(), _flat
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, row = flat(b.column("_w"))
+            h = np.zeros(b.num_rows, dtype=np.uint64)
+            sizes = np.bincount(row, minlength=b.num_rows)
+            for n in np.unique(sizes):
+                of_size = (sizes == n)[row]
+                found, at = hasher(words[of_size], row[of_size], int(n))
+                h[at] = found
+            yield pa.RecordBatch.from_arrays([b.column("phrase"), b.column("target"), pa.array(h.view(np.int64))],
+                                             names=["phrase", "target", "_h"])
+
+    return phrases.select("phrase", "target", _word_hashes(F.col("phrase")).alias("_w")).mapInArrow(
+        work, "phrase string, target string, _h bigint")
+
+
+def _bitmap(hashed: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(bytes, log2 of the bits): the leading bits of the hashes of the table's ``n`` phrases."""
+    log = min(FILTER_BITS, max(15, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("_h", 64 - log) + 1  # Spark's bitmaps count from 1
+    rows = hashed.select(F.bitmap_bucket_number(place).alias("_s"), F.bitmap_bit_position(place).alias("_p")).groupBy("_s").agg(
+        F.bitmap_construct_agg("_p").alias("_b")).collect()  # at most 2^FILTER_BITS / SEGMENT rows of 4 KB
+    bits = np.zeros((1 << log) // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r["_s"] - 1) * (SEGMENT // 8)
+        bits[at:at + SEGMENT // 8] = np.frombuffer(bytes(r["_b"]), dtype=np.uint8)[:SEGMENT // 8]
+    return bits, log
+
+
+def _known_runs(texts: DataFrame, text: str, hashed: DataFrame, n: int, lengths: Sequence[int]) -> DataFrame:
+    """(_used, phrase, target): the phrases of the table that each block (``_block``) may hold."""
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(hashed, n))
+    hasher, flat, lengths = _run_hasher(), _flat, list(lengths)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, log = sent.value
+        for b in batches:
+            words, row = flat(b.column("_w"))
+            blocks = b.column("_block").to_numpy()
+            for size in lengths:
+                h, at = hasher(words, row, size)
+                place = h >> np.uint64(64 - log)
+                hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                pair = np.unique(np.stack([blocks[at[hit]], h[hit].view(np.int64)]), axis=1) if hit.any() else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["_used", "_h"])
+
+    runs = texts.filter(F.col(text).isNotNull()).select("_block", _word_hashes(F.col(text)).alias("_w")).mapInArrow(
+        work, "_used bigint, _h bigint").distinct()
+    return runs.join(hashed, "_h").drop("_h")
 
 
 def _by_block(docs: DataFrame, phrases: DataFrame, keys: Sequence[str], text: str, found: _Found, out: StructType,
               block_bytes: int, small: int) -> DataFrame:
-    """Run ``found(words, {phrase: target}, lengths)`` on every text; it gives rows that follow the keys."""
+    """Run ``found(words, lower-case words, {phrase: target}, {first word: lengths})`` on every text (a null
+    text has None for words); it gives rows that follow the keys."""
     keys = list(keys)
     schema = StructType([docs.schema[k] for k in keys] + list(out.fields))
     types = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.int64() if isinstance(f.dataType, LongType) else pa.string()
              for f in out.fields]
+    both = [F.col("_text"), F.lower("_text").alias("_low")]
+
+    def heads_of(table: dict) -> dict:
+        lengths: dict[str, set] = {}
+        for p in table:
+            lengths.setdefault(p.partition(" ")[0], set()).add(p.count(" ") + 1)
+        return {w: sorted(n, reverse=True) for w, n in lengths.items()}
 
-    def matched(left: pa.Table | pa.RecordBatch, table: dict, lengths: list) -> list[pa.Array]:
+    def matched(left: pa.Table | pa.RecordBatch, table: dict, heads: dict) -> list[pa.Array]:
         at, rows = [], []
-        for i, (words, lows) in enumerate(zip(left.column("_words"), left.column("_low"))):
-            for row in found([words.as_py(), lows.as_py()], table, lengths):
+        for i, (words, lows) in enumerate(zip(left.column("_text"), left.column("_low"))):
+            words, lows = words.as_py(), lows.as_py()
+            for row in found(*((None, None) if words is None else (words.split(" "), lows.split(" "))), table, heads):
                 at.append(i)
                 rows.append(row)
         return [left.column(k).take(pa.array(at, pa.int64())) for k in keys] + [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
 
-    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") + F.octet_length("target")).alias("bytes")).first()
+    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") + F.octet_length("target")).alias("bytes"),
+                       F.collect_set(F.size(F.split("phrase", " "))).alias("lengths")).first()
     if size.n <= small and (size.bytes or 0) <= SMALL_BYTES:
         pairs = {r.phrase: r.target for r in phrases.select("phrase", "target").collect()}
-        sent = docs.sparkSession.sparkContext.broadcast((pairs, sorted({p.count(" ") + 1 for p in pairs}, reverse=True)))
+        sent = docs.sparkSession.sparkContext.broadcast((pairs, heads_of(pairs)))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, lengths = sent.value
+            table, heads = sent.value
             for b in batches:
-                yield pa.RecordBatch.from_arrays(matched(b, table, lengths), names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(matched(b, table, heads), names=schema.fieldNames())
 
-        return docs.select(*keys, F.split(text, " ").alias("_words"), F.split(F.lower(text), " ").alias("_low")).mapInArrow(read, schema)
+        return docs.select(*keys, F.col(text).alias("_text")).select(*keys, *both).mapInArrow(read, schema)
     n = pooling_blocks(docs, text, block_bytes).withColumn("_one", F.lit(1))  # one row
-    block = F.pmod(F.xxhash64(*keys), F.col("_blocks")).alias("_block")
     texts = docs.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select(
-        *keys, block, F.split(text, " ").alias("_words"), F.split(F.lower(text), " ").alias("_low"))
-    # one row: the distinct phrase lengths
-    sizes = phrases.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_sizes")).withColumn("_one", F.lit(1))
-    low = texts.select("_block", "_low").withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")
-    hashes = F.transform(_runs(F.col("_low"), F.col("_sizes")), lambda r: F.xxhash64(r))
-    runs = low.select(F.col("_block").alias("_used"), F.explode(hashes).alias("_h")).distinct()
-    known = runs.join(phrases.select(F.xxhash64("phrase").alias("_h"), "phrase", "target"), "_h").drop("_h")
+        *keys, F.pmod(F.xxhash64(*keys), F.col("_blocks")).alias("_block"), F.col(text).alias("_text"))
+    known = _known_runs(texts, "_text", cut_lineage(_with_hash(phrases)), size.n, size.lengths)
+    # texts are shuffled and sorted once, as they are; their lower case is made behind the shuffle
+    dealt = texts.repartition("_block").sortWithinPartitions("_block").select(*keys, "_block", *both)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         table = dict(zip(right.column("phrase").to_pylist(), right.column("target").to_pylist()))
-        lengths = sorted({p.count(" ") + 1 for p in table}, reverse=True)
-        return pa.table(matched(left, table, lengths), names=schema.fieldNames())
+        return pa.table(matched(left, table, heads_of(table)), names=schema.fieldNames())
 
-    return texts.groupBy("_block").cogroup(known.groupBy("_used")).applyInArrow(work, schema)
+    return dealt.groupBy("_block").cogroup(known.groupBy("_used")).applyInArrow(work, schema)
 
 
 def rewrite_phrases(docs: DataFrame, lexicon: DataFrame, key: str = "row_id", text: str = "text", out: str = "rewritten",
@@ -96,15 +180,19 @@ def rewrite_phrases(docs: DataFrame, lexicon: DataFrame, key: str = "row_id", te
     as they are.  A null text stays null, a text without phrases is unchanged,
     an empty table changes nothing.
     """
-    def found(texts: list, table: dict, lengths: list) -> list:
-        words, low = texts
+    def found(words: list, low: list, table: dict, heads: dict) -> list:
         if words is None:
             return [(None,)]
         done, i = [], 0
         while i < len(low):
-            n = next((n for n in lengths if i + n <= len(low) and " ".join(low[i:i + n]) in table), 0)
-            done.append(table[" ".join(low[i:i + n])] if n else words[i])
-            i += n or 1
+            step, word = 1, words[i]
+            for n in heads.get(low[i], ()):
+                target = table.get(low[i] if n == 1 else " ".join(low[i:i + n])) if i + n <= len(low) else None
+                if target is not None:
+                    step, word = n, target
+                    break
+            done.append(word)
+            i += step
         return [(" ".join(done),)]
 
     return _by_block(docs, lexicon_table(lexicon), [key], text, found, StructType([StructField(out, StringType())]), block_bytes, small)
@@ -115,9 +203,9 @@ def term_spans(docs: DataFrame, terms: DataFrame, keys: Sequence[str], text: str
     """(keys, phrase, start, n_words): every occurrence of a term, overlapping ones too; words count from 0."""
     phrases = terms.select(F.lower(term).alias("phrase")).filter(F.length("phrase") > 0).distinct().withColumn("target", F.lit(""))
 
-    def found(texts: list, table: dict, lengths: list) -> list:
-        low = texts[1] or []
-        return [(" ".join(low[i:i + n]), i, n) for n in lengths for i in range(len(low) - n + 1) if " ".join(low[i:i + n]) in table]
+    def found(words: list, low: list, table: dict, heads: dict) -> list:
+        return [(" ".join(low[i:i + n]), i, n) for i, w in enumerate(low or []) for n in heads.get(w, ())
+                if i + n <= len(low) and " ".join(low[i:i + n]) in table]
 
     out = StructType([StructField("phrase", StringType()), StructField("start", IntegerType()), StructField("n_words", IntegerType())])
     return _by_block(docs, phrases, keys, text, found, out, block_bytes, small)
