@@ -77,8 +77,8 @@ def _refine(slim: DataFrame, goal: DataFrame) -> DataFrame:
     """(source, bound, ...): rows of a source whose draw lies under ``bound`` carry its extra budget."""
     shift = 60 - BITS
     cur = goal.withColumn("at", F.lit(0).cast("bigint")).withColumn("before", F.lit(0).cast("bigint"))
-    inside = slim.join(cur.select("source", "extra", "at", "before"), slim["source"].eqNullSafe(cur["source"])).select(
-        slim["source"], "draw", "size", "extra", "at", "before")
+    start = _sized(cur.select(F.col("source").alias("_s"), "extra", "at", "before"))
+    inside = slim.join(start, F.col("source").eqNullSafe(F.col("_s"))).select("source", "draw", "size", "extra", "at", "before")
     keys = ["source", "extra", "at", "before"]
     for level in range(LEVELS):
         bucket = F.shiftright("draw", shift)
@@ -92,7 +92,8 @@ def _refine(slim: DataFrame, goal: DataFrame) -> DataFrame:
         edge = cut_lineage(edge)
         if level + 1 < LEVELS:
             inside = inside.select("source", "draw", "size").join(
-                edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("draw", shift) == F.col("at"))
+                _sized(edge.withColumnRenamed("source", "_s")),
+                F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("draw", shift) == F.col("at"))
             ).select("source", "draw", "size", "extra", "at", "before")
             shift -= BITS
     # the boundary is one hash value now: take it if the budget ends nearer behind it than before it
