@@ -95,12 +95,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: t
     lookup = F.create_map(*[F.lit(v) for kv in sorted(names.items()) for v in kv])
     sizes = F.create_map(*[c for h in sorted(heads) for c in (F.lit(h), F.array(*[F.lit(n) for n in sorted(heads[h])]))])
 
-    def runs(part: Column, at: Column) -> Column:
-        counts = F.coalesce(F.try_element_at(sizes, F.sha2(part, 256)), F.array().cast("array<int>"))
-        return F.transform(counts, lambda n: F.try_element_at(lookup, _digest_of(F.slice("parts", at + 1, n))))
+    # a hash set rules nearly all lines and paragraphs out; a map is scanned entry by entry, for the rest only
+    known_line = lambda d: d.isin(*sorted(names))
+    starts = F.filter(F.transform("parts", lambda c, at: F.struct(F.sha2(c, 256).alias("d"), at.alias("at"))),
+                      lambda s: s["d"].isin(*sorted(heads)))
 
-    found = F.concat(F.transform("lines", lambda c: F.try_element_at(lookup, F.sha2(c, 256))),
-                     F.flatten(F.transform("parts", runs)))
-    lines = F.array_sort(F.array_distinct(F.filter(found, lambda s: s.isNotNull())))
+    def runs(start: Column) -> Column:
+        of = F.transform(F.element_at(sizes, start["d"]), lambda n: _digest_of(F.slice("parts", start["at"] + 1, n)))
+        return F.filter(of, known_line)
+
+    found = F.concat(F.filter(F.transform("lines", lambda c: F.sha2(c, 256)), known_line), F.flatten(F.transform(starts, runs)))
+    lines = F.array_sort(F.array_distinct(F.transform(F.array_distinct(found), lambda d: F.element_at(lookup, d))))
     out = rows.join(F.broadcast(table.select("digest", "license")), "digest", "left")
     return out.select("doc_id", "digest", "license", F.array_join(lines, ",").alias("line_licenses"))
