@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counterfactual as CF
@@ -50,12 +50,14 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(mean_pooled(spark, sf), "row_id")
 
 
-def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
+def token_vectors(spark: SparkSession, sf: str, lexicon: DataFrame | None = None, of: Column | None = None) -> DataFrame:
     """Contextual token-vector table: words of each chunk with their word vectors,
-    an opening token (pos 0) and a closing token of ones after the last word."""
+    an opening token (pos 0) and a closing token of ones after the last word.
+    ``of``: a condition on chunks (a filter of the table's rows does not pass the vectors' look-up)."""
     chunks = CF.chunk_notes(views.notes(spark, sf))
     ones = F.array_repeat(F.lit(1.0), DIM)
-    return E.chunk_token_vectors(chunks, views.word_vectors(spark, sf), opening=ones, closing=ones)
+    lexicon = views.word_vectors(spark, sf) if lexicon is None else lexicon
+    return E.chunk_token_vectors(chunks if of is None else chunks.filter(of), lexicon, opening=ones, closing=ones)
 
 
 _TOKEN_VECTORS_SQL = (
@@ -81,7 +83,8 @@ def context_pool(spark: SparkSession, sf: str) -> DataFrame:
           with_views(_TOKEN_VECTORS_SQL + "SELECT row_id, round(vector[1], 6) AS first, round(sqrt(list_inner_product(vector, vector)),"
                      " 6) AS l2 FROM tv WHERE para = 0 AND chunk = 0 AND pos = 10", "notes", "word_vectors"))
 def first_token(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary(E.first_token(token_vectors(spark, sf), 10), "row_id", n=None)
+    first_chunk = (F.col("para") == 0) & (F.col("chunk") == 0)
+    return _summary(E.first_token(token_vectors(spark, sf, of=first_chunk), 10), "row_id", n=None)
 
 
 @register("cosine", "E4",
@@ -229,8 +232,9 @@ _MULTI_SQL = (
 def multi_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Word-vector and contextual pooling of the same notes, stacked by embedding name."""
     n = views.notes(spark, sf)
-    wv = E.mean_pool(n.select("row_id", "text"), views.word_vectors(spark, sf))
-    cp = n.select("row_id").join(E.context_pool(token_vectors(spark, sf)), "row_id", "left")
+    lexicon = views.word_vectors(spark, sf)
+    wv = E.mean_pool(n.select("row_id", "text"), lexicon)
+    cp = n.select("row_id").join(E.context_pool(token_vectors(spark, sf, lexicon)), "row_id", "left")
     a = _summary(wv, "row_id").withColumn("embedding", F.lit("word_mean"))
     b = _summary(cp, "row_id").withColumn("embedding", F.lit("context_mean"))
     return a.unionByName(b)
