@@ -19,18 +19,23 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .embeddings import BLOCK_BYTES, pooling_blocks, weighted_mean_vectors
+from .embeddings import BLOCK_BYTES, CHUNKS_TOGETHER, pooling_blocks
 
 _Found = Callable[[list, list, dict, dict], list]
 SMALL_TABLE = 200_000   # phrases
 SMALL_BYTES = 16 << 20  # of phrases and targets
 FILTER_BITS = 27        # the bitmap has at most 2^27 bits (16 MB)
 SEGMENT = 1 << 15       # bits of one row of Spark's bitmap aggregate
+SPAN_BLOCK_BYTES = 1 << 20  # text whose spans and token vectors meet in one task
+SPANS_TOGETHER = 20_000     # spans whose vectors are held at once
 
 
 def lexicon_table(lexicon: DataFrame, source: str = "from_term", target: str = "to_term", order: str = "line_no") -> DataFrame:
@@ -211,6 +216,61 @@ def term_spans(docs: DataFrame, terms: DataFrame, keys: Sequence[str], text: str
     return _by_block(docs, phrases, keys, text, found, out, block_bytes, small)
 
 
+def _span_sums(place: Sequence[str], own: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of a block's (spans, tokens): by phrase the sum of its occurrences' vectors, and their number."""
+    place = list(place)
+
+    def together(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, sums of the rows of each, their count)."""
+        order = np.argsort(by, kind="stable")
+        names, first = np.unique(by[order], return_index=True)
+        return names, np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(by)))
+
+    def work(spans: pa.Table, tokens: pa.Table) -> pa.Table:
+        if not (spans.num_rows and tokens.num_rows):
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.list_(pa.float64())), pa.array([], pa.int64())],
+                            names=["phrase", "_sum", "_n"])
+        chunk = [np.zeros(t.num_rows, np.int64) for t in (spans, tokens)]  # number of each row's chunk
+        for c in place:
+            values = pa.chunked_array([*tokens.column(c).chunks, *spans.column(c).chunks]).unique()
+            chunk = [k * len(values) + pc.index_in(t.column(c), value_set=values).to_numpy() for k, t in zip(chunk, (spans, tokens))]
+        pos, start, size = (t.column(c).to_numpy().astype(np.int64) for t, c in ((tokens, "pos"), (spans, "start"), (spans, "n_words")))
+        x = tokens.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(tokens.num_rows, -1)
+        _, chunk_of = np.unique(np.concatenate(chunk), return_inverse=True)  # dense: the next product stays small
+        in_span, in_token = np.split(chunk_of, [spans.num_rows])
+        far = int(max(pos.max(), (start + size).max())) + 1
+        known, sums, count = together(x, in_token * far + pos)
+        chunks, chunk_sums, chunk_count = together(x, in_token)
+        phrases = pc.unique(spans.column("phrase"))
+        phrase = pc.index_in(spans.column("phrase"), value_set=phrases).to_numpy()
+        total, n = np.zeros((len(phrases), x.shape[1])), np.zeros(len(phrases), np.int64)
+        for at in np.array_split(np.arange(spans.num_rows), spans.num_rows // SPANS_TOGETHER + 1):
+            found, many = np.zeros((len(at), x.shape[1])), np.zeros(len(at), np.int64)
+
+            def take(which: np.ndarray, wanted: np.ndarray, names: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+                i = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+                hit = names[i] == wanted
+                found[which[hit]] += values[i[hit]]
+                many[which[hit]] += counts[i[hit]]
+
+            for j in range(int(size[at].max(initial=0))):
+                of = np.flatnonzero((size[at] > j) & (own | (size[at] > 1)))
+                take(of, in_span[at[of]] * far + start[at[of]] + 1 + j, known, sums, count)
+            if not own:
+                of = np.flatnonzero(size[at] == 1)
+                take(of, in_span[at[of]], chunks, chunk_sums, chunk_count)
+            of = np.flatnonzero(many)
+            if len(of):
+                names, vectors, times = together(found[of] / many[of, None], phrase[at[of]])
+                total[names] += vectors
+                n[names] += times
+        met = np.flatnonzero(n)
+        return pa.table([phrases.take(pa.array(met)), pa.array(list(total[met]), pa.list_(pa.float64())), pa.array(n[met])],
+                        names=["phrase", "_sum", "_n"])
+
+    return work
+
+
 def term_vectors(chunks: DataFrame, token_vectors: DataFrame, terms: DataFrame, term: str = "term", category: str = "category",
                  first_token_if_single: bool = True, key: str = "row_id", text: str = "chunk_text") -> DataFrame:
     """(category, term, n, vector), the mean over a term's occurrences.
@@ -220,17 +280,26 @@ def term_vectors(chunks: DataFrame, token_vectors: DataFrame, terms: DataFrame,
     ``first_token_if_single`` it takes the mean of its whole chunk, closing
     token included.  An occurrence none of whose tokens has a vector
     counts nowhere; a term without any such occurrence has no row.
+
+    Spans and tokens are dealt to blocks of about ``SPAN_BLOCK_BYTES`` of text by
+    their place: a vector crosses the network once, then one sum per phrase and block.
     """
     place = [key, "para", "chunk"]
-    spans = term_spans(chunks.select(*place, text), terms, place, text)
-    own = F.sequence(F.col("start") + 1, F.col("start") + F.col("n_words"))
-    tv = token_vectors.filter(F.col("pos") >= 1).select(*place, "pos", "vector")
-    at = spans if first_token_if_single else spans.filter(F.col("n_words") > 1)
-    found = at.select("*", F.explode(own).alias("pos")).join(tv, [*place, "pos"])
-    if not first_token_if_single:
-        whole = weighted_mean_vectors(tv, place).drop("n")
-        found = found.drop("pos").unionByName(spans.filter(F.col("n_words") == 1).join(whole, place))
-    each = weighted_mean_vectors(found, [*place, "phrase", "start"]).drop("n")
-    means = weighted_mean_vectors(each, ["phrase"])
+    spans = term_spans(chunks.select(*place, text), terms, place, text).distinct()
+    tv = token_vectors.filter(F.col("pos") >= 1).select(*[F.col(c).cast(chunks.schema[c].dataType) for c in place],
+                                                        F.col("pos").cast("bigint"), F.col("vector").cast("array<double>"))
+    n = pooling_blocks(chunks, text, SPAN_BLOCK_BYTES).withColumn("_one", F.lit(1))  # one row
+    block = F.pmod(F.xxhash64(*place[:2], F.floor(F.col("chunk") / CHUNKS_TOGETHER)), F.col("_blocks")).alias("_block")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        whole = df.dropna(subset=place).withColumn("_one", F.lit(1))
+        return whole.join(F.broadcast(n), "_one").select(*df.columns, block).groupBy("_block")
+
+    out = StructType([StructField("phrase", StringType()), StructField("_sum", ArrayType(DoubleType())), StructField("_n", LongType())])
+    work = _span_sums(place, first_token_if_single)
+    sums = dealt(spans).cogroup(dealt(tv)).applyInArrow(work, out).groupBy("phrase").agg(
+        Summarizer.sum(array_to_vector("_sum")).alias("_s"), F.sum("_n").alias("n"))
+    each = F.col("n").cast("double")
+    means = sums.select("phrase", F.transform(vector_to_array("_s"), lambda x: x / each).alias("vector"), "n")
     named = terms.select(category, term, F.lower(term).alias("phrase")).distinct()
     return named.join(means, "phrase").select(category, term, "n", "vector")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from equilibra.operators import counterfactual as CF
 from equilibra.operators import embeddings as E
+from equilibra.operators import phrases as PH
 
 from .conftest import SF_SMALL
 
@@ -76,3 +77,30 @@ def test_vocabulary_is_written_once(spark):
     from equilibra.sources import views
     plan = views.word_vectors(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan  # the words of the documents are not read again by every step of the numbering
+
+
+def test_term_vectors_move_a_vector_once(spark):
+    texts = [(k, 0, c, f"aa w{(k + c) % 4} zz Bb w{c % 3} aa bb") for k in range(30) for c in range(3)]
+    texts += texts[:7]  # chunks that come twice: an occurrence counts once
+    chunks = spark.createDataFrame(texts, "row_id long, para int, chunk int, chunk_text string")
+    v = {"aa": [1.0, 0.0], "bb": [0.0, 2.0], "w1": [4.0, 4.0]}
+    tokens = [(k, p, c, i + 1, v[w.lower()]) for k, p, c, t in texts for i, w in enumerate(t.split(" ")) if w.lower() in v]
+    tv = spark.createDataFrame(tokens, "row_id long, para int, chunk int, pos int, vector array<double>")
+    terms = spark.createDataFrame([("s", t) for t in ("aa", "zz bb", "w1 zz", "aa bb", "zz", "bb w1 aa")], "category string, term string")
+    got = PH.term_vectors(chunks, tv, terms)
+    want: dict[str, dict] = {}
+    for k, p, c, t in texts:
+        low = t.lower().split(" ")
+        for term in ("aa", "zz bb", "w1 zz", "aa bb", "zz", "bb w1 aa"):
+            n = len(term.split(" "))
+            for i in range(len(low)):
+                hits = [v[w] for w in low[i:i + n] if w in v]
+                if " ".join(low[i:i + n]) == term and hits:
+                    want.setdefault(term, {})[k, p, c, i] = [sum(x) / len(hits) for x in zip(*hits)]
+    rows = {r.term: (r.n, r.vector) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    for term, each in want.items():
+        assert rows[term][0] == len(each)
+        assert all(abs(a - sum(b) / len(each)) < 1e-9 for a, b in zip(rows[term][1], zip(*each.values())))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
