@@ -2,7 +2,7 @@
 
 A table of a checked size (``SMALL_TABLE`` phrases, ``SMALL_BYTES``) is sent to
 the tasks, which read the texts once without a shuffle.  Beyond it texts are
-dealt to blocks of about 32 MB, as in pooling.  The hashes of a block's word
+dealt to blocks of about 8 MB, as in pooling.  The hashes of a block's word
 runs, of the lengths that the table holds, are joined to the table once; the
 block then works with its own part of it (a phrase brought by an equal hash
 matches nothing).  Before they are shuffled, runs pass a bitmap of the table's
@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .embeddings import BLOCK_BYTES, CHUNKS_TOGETHER, pooling_blocks
+from .embeddings import CHUNKS_TOGETHER, pooling_blocks
 
 _Found = Callable[[list, list, dict, dict], list]
+BLOCK_BYTES = 8 << 20   # text of a block: it is held as it is, in lower case and rewritten
 SMALL_TABLE = 200_000   # phrases
 SMALL_BYTES = 16 << 20  # of phrases and targets
 FILTER_BITS = 27        # the bitmap has at most 2^27 bits (16 MB)
 SEGMENT = 1 << 15       # bits of one row of Spark's bitmap aggregate
 SPAN_BLOCK_BYTES = 1 << 20  # text whose spans and token vectors meet in one task
 SPANS_TOGETHER = 20_000     # spans whose vectors are held at once
+RUN_ROWS = 500              # texts whose runs of words are hashed together
 
 
 def lexicon_table(lexicon: DataFrame, source: str = "from_term", target: str = "to_term", order: str = "line_no") -> DataFrame:
@@ -110,7 +112,7 @@ def _known_runs(texts: DataFrame, text: str, hashed: DataFrame, n: int, lengths:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, log = sent.value
-        for b in batches:
+        for b in (whole.slice(i, RUN_ROWS) for whole in batches for i in range(0, whole.num_rows, RUN_ROWS)):
             words, row = flat(b.column("_w"))
             blocks = b.column("_block").to_numpy()
             for size in lengths:
