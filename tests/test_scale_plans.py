@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -119,3 +120,32 @@ def test_permutation_moves_every_vector_once(spark):
     out = AT.permutation_importance(df, [1.0, -1.0], repeats=3)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1 and sorted(r.rank for r in out.collect()) == [1, 2]
+
+
+def test_token_attribution_counts_words_where_the_text_lies(spark):
+    """No row per text and word is shuffled, joined or ranked by a window; odd rows are as in a plain calculation."""
+    from collections import Counter
+
+    from equilibra.operators import attribution as AT
+    long = " ".join(f"w{chr(97 + i % 70 // 26)}{chr(97 + i % 26)}" for i in range(70 * 2000)) + " wad"  # more than one piece
+    texts = [(1, "The cat the waa unknown"), (1, "cat"), (2, None), (3, ""), (4, long), (None, "the dog"), (5, "unknown"), (6, "dog none")]
+    docs = spark.createDataFrame(texts, "row_id long, text string")
+    lex = [("the", [1.0, 2.0]), ("cat", [0.5, -3.0]), ("cat", [0.25, 1.0]), ("dog", [0.0, 0.0]), ("none", None)]
+    lex += [(f"w{a}{chr(97 + i)}", [float(i % 9), -1.0]) for a in "abc" for i in range(26)]
+    words = spark.createDataFrame(lex, "word string, vector array<double>")
+    got = AT.token_attribution(docs, words, [1.0, 0.5])
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroup" in plan and "row_number" not in plan
+    known, counts = {}, {}
+    for w, v in lex:
+        known.setdefault(w, []).append(None if v is None else v[0] + 0.5 * v[1])
+    for k, t in texts:
+        counts.setdefault(k, Counter()).update(re.sub("[0-9]", "", (t or "").lower()).split(" "))
+    want = set()
+    for k, c in counts.items():
+        hits = [(w, n, b) for w, n in c.items() for b in known.get(w, [])]
+        total = sum(n for _, n, _ in hits)
+        shares = [(w, None if b is None else n * b / total) for w, n, b in hits]
+        shares.sort(key=lambda e: (e[1] is None, -round(abs(e[1] or 0.0), 9), e[0]))
+        want |= {(k, w, x, i + 1) for i, (w, x) in enumerate(shares[:50])}
+    assert {tuple(r) for r in got.collect()} == want
