@@ -1,5 +1,6 @@
 """Models trained together equal models trained alone; scoring by key; what each study's run asks for."""
 
+import random
 from types import SimpleNamespace
 
 import numpy as np
@@ -195,3 +196,26 @@ def test_run_is_taken_up_where_it_stopped(spark, monkeypatch, tmp_path):
     fitted.clear()
     again = MQ.run_mitigation(spark, SMALL, str(tmp_path), methods)
     assert not fitted and sorted(again.collect()) == sorted(scores.collect())
+
+
+def test_a_pass_holds_few_margins_at_a_time(spark):
+    rng = random.Random(5)
+    data = [([0, 1], [], rng.randint(0, 1), rng.randint(0, 1), [rng.gauss(0, 1) for _ in range(3)]) for _ in range(3000)]
+    rows = spark.createDataFrame(data, "train array<int>, val array<int>, y int, g int, x array<double>").coalesce(1)
+    tasks = [BA.Task((k,), k % 2, 1.0, target="group" if k % 3 else "label") for k in range(60)]
+    w, bias = np.array([[rng.gauss(0, 1) for _ in range(3)] for _ in tasks]), np.zeros(60)
+    cells = np.array([[[rng.random(), rng.random()], [rng.random(), rng.random()]] for _ in tasks])
+    by_group, width = np.array([t.target == "group" for t in tasks]), np.full(60, 0.5)
+    sums = BA.hinge_sums(cells, by_group, width)
+
+    def add(i, x, m, y, g):
+        assert m.size <= 1 << 16
+        return sums(i, x, m, y, g)
+    got = BA.Pass(rows, tasks).sums("train", range(60), w, bias, 5, add)
+    x, y, g = (np.array([r[k] for r in data]) for k in (4, 2, 3))
+    for k in range(60):
+        t = 2.0 * (g if by_group[k] else y) - 1.0
+        short, of = 1.0 - t * (x @ w[k]), cells[k][g, y]
+        inner = np.clip(short, 0.0, 0.5)
+        loss, slope = of * (inner * inner + np.maximum(short - 0.5, 0.0)), -of * t * inner / 0.5
+        assert np.allclose(got[k], [loss.sum(), slope.sum(), *(slope @ x)])
