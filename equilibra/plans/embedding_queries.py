@@ -50,14 +50,16 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(mean_pooled(spark, sf), "row_id")
 
 
-def token_vectors(spark: SparkSession, sf: str, lexicon: DataFrame | None = None, of: Column | None = None) -> DataFrame:
+def token_vectors(spark: SparkSession, sf: str, lexicon: DataFrame | None = None, of: Column | None = None,
+                  chunks: DataFrame | None = None, named: bool = False) -> DataFrame | E.NamedVectors:
     """Contextual token-vector table: words of each chunk with their word vectors,
     an opening token (pos 0) and a closing token of ones after the last word.
-    ``of``: a condition on chunks (a filter of the table's rows does not pass the vectors' look-up)."""
-    chunks = CF.chunk_notes(views.notes(spark, sf))
+    ``of``: a condition on chunks (a filter of the table's rows does not pass the vectors' look-up).
+    ``chunks``: those of the notes, where the caller has them; ``named``: every vector once."""
+    chunks = CF.chunk_notes(views.notes(spark, sf)) if chunks is None else chunks
     ones = F.array_repeat(F.lit(1.0), DIM)
     lexicon = views.word_vectors(spark, sf) if lexicon is None else lexicon
-    return E.chunk_token_vectors(chunks if of is None else chunks.filter(of), lexicon, opening=ones, closing=ones)
+    return E.chunk_token_vectors(chunks if of is None else chunks.filter(of), lexicon, opening=ones, closing=ones, named=named)
 
 
 _TOKEN_VECTORS_SQL = (

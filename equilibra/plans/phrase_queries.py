@@ -20,7 +20,7 @@ from .registry import register
 
 def openings(spark: SparkSession, sf: str, longest: int, *keep: Column | str) -> DataFrame:
     """The first one to ``longest`` words of every document (``words``)."""
-    w = F.split("text", " ")
+    w = F.split(F.substring_index("text", " ", longest), " ")  # the words behind them are not split
     heads = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.slice(w, F.lit(1), n))
     return views.table(spark, sf, "documents").select(*keep, F.explode(heads).alias("words"))
 
@@ -79,8 +79,11 @@ _TERM_SQL = (
 def term_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of one- and two-word terms from their occurrences in notes, and their bias by category."""
     terms = openings(spark, sf, 2, F.col("lang").alias("category"))
-    terms = terms.select("category", F.lower(F.array_join("words", " ")).alias("term")).distinct()
-    v = PH.term_vectors(CF.chunk_notes(views.notes(spark, sf)), token_vectors(spark, sf), terms)
+    # terms and chunks are read several times, the lexicon once for the words and once for the vectors
+    terms = cut_lineage(terms.select("category", F.lower(F.array_join("words", " ")).alias("term")).distinct())
+    chunks = cut_lineage(CF.chunk_notes(views.notes(spark, sf)))
+    lexicon = views.word_vectors(spark, sf, write_numbers=True)
+    v = PH.term_vectors(chunks, token_vectors(spark, sf, lexicon, chunks=chunks, named=True), terms)
     return E.direct_bias(v, mean_direction(spark, sf)).select("category", "term", "n", F.round("cosine", 6).alias("cosine"))
 
 
